@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.rounding import round_array_style, round_exact
 from tickloom.operators.quality import normalize_signals
 from tickloom.plans.blocks import (
-    DEFAULT, SPLIT, BlockSize, block_keys, block_window, split_blocks, with_carry,
+    BEFORE, BLOCK, DEFAULT, SO_FAR, SPLIT, Blocks, BlockSize, over, split_blocks,
 )
 from tickloom.schema import require_columns, series_keys
 
@@ -51,48 +51,44 @@ def _numbered(df: DataFrame, size: BlockSize) -> tuple[DataFrame, list[str]]:
     rows = normalize_signals(df).filter(
         F.col("signal").isin("BUY", "SELL") & F.col("close").isNotNull() & (F.col("quantity") > 0)
     ).select(*keys, "ts", "close", "quantity", "signal")
-    b = split_blocks(rows, 0, size, keys)
-    w = block_window(keys)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    sell = F.col("signal") == "SELL"
-    priced = F.when((F.col("signal") == "BUY") & (F.col("close") * F.col("quantity") != 0), 1)
+    blocks = split_blocks(rows, 0, size, keys)
+    part = blocks.part
 
     def local(b):
-        b = b.withColumns({
-            "_priced": F.count(priced).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-            "_sells": F.count(F.when(sell, 1)).over(before)})
-        b = b.withColumn("_mark", F.max(F.when(sell, F.col("_priced"))).over(before))
-        b = b.withColumn("_closes", sell & (F.col("_priced") > F.coalesce("_mark", F.lit(0))))
-        return b.withColumn("_done", F.count(F.when("_closes", 1)).over(before))
-
-    ends = (
-        local(b.filter(SPLIT)).groupBy(*block_keys(keys)).agg(
-            F.count(F.when(sell, 1)).alias("sells"),
-            F.max("_priced").alias("priced"),
-            F.max(F.when(sell, F.col("_priced"))).alias("mark"),
-            F.count(F.when("_closes", 1)).alias("closes"),
-            F.bool_or(F.when(sell & (F.col("_sells") == 0), F.col("_closes"))).alias("first_closes"))
-    )
-    by_block = Window.partitionBy(*keys, SPLIT).orderBy("_block")
-    prior = by_block.rowsBetween(Window.unboundedPreceding, -1)
-    base = F.coalesce(F.sum("priced").over(prior), F.lit(0))
-    carry = (
-        ends.withColumn("_base", base)
-        .withColumn("_mark_at", F.max(F.col("_base") + F.col("mark")).over(prior))
-        .withColumn("_pending", F.col("_base") > F.coalesce("_mark_at", F.lit(0)))
-        .withColumn("_extra", F.when(
-            F.col("_pending") & (F.col("sells") > 0) & ~F.coalesce("first_closes", F.lit(False)), 1
-        ).otherwise(0))
-        .withColumn("_before", F.coalesce(F.sum(F.col("closes") + F.col("_extra")).over(prior), F.lit(0)))
-        .select(*block_keys(keys), "_pending", "_before", F.col("_extra").alias("_first_extra"))
-    )
-    b = with_carry(local(b), carry, keys)
-    pending = F.coalesce("_pending", F.lit(False))
-    closes = F.col("_closes") | (sell & (F.col("_sells") == 0) & pending)
-    trade = (F.coalesce("_before", F.lit(0)) + F.col("_done")
-             + F.when(F.col("_sells") > 0, F.coalesce("_first_extra", F.lit(0))).otherwise(0))
-    return b.select(*keys, "ts", "close", "quantity", "signal",
-                    closes.alias("closes"), trade.alias("trade")), keys
+        b = b.selectExpr("*", f"""count_if(signal = 'BUY' AND close * quantity <> 0)
+            {over(part, frame=SO_FAR)} AS _priced""")
+        b = b.selectExpr(
+            "*", f"count_if(signal = 'SELL') {over(part, frame=BEFORE)} AS _sells",
+            f"signal = 'SELL' AND _priced > coalesce(max(CASE WHEN signal = 'SELL' THEN _priced END) "
+            f"{over(part, frame=BEFORE)}, 0) AS _closes")
+        return b.selectExpr("*", f"count_if(_closes) {over(part, frame=BEFORE)} AS _done")
+
+    b = local(blocks.frame)
+    if not blocks.split:
+        return b.selectExpr(*rows.columns, "_closes AS closes", "_done AS trade"), keys
+    b = b.join(_block_trades(blocks, local(blocks.frame.filter(SPLIT))), part, "left")
+    return b.selectExpr(
+        *rows.columns,
+        "_closes OR (signal = 'SELL' AND _sells = 0 AND coalesce(_pending, false)) AS closes",
+        "coalesce(_closed, 0) + _done + CASE WHEN _sells > 0 THEN coalesce(_late, 0) ELSE 0 END AS trade"), keys
+
+
+def _block_trades(blocks: Blocks, local: DataFrame) -> DataFrame:
+    """Per block: closing sells before it, whether a priced buy is pending at its start, and
+    whether that makes its first sell a closing one."""
+    line = [*blocks.keys, SPLIT]
+    ends = local.groupBy(*blocks.part).agg(
+        F.expr("count_if(signal = 'SELL') AS sells"), F.expr("max(_priced) AS priced"),
+        F.expr("max(CASE WHEN signal = 'SELL' THEN _priced END) AS mark"),
+        F.expr("count_if(_closes) AS closes"),
+        F.expr("coalesce(bool_or(_sells = 0 AND _closes), false) AS first_closes"))
+    ends = ends.selectExpr("*", f"coalesce(sum(priced) {over(line, BLOCK, BEFORE)}, 0) AS _base")
+    ends = ends.selectExpr(
+        "*", f"_base > coalesce(max(_base + mark) {over(line, BLOCK, BEFORE)}, 0) AS _pending")
+    ends = ends.selectExpr("*", "int(_pending AND sells > 0 AND NOT first_closes) AS _late")
+    return ends.selectExpr(
+        *blocks.part, "_pending", "_late",
+        f"coalesce(sum(closes + _late) {over(line, BLOCK, BEFORE)}, 0) AS _closed")
 
 
 def _positions(df: DataFrame, size: BlockSize) -> tuple[DataFrame, list[str]]:

@@ -7,65 +7,60 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.clock import local_date
 from tickloom.operators.resample import daily_close
-from tickloom.plans.blocks import DEFAULT, BlockSize, block_keys, block_window, in_blocks
+from tickloom.plans.blocks import DEFAULT, SO_FAR, BlockSize, in_blocks, over
 from tickloom.plans.scans import decay_halo, ewm_mean
 from tickloom.schema import require_columns, series_keys
 
 
-# Block-level forms: take a blocked frame, used by the strategies to share one shuffle and sort.
+# Block-level forms: a frame and its window partition columns in, the frame with a column out. The
+# strategies chain them so that all share one shuffle and sort.
 
-def add_sma(df: DataFrame, keys, length: int, col: str = "close", out: str | None = None):
-    frame = block_window(keys).rowsBetween(1 - length, 0)
-    full = F.count(col).over(frame) == length
-    return df.withColumn(out or f"SMA{length}", F.when(full, F.avg(col).over(frame)))
+def add_sma(df: DataFrame, part, length: int, col: str = "close", out: str | None = None):
+    frame = over(part, frame=f"ROWS BETWEEN {length - 1} PRECEDING AND CURRENT ROW")
+    return df.selectExpr("*", f"""CASE WHEN count({col}) {frame} = {length}
+        THEN avg({col}) {frame} END AS {out or f'SMA{length}'}""")
 
 
-def add_true_range(df: DataFrame, keys, out: str = "true_range"):
-    before = F.lag("close").over(block_window(keys))
-    return df.withColumn(out, F.greatest(
-        F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
+def add_true_range(df: DataFrame, part, out: str = "true_range"):
+    before = f"lag(close) {over(part)}"
+    return df.selectExpr("*", f"greatest(high - low, abs(high - {before}), abs(low - {before})) AS {out}")
 
 
-def add_atr(df: DataFrame, keys, period: int = 14, out: str = "ATR"):
-    df = add_true_range(df, keys, "_tr")
-    return ewm_mean(df, keys, {out: F.col("_tr")}, 1.0 / period).drop("_tr")
+def add_atr(df: DataFrame, part, period: int = 14, out: str = "ATR"):
+    return ewm_mean(add_true_range(df, part, "_tr"), part, {out: "_tr"}, 1.0 / period).drop("_tr")
 
 
-def _gain_and_loss(df: DataFrame, keys, period: int):
-    df = df.withColumn("_change", F.col("close") - F.lag("close").over(block_window(keys)))
-    moved = F.col("_change").isNotNull()
-    return ewm_mean(df, keys, {
-        "_gain": F.when(moved, F.greatest(F.col("_change"), F.lit(0.0))),
-        "_loss": F.when(moved, F.greatest(-F.col("_change"), F.lit(0.0))),
-    }, 1.0 / period)
+def _gain_and_loss(df: DataFrame, part, period: int):
+    df = df.selectExpr("*", f"close - lag(close) {over(part)} AS _change")
+    return ewm_mean(df, part, {
+        "_gain": "CASE WHEN _change IS NOT NULL THEN greatest(_change, 0D) END",
+        "_loss": "CASE WHEN _change IS NOT NULL THEN greatest(-_change, 0D) END"}, 1.0 / period)
 
 
-def add_rsi(df: DataFrame, keys, period: int = 14, out: str = "RSI", strict: bool = False):
-    df = _gain_and_loss(df, keys, period)
-    ratio = F.col("_gain") / F.nullif(F.col("_loss"), F.lit(0.0))
-    rows = F.count(F.lit(1)).over(Window.partitionBy(*block_keys(keys)))
-    enough = rows >= 3 * period
-    value = F.when(enough, 100.0 - 100.0 / (1.0 + ratio))
-    if strict:
-        value = value + F.when(enough, 0.0).otherwise(
-            F.raise_error(F.lit("series is too short for RSI")).cast("double"))
-    return df.withColumn(out, value).drop("_change", "_gain", "_loss")
+def add_rsi(df: DataFrame, part, period: int = 14, out: str = "RSI", strict: bool = False):
+    short = "double(raise_error('series is too short for RSI'))" if strict else "NULL"
+    rows = f"count(*) OVER (PARTITION BY {', '.join(f'`{p}`' for p in part)})"
+    return _gain_and_loss(df, part, period).selectExpr("*", f"""CASE WHEN {rows} >= {3 * period}
+        THEN 100D - 100D / (1D + _gain / nullif(_loss, 0D)) ELSE {short} END AS {out}""",
+    ).drop("_change", "_gain", "_loss")
 
 
-def add_rsi_ratio(df: DataFrame, keys, length: int = 14, out: str | None = None):
-    df = _gain_and_loss(df, keys, length)
-    seen = F.count("_change").over(block_window(keys).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.nullif(F.col("_gain") + F.col("_loss"), F.lit(0.0))
-    return df.withColumn(out or f"RSI_{length}",
-                         F.when(seen >= length, 100.0 * F.col("_gain") / total)
-                         ).drop("_change", "_gain", "_loss")
+def add_rsi_ratio(df: DataFrame, part, length: int = 14, out: str | None = None):
+    return _gain_and_loss(df, part, length).selectExpr("*", f"""CASE
+        WHEN count(_change) {over(part, frame=SO_FAR)} >= {length}
+        THEN 100D * _gain / nullif(_gain + _loss, 0D) END AS {out or f'RSI_{length}'}""",
+    ).drop("_change", "_gain", "_loss")
 
 
-def add_hot(df: DataFrame, keys, threshold: float = 5.0, pct: str = "daily_pct", out: str = "hot"):
-    w = block_window(keys)
-    hot = ((F.col(pct) > threshold) & (F.lag(pct, 1).over(w) > threshold)
-           & (F.lag(pct, 2).over(w) > threshold))
-    return df.withColumn(out, F.coalesce(hot, F.lit(False)))
+def add_prev(df: DataFrame, part, columns: dict[str, str], n: int = 1):
+    """Previous-row values: output name -> column."""
+    return df.selectExpr("*", *[f"lag({c}, {n}) {over(part)} AS {o}" for o, c in columns.items()])
+
+
+def add_hot(df: DataFrame, part, threshold: float = 5.0, pct: str = "daily_pct", out: str = "hot"):
+    return df.selectExpr("*", f"""coalesce({pct} > {threshold!r}D
+        AND lag({pct}, 1) {over(part)} > {threshold!r}D
+        AND lag({pct}, 2) {over(part)} > {threshold!r}D, false) AS {out}""")
 
 
 def rsi_halo(period: int) -> int:
@@ -85,7 +80,7 @@ def smoothing_halo(alpha: float) -> int:
 def sma(df: DataFrame, length: int, col: str = "close", size: BlockSize = DEFAULT) -> DataFrame:
     """Mean of the last ``length`` rows as ``SMA{length}``; null until that many rows exist."""
     require_columns(df, ["symbol", "ts", col])
-    return in_blocks(df, length - 1, lambda b, k: add_sma(b, k, length, col), size)
+    return in_blocks(df, length - 1, lambda b, p: add_sma(b, p, length, col), size)
 
 
 def ewm(df: DataFrame, col: str, alpha: float, out: str | None = None,
@@ -94,7 +89,7 @@ def ewm(df: DataFrame, col: str, alpha: float, out: str | None = None,
     require_columns(df, ["symbol", "ts", col])
     name = out or f"{col}_ewm"
     return in_blocks(df, smoothing_halo(alpha),
-                     lambda b, k: ewm_mean(b, k, {name: F.col(col)}, alpha), size)
+                     lambda b, p: ewm_mean(b, p, {name: col}, alpha), size)
 
 
 def true_range(df: DataFrame, size: BlockSize = DEFAULT) -> DataFrame:
@@ -104,7 +99,7 @@ def true_range(df: DataFrame, size: BlockSize = DEFAULT) -> DataFrame:
 
 def atr_wilder(df: DataFrame, period: int = 14, size: BlockSize = DEFAULT) -> DataFrame:
     require_columns(df, ["symbol", "ts", "high", "low", "close"])
-    return in_blocks(df, smoothing_halo(1.0 / period) + 1, lambda b, k: add_atr(b, k, period), size)
+    return in_blocks(df, smoothing_halo(1.0 / period) + 1, lambda b, p: add_atr(b, p, period), size)
 
 
 def rsi_wilder(df: DataFrame, period: int = 14, strict: bool = False,
@@ -114,13 +109,13 @@ def rsi_wilder(df: DataFrame, period: int = 14, strict: bool = False,
     ``strict`` fails the job on a short series instead.
     """
     require_columns(df, ["symbol", "ts", "close"])
-    return in_blocks(df, rsi_halo(period), lambda b, k: add_rsi(b, k, period, strict=strict), size)
+    return in_blocks(df, rsi_halo(period), lambda b, p: add_rsi(b, p, period, strict=strict), size)
 
 
 def rsi_ratio(df: DataFrame, length: int = 14, size: BlockSize = DEFAULT) -> DataFrame:
     """RSI as 100*g/(g+l): 100 when there was no loss, null for the first ``length`` rows."""
     require_columns(df, ["symbol", "ts", "close"])
-    return in_blocks(df, rsi_halo(length), lambda b, k: add_rsi_ratio(b, k, length), size)
+    return in_blocks(df, rsi_halo(length), lambda b, p: add_rsi_ratio(b, p, length), size)
 
 
 def daily_percent_change(bars: DataFrame, causal: bool = False, out: str = "daily_pct") -> DataFrame:
@@ -149,11 +144,11 @@ def daily_percent_change(bars: DataFrame, causal: bool = False, out: str = "dail
 
 def hot_mask(bars: DataFrame, threshold: float = 5.0, size: BlockSize = DEFAULT) -> DataFrame:
     """True where the daily change exceeded ``threshold`` on this bar and the two bars before."""
-    return in_blocks(daily_percent_change(bars), 2, lambda b, k: add_hot(b, k, threshold), size)
+    return in_blocks(daily_percent_change(bars), 2, lambda b, p: add_hot(b, p, threshold), size)
 
 
 def prev(df: DataFrame, cols, n: int = 1, size: BlockSize = DEFAULT) -> DataFrame:
     """Previous-row copies of ``cols`` as ``{col}_prev``."""
     require_columns(df, ["symbol", "ts", *cols])
-    return in_blocks(df, n, lambda b, k: b.withColumns(
-        {f"{c}_prev": F.lag(c, n).over(block_window(k)) for c in cols}), size)
+    return in_blocks(
+        df, n, lambda b, p: add_prev(b, p, {f"{c}_prev": c for c in cols}, n), size)

@@ -9,37 +9,32 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.clock import clock_seconds, second_of_day
 from tickloom.operators.indicators import (
-    add_atr, add_hot, add_rsi, add_rsi_ratio, add_sma, daily_percent_change, rsi_halo, smoothing_halo,
+    add_atr, add_hot, add_prev, add_rsi, add_rsi_ratio, add_sma, daily_percent_change, rsi_halo,
+    smoothing_halo,
 )
-from tickloom.plans.blocks import DEFAULT, OWN, SPLIT, BlockSize, block_window, drop_halo, split_blocks
+from tickloom.plans.blocks import DEFAULT, BlockSize, split_blocks
 from tickloom.plans.positions import position_signals
 from tickloom.plans.scans import toggle_signals
 from tickloom.schema import BAR_COLUMNS, require_columns, series_keys
 
 
-def _true(condition):
-    return F.coalesce(condition, F.lit(False))
-
-
-def _quantity(amount):
-    return F.when(F.col("signal").isNotNull(), amount).otherwise(F.lit(0.0))
-
-
 def sma_cross(df: DataFrame, position_size: float = 150, length: int = 200,
               whole_shares: bool = False, size: BlockSize = DEFAULT) -> DataFrame:
     """BUY when the close crosses above its mean, SELL when it crosses below."""
     require_columns(df, ["symbol", "ts", "close"])
-    keys = series_keys(df)
     mean = f"SMA{length}"
-    b = add_sma(split_blocks(df, length, size, keys), keys, length)
-    w = block_window(keys)
-    b = b.withColumns({"_close": F.lag("close").over(w), "_mean": F.lag(mean).over(w)})
-    up = (F.col("_close") < F.col("_mean")) & (F.col("close") > F.col(mean))
-    down = (F.col("_close") > F.col("_mean")) & (F.col("close") < F.col(mean))
-    b = b.withColumn("signal", F.when(up, "BUY").when(down, "SELL"))
-    shares = F.try_divide(F.lit(float(position_size)), F.col("close"))
-    b = b.withColumn("quantity", _quantity(F.floor(shares).cast("double") if whole_shares else shares))
-    return drop_halo(b).drop("_close", "_mean")
+    blocks = split_blocks(df, length, size)
+    b = add_sma(blocks.frame, blocks.part, length)
+    b = add_prev(b, blocks.part, {"_close": "close", "_mean": mean})
+    b = b.selectExpr("*", f"""CASE WHEN _close < _mean AND close > {mean} THEN 'BUY'
+        WHEN _close > _mean AND close < {mean} THEN 'SELL' END AS signal""").drop("_close", "_mean")
+    shares = f"try_divide({float(position_size)!r}D, close)"
+    return with_quantity(blocks.finish(b), f"double(floor({shares}))" if whole_shares else shares)
+
+
+def with_quantity(df: DataFrame, amount) -> DataFrame:
+    """``amount`` on rows with a signal, 0 elsewhere."""
+    return df.withColumn("quantity", F.expr(f"CASE WHEN signal IS NOT NULL THEN {amount} ELSE 0D END"))
 
 
 def sma_rsi_reversal(df: DataFrame, short: int = 200, long: int = 400, rsi_len: int = 14,
@@ -47,43 +42,39 @@ def sma_rsi_reversal(df: DataFrame, short: int = 200, long: int = 400, rsi_len:
                      size: BlockSize = DEFAULT) -> DataFrame:
     """Enter on a weak RSI above the short mean; leave on a strong RSI or at the long mean."""
     require_columns(df, ["symbol", "ts", "low", "close"])
-    keys = series_keys(df)
-    halo = max(short, long, rsi_halo(rsi_len))
-    low, rsi = F.col("low"), F.col(f"RSI_{rsi_len}")
+    blocks = split_blocks(df, max(short, long, rsi_halo(rsi_len)), size)
+    part, rsi = blocks.part, f"RSI_{rsi_len}"
 
     def masks(b):
-        b = add_sma(b, keys, short, out=f"SMA_{short}")
-        b = add_sma(b, keys, long, out=f"FMA_{long}")
-        b = add_rsi_ratio(b, keys, rsi_len)
-        return b.withColumns({
-            "_entry": _true((rsi < entry_rsi) & (low > F.col(f"SMA_{short}"))),
-            "_exit": _true(rsi > exit_rsi) | _true(low <= F.col(f"FMA_{long}"))}).filter(OWN)
+        b = add_sma(b, part, short, out=f"SMA_{short}")
+        b = add_sma(b, part, long, out=f"FMA_{long}")
+        b = add_rsi_ratio(b, part, rsi_len)
+        return b.selectExpr(
+            "*", f"coalesce({rsi} < {entry_rsi} AND low > SMA_{short}, false) AS _entry",
+            f"coalesce({rsi} > {exit_rsi}, false) OR coalesce(low <= FMA_{long}, false) AS _exit")
 
-    b = split_blocks(df, halo, size, keys)
-    out = toggle_signals(masks(b), keys, "_entry", "_exit", lambda: masks(b.filter(SPLIT)))
-    return drop_halo(out).drop("_entry", "_exit").withColumn("quantity", _quantity(F.lit(float(shares))))
+    out = toggle_signals(blocks, masks).drop("_entry", "_exit")
+    return with_quantity(blocks.finish(out), f"{float(shares)!r}D")
 
 
 def runners_swing(df: DataFrame, threshold: float = 5.0, atr_len: int = 14, shares: float = 1.0,
                   size: BlockSize = DEFAULT) -> DataFrame:
     """Enter a three-bar hot run above a trailing level; leave on the level, a stop or a crash day."""
     require_columns(df, ["symbol", "ts", "high", "low", "close"])
-    keys = series_keys(df)
-    w = block_window(keys)
+    blocks = split_blocks(daily_percent_change(df), smoothing_halo(1.0 / atr_len) + 2, size)
+    part = blocks.part
 
     def rule(b):
-        b = add_hot(add_atr(b, keys, atr_len), keys, threshold)
-        b = b.withColumns({"_close": F.lag("close").over(w), "_atr": F.lag("ATR").over(w)})
-        level = F.col("_close") - F.col("_atr") * 2.5
-        return b.withColumns({
-            "_entry": F.col("hot") & _true(F.col("low") > level) & F.col("close").isNotNull(),
-            "_forced": _true(F.col("low") < level) | _true(F.col("daily_pct") < -10.0),
-            "_stop": F.col("close") + F.col("_atr") * 1.5,
-            "_target": F.lit(None).cast("double")}).drop("_close", "_atr")
+        b = add_hot(add_atr(b, part, atr_len), part, threshold)
+        b = add_prev(b, part, {"_close": "close", "_atr": "ATR"})
+        level = "(_close - _atr * 2.5D)"
+        return b.selectExpr(
+            "*", f"hot AND coalesce(low > {level}, false) AND close IS NOT NULL AS _entry",
+            f"coalesce(low < {level}, false) OR coalesce(daily_pct < -10D, false) AS _forced",
+            "close + _atr * 1.5D AS _stop", "double(NULL) AS _target").drop("_close", "_atr")
 
-    b = split_blocks(daily_percent_change(df), smoothing_halo(1.0 / atr_len) + 2, size, keys)
-    out = position_signals(rule(b), rule(b.filter(SPLIT)), keys)
-    return drop_halo(out).drop("entry_price").withColumn("quantity", _quantity(F.lit(float(shares))))
+    out = position_signals(blocks, rule).drop("entry_price")
+    return with_quantity(blocks.finish(out), f"{float(shares)!r}D")
 
 
 def opening_bracket(df: DataFrame, pt: float = 5, stop: float = 0.9, window=("09:40", "09:50"),
@@ -92,36 +83,28 @@ def opening_bracket(df: DataFrame, pt: float = 5, stop: float = 0.9, window=("09
     """Enter on a bullish RSI jump with volume early in the session; leave at a target or stop that
     moves with the current ATR, or at 16:00."""
     require_columns(df, BAR_COLUMNS)
-    keys = series_keys(df)
-    w = block_window(keys)
-    close, clock = F.col("close"), second_of_day(F.col("ts"))
+    blocks = split_blocks(df, rsi_halo(14) + 1, size)
+    part = blocks.part
+    opens, closes, four = (clock_seconds(t) for t in (*window, "16:00"))
 
     def rule(b):
-        b = add_rsi(add_atr(b, keys), keys)
-        b = b.withColumns({"RSI_prev": F.lag("RSI").over(w), "ATR_prev": F.lag("ATR").over(w),
-                           "close_prev": F.lag("close").over(w), "low_prev": F.lag("low").over(w)})
-        b = b.withColumns({
-            "in_buy_window": (clock >= clock_seconds(window[0])) & (clock < clock_seconds(window[1])),
-            "is_4pm_or_later": clock >= clock_seconds("16:00"),
-            "is_bullish": _true(close > F.col("close_prev")),
-            "meets_volume_req": _true(
-                F.col("volume") > F.try_divide(F.lit(notional / 100.0), close) * 100),
-            "meets_rsi_req": _true(F.col("RSI") - F.col("RSI_prev") > rsi_jump)})
-        return b.withColumns({
-            "_entry": (F.col("in_buy_window") & F.col("is_bullish") & F.col("meets_volume_req")
-                       & F.col("meets_rsi_req")),
-            "_forced": F.col("is_4pm_or_later"),
-            "_stop": F.col("low") + F.col("ATR") * stop,
-            "_target": F.col("high") - F.col("ATR") * pt})
-
-    b = split_blocks(df, rsi_halo(14) + 1, size, keys)
-    out = drop_halo(position_signals(rule(b), rule(b.filter(SPLIT)), keys))
-    return (
-        out.withColumnRenamed("entry_price", "EntryPrice")
-        .withColumns({"HighATR": F.col("EntryPrice") + F.col("ATR") * pt,
-                      "LowATR": F.col("EntryPrice") - F.col("ATR") * stop,
-                      "quantity": _quantity(F.lit(float(shares)))})
-    )
+        b = add_rsi(add_atr(b, part), part)
+        b = add_prev(b, part, {"RSI_prev": "RSI", "ATR_prev": "ATR", "close_prev": "close", "low_prev": "low"})
+        b = b.withColumn("_clock", second_of_day(F.col("ts"))).selectExpr(
+            "*", f"_clock >= {opens} AND _clock < {closes} AS in_buy_window",
+            f"_clock >= {four} AS is_4pm_or_later",
+            "coalesce(close > close_prev, false) AS is_bullish",
+            f"coalesce(volume > try_divide({notional / 100!r}D, close) * 100, false) AS meets_volume_req",
+            f"coalesce(RSI - RSI_prev > {float(rsi_jump)!r}D, false) AS meets_rsi_req").drop("_clock")
+        return b.selectExpr(
+            "*", "in_buy_window AND is_bullish AND meets_volume_req AND meets_rsi_req AS _entry",
+            "is_4pm_or_later AS _forced", f"low + ATR * {float(stop)!r}D AS _stop",
+            f"high - ATR * {float(pt)!r}D AS _target")
+
+    out = blocks.finish(position_signals(blocks, rule)).withColumnRenamed("entry_price", "EntryPrice")
+    out = out.selectExpr("*", f"EntryPrice + ATR * {float(pt)!r}D AS HighATR",
+                         f"EntryPrice - ATR * {float(stop)!r}D AS LowATR")
+    return with_quantity(out, f"{float(shares)!r}D")
 
 
 def custom_strategy(df: DataFrame, fn: Callable, schema) -> DataFrame:

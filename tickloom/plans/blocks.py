@@ -1,12 +1,16 @@
 """Ordered work on long series, cut into blocks of bounded size.
 
-A window over a whole symbol would put every row of that symbol into one task. Here a symbol with
-more than ``rows`` bars is cut at calendar-unit borders into blocks of about ``rows`` bars, and each
-block receives copies of the ``halo`` bars before it. Every look-back of at most ``halo`` rows is
-then exact inside one block. Symbols below the limit stay whole and get no copies.
+A window over a whole symbol puts every row of that symbol into one task. That is fine for the
+usual series and fatal for one that holds a third of all rows. So a small count (columns: keys and
+``ts``, with map-side combine) first looks for series above ``BlockSize.rows``:
 
-The cuts come from counts per (series, calendar unit), a small aggregate with map-side combine. Its
-per-series window is bounded by the calendar (about 52 rows a year), not by the number of bars.
+* none: windows partition by the series keys, nothing is added to the plan;
+* some: those series are cut at calendar-unit borders into blocks of about ``rows`` rows, and each
+  block receives copies of the ``halo`` rows before it, so every look-back of at most ``halo`` rows
+  is exact inside one block. The cut table (one row per series and unit) is written to the shared
+  scratch folder; Spark then knows its size and broadcasts it only if it is small.
+
+Per-series windows over the cut table are bounded by the calendar (about 52 rows a year).
 """
 
 from __future__ import annotations
@@ -14,10 +18,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.schema import series_keys
+from tickloom.sources.scratch import materialize
 
 SPLIT, BLOCK, OWN = "_split", "_block", "_own"
 
@@ -31,105 +36,107 @@ class BlockSize:
 DEFAULT = BlockSize()
 
 
-def block_keys(keys: Sequence[str]) -> list[str]:
-    """Partition columns of block-local windows.
+@dataclass(frozen=True)
+class Blocks:
+    """A frame whose windows partition by ``part``; ``split`` tells whether any series was cut."""
+    frame: DataFrame
+    keys: list[str]
+    split: bool
+
+    @property
+    def part(self) -> list[str]:
+        # ``_split`` is among the keys so that a filter on it moves below the windows.
+        return [*self.keys, SPLIT, BLOCK] if self.split else self.keys
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Drop the halo copies and the block columns."""
+        return df.filter(OWN).drop(SPLIT, BLOCK, OWN) if self.split else df
 
-    ``_split`` is among them so that a filter on it moves below the windows.
-    """
-    return [*keys, SPLIT, BLOCK]
+    def own(self, df: DataFrame) -> DataFrame:
+        return df.filter(OWN) if self.split else df
 
 
-def block_window(keys: Sequence[str], order: Sequence[str] = ("ts",)) -> WindowSpec:
-    return Window.partitionBy(*block_keys(keys)).orderBy(*order)
+def over(part: Sequence[str], order: str = "ts", frame: str = "") -> str:
+    """OVER clause text."""
+    return f"OVER (PARTITION BY {', '.join(f'`{p}`' for p in part)} ORDER BY {order} {frame})"
+
+
+SO_FAR = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 
 def _unit(size: BlockSize):
     return F.floor(F.unix_seconds("ts") / size.unit_seconds)
 
 
-def _block_map(df: DataFrame, keys: list[str], halo: int, size: BlockSize) -> DataFrame:
-    """(series, unit) -> blocks that need the unit's rows; only for series above the limit."""
-    limit = max(size.rows, halo)
+def _cuts(df: DataFrame, keys: list[str], halo: int, limit: int, size: BlockSize) -> DataFrame:
+    """(series, unit) -> the block that owns the unit's rows and those that need them as halo."""
     by_unit = Window.partitionBy(*keys).orderBy("_unit")
     units = (
         df.groupBy(*keys, _unit(size).alias("_unit")).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_end", F.sum("_n").over(by_unit.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
+        .withColumns({
+            "_end": F.sum("_n").over(by_unit.rowsBetween(Window.unboundedPreceding, 0)),
+            "_total": F.sum("_n").over(Window.partitionBy(*keys))})
         .filter(F.col("_total") > limit)
         .withColumn(BLOCK, F.floor((F.col("_end") - F.col("_n")) / limit).cast("int"))
     )
-    # A block starts less than ``limit`` after its number times ``limit``, so a stretch of ``halo``
-    # rows reaches into at most the next two blocks.
+    # Block k starts between row k*limit and row (k+1)*limit, so a stretch of ``halo`` <= limit rows
+    # reaches into at most the next two blocks.
     by_block = Window.partitionBy(*keys).orderBy(BLOCK)
+    following = [F.struct(F.lead(BLOCK, i).over(by_block).alias("block"),
+                          F.lead("_start", i).over(by_block).alias("start")) for i in (1, 2)]
     blocks = (
         units.groupBy(*keys, BLOCK)
         .agg(F.min(F.col("_end") - F.col("_n")).alias("_start"),
              F.collect_list(F.struct("_unit", "_end")).alias("_units"))
-        .withColumn("_next", F.array(*[
-            F.struct(F.lead(BLOCK, i).over(by_block).alias("block"),
-                     F.lead("_start", i).over(by_block).alias("start")) for i in (1, 2)]))
+        .withColumn("_next", F.array(*following))
     )
     return (
         blocks.select(*keys, BLOCK, "_next", F.explode("_units").alias("_u"))
-        .select(
-            *keys, F.col("_u._unit").alias("_unit"),
-            F.concat(
-                F.array(F.struct(F.col(BLOCK).alias("block"), F.lit(True).alias("own"))),
-                F.transform(
-                    F.filter("_next", lambda n: n.start - F.col("_u._end") < halo),
-                    lambda n: F.struct(n.block.alias("block"), F.lit(False).alias("own"))),
-            ).alias("_to"))
+        .select(*keys, F.col("_u._unit").alias("_unit"), F.expr(f"""
+            concat(array(struct({BLOCK} AS block, true AS own)),
+                   transform(filter(_next, n -> n.start - _u._end < {halo}),
+                             n -> struct(n.block AS block, false AS own)))""").alias("_to"))
     )
 
 
 def split_blocks(df: DataFrame, halo: int, size: BlockSize = DEFAULT,
-                 keys: Sequence[str] | None = None) -> DataFrame:
-    """Add ``_split``, ``_block`` and ``_own``; halo copies carry ``_own`` = false."""
+                 keys: Sequence[str] | None = None) -> Blocks:
+    """Cut series above ``size.rows`` into blocks; runs one counting job."""
     keys = list(keys or series_keys(df))
-    targets = _block_map(df, keys, halo, size)
-    whole = F.array(F.struct(F.lit(0).alias("block"), F.lit(True).alias("own")))
-    return (
-        df.withColumn("_unit", _unit(size))
-        .join(targets, [*keys, "_unit"], "left")
-        .withColumn(SPLIT, F.col("_to").isNotNull())
-        .withColumn("_to", F.explode(F.coalesce("_to", whole)))
-        .withColumn(BLOCK, F.col("_to.block"))
-        .withColumn(OWN, F.col("_to.own"))
+    limit = max(size.rows, halo)
+    long = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    if long.isEmpty():
+        return Blocks(df, keys, False)
+    cuts = materialize(_cuts(df, keys, halo, limit, size), "cuts")
+    whole = F.expr("array(struct(0 AS block, true AS own))")
+    placed = (
+        df.withColumn("_unit", _unit(size)).join(cuts, [*keys, "_unit"], "left")
+        .withColumns({SPLIT: F.col("_to").isNotNull(), "_to": F.explode(F.coalesce("_to", whole))})
+        .withColumns({BLOCK: F.col("_to.block"), OWN: F.col("_to.own")})
         .drop("_to", "_unit")
     )
-
-
-def drop_halo(df: DataFrame) -> DataFrame:
-    return df.filter(OWN).drop(SPLIT, BLOCK, OWN)
+    return Blocks(placed, keys, True)
 
 
 def in_blocks(df: DataFrame, halo: int, add: Callable[[DataFrame, list[str]], DataFrame],
               size: BlockSize = DEFAULT) -> DataFrame:
-    """Run ``add(blocked, keys)`` with ``halo`` rows of look-back and drop the copies."""
-    keys = series_keys(df)
-    return drop_halo(add(split_blocks(df, halo, size, keys), keys))
-
-
-def with_carry(blocked: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Attach per-block carry-in columns; the block partitioning of ``blocked`` is kept."""
-    return blocked.join(carry, block_keys(keys), "left")
+    """Run ``add(frame, partition columns)`` with ``halo`` rows of look-back."""
+    blocks = split_blocks(df, halo, size)
+    return blocks.finish(add(blocks.frame, blocks.part))
 
 
 def running_sum(df: DataFrame, column: str, out: str, keys: Sequence[str], order: Sequence[str],
                 unit_seconds: int = 86_400) -> DataFrame:
     """Inclusive prefix sum along each series: inside calendar units, plus the units before."""
-    size = BlockSize(unit_seconds=unit_seconds)
-    marked = df.withColumn("_unit", _unit(size))
+    marked = df.withColumn("_unit", _unit(BlockSize(unit_seconds=unit_seconds)))
     prior = Window.partitionBy(*keys).orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         marked.groupBy(*keys, "_unit").agg(F.sum(column).alias("_sum"))
         .select(*keys, "_unit", F.coalesce(F.sum("_sum").over(prior), F.lit(0)).alias("_before"))
     )
-    inside = (Window.partitionBy(*keys, "_unit").orderBy(*order)
-              .rowsBetween(Window.unboundedPreceding, 0))
+    inside = F.expr(f"sum({column}) {over([*keys, '_unit'], ', '.join(order), SO_FAR)}")
     return (
-        marked.withColumn(out, F.sum(column).over(inside))
-        .join(offsets, [*keys, "_unit"])
-        .withColumn(out, F.col(out) + F.col("_before"))
-        .drop("_before", "_unit")
+        marked.withColumn(out, inside).join(offsets, [*keys, "_unit"])
+        .withColumn(out, F.col(out) + F.col("_before")).drop("_before", "_unit")
     )

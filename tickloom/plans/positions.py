@@ -16,13 +16,15 @@ Series that fit one block skip the first two steps.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.plans.blocks import BLOCK, OWN, SPLIT, block_keys
+from tickloom.plans.blocks import BLOCK, SPLIT, Blocks
 
 FLAT = None
 LOOK = 64
@@ -133,49 +135,53 @@ def _key_schema(df: DataFrame, columns) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
-def position_signals(blocked: DataFrame, split_only: DataFrame, keys: list[str]) -> DataFrame:
-    """Add ``signal`` and ``entry_price``; consumes ``_entry``, ``_forced``, ``_stop``, ``_target``.
+def position_signals(blocks: Blocks, rule: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Add ``signal`` and ``entry_price``.
 
-    ``blocked`` is a blocked frame, ``split_only`` the same frame restricted to split series.
+    ``rule`` adds ``_entry``, ``_forced``, ``_stop`` and ``_target`` to a blocked frame.
     """
-    group = block_keys(keys)
-    rule = ["ts", "close", "_entry", "_forced", "_stop", "_target"]
+    part = blocks.part
+    rows = blocks.own(rule(blocks.frame))
+    kept = [c for c in rows.columns if c not in ("_entry", "_forced", "_stop", "_target")]
+    schema = T.StructType([*(rows.schema[c] for c in kept),
+                           T.StructField("signal", T.StringType()),
+                           T.StructField("entry_price", T.DoubleType())])
+    if blocks.split:
+        rows = rows.join(_block_starts(blocks, rule), part, "left")
+
+    def replay_block(pdf):
+        pdf = pdf.sort_values("ts", ignore_index=True)
+        held = "_start_held" in pdf and pdf["_start_held"].iat[0] is not None and bool(pdf["_start_held"].iat[0])
+        signal, price = replay(pdf, float(pdf["_start_price"].iat[0]) if held else FLAT)
+        out = pdf[kept].copy()
+        out["signal"], out["entry_price"] = signal, price
+        return out
+
+    out = rows.groupBy(*part).applyInPandas(replay_block, schema)
+    return out.withColumn("entry_price", F.expr("CASE WHEN NOT isnan(entry_price) THEN entry_price END"))
+
+
+def _block_starts(blocks: Blocks, rule) -> DataFrame:
+    """Position held at the start of each block of a split series."""
+    part = blocks.part
+    schema = ", ".join(f"`{c}` {blocks.frame.schema[c].dataType.simpleString()}" for c in part)
 
     def summarize_block(key, pdf):
-        return pd.DataFrame([{**dict(zip(group, key)), **summarize(pdf.sort_values("ts"))}])
+        return pd.DataFrame([{**dict(zip(part, key)), **summarize(pdf.sort_values("ts"))}])
 
-    def chain(key, pdf):
+    def chain(pdf):
         pdf, state, states = pdf.sort_values(BLOCK), FLAT, []
         for summary in pdf.to_dict("records"):
             states.append(state)
             state = step(summary, state)
-        out = pdf[group].copy()
+        out = pdf[part].copy()
         out["_start_held"] = [s is not FLAT for s in states]
-        out["_start_price"] = pd.array([np.nan if s is FLAT else s for s in states], dtype="float64")
+        out["_start_price"] = np.array([np.nan if s is FLAT else s for s in states], dtype="float64")
         return out
 
-    summaries = (
-        split_only.filter(OWN).select(*group, *rule).groupBy(*group)
-        .applyInPandas(summarize_block, f"{_key_schema(blocked, group)}, {_SUMMARY}")
-    )
-    starts = (
-        summaries.groupBy(*keys, SPLIT)
-        .applyInPandas(chain, f"{_key_schema(blocked, group)}, {_STATE}")
+    return (
+        blocks.own(rule(blocks.frame.filter(SPLIT)))
+        .select(*part, "ts", "close", "_entry", "_forced", "_stop", "_target")
+        .groupBy(*part).applyInPandas(summarize_block, f"{schema}, {_SUMMARY}")
+        .groupBy(*blocks.keys, SPLIT).applyInPandas(chain, f"{schema}, {_STATE}")
     )
-    own = blocked.filter(OWN).join(starts, group, "left")
-    kept = [c for c in blocked.columns if c not in ("_entry", "_forced", "_stop", "_target")]
-    schema = T.StructType([*(blocked.schema[c] for c in kept),
-                           T.StructField("signal", T.StringType()),
-                           T.StructField("entry_price", T.DoubleType())])
-
-    def replay_block(pdf):
-        pdf = pdf.sort_values("ts", ignore_index=True)
-        held = pdf["_start_held"].iat[0]
-        state = float(pdf["_start_price"].iat[0]) if held is not None and held == True else FLAT  # noqa: E712
-        signal, price = replay(pdf, state)
-        out = pdf[kept].copy()
-        out["signal"], out["entry_price"] = signal, price
-        return out
-
-    return own.groupBy(*group).applyInPandas(replay_block, schema).withColumn(
-        "entry_price", F.when(~F.isnan("entry_price"), F.col("entry_price")))

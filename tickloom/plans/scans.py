@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.plans.blocks import OWN, SPLIT, block_keys, block_window, with_carry
+from tickloom.plans.blocks import BEFORE, BLOCK, SO_FAR, SPLIT, Blocks, over
 
 # Largest exponent used inside one stretch; e^300 times any price stays far below overflow.
 STRETCH = 300.0
@@ -22,98 +23,79 @@ def decay_halo(alpha: float) -> int:
     return math.ceil(50.0 / decay_rate(alpha)) + 1
 
 
-def ewm_mean(df: DataFrame, keys: list[str], columns: dict[str, Column], alpha: float) -> DataFrame:
-    """Exponential mean y = (1-a)*y' + a*x, seeded with the first value; columns of ``df`` blocks.
+def ewm_mean(df: DataFrame, part: list[str], columns: dict[str, str], alpha: float) -> DataFrame:
+    """Exponential mean y = (1-a)*y' + a*x per output name and SQL expression x.
 
-    All ``columns`` must be null on the same rows. A gap of k nulls repeats y and then weighs the
-    old mean by (1-a)^(k+1) against a. The recurrence is a decayed sum: with L the running log
-    decay, y = sum(b * e^(L_b - L)). Rows are cut into stretches of ``STRETCH`` in L so the
-    exponent stays small; a stretch needs only the end value of the one before it.
+    Seeded with the first value. All ``columns`` must be null on the same rows. A gap of k nulls
+    repeats y and then weighs the old mean by (1-a)^(k+1) against a.
+
+    The recurrence is a decayed sum: with L the running log decay, y = sum(b * e^(L_b - L)). Rows
+    are cut into stretches of ``STRETCH`` in L so the exponent stays small; a stretch needs only
+    the end value of the one before it, older ones have faded to nothing.
     """
     rate = decay_rate(alpha)
     names = list(columns)
-    inputs = {name: f"_x_{name}" for name in names}
-    by_time = block_window(keys)
-    so_far = by_time.rowsBetween(Window.unboundedPreceding, 0)
-    before = by_time.rowsBetween(Window.unboundedPreceding, -1)
-
-    df = df.withColumns({inputs[n]: columns[n] for n in names})
-    present = F.col(inputs[names[0]]).isNotNull()
-    df = df.withColumns({"_i": F.row_number().over(by_time), "_n": F.count(F.when(present, 1)).over(so_far)})
-    df = df.withColumn("_gap", F.when(
-        present & (F.col("_n") > 1),
-        F.col("_i") - F.last(F.when(present, F.col("_i")), ignorenulls=True).over(before) - 1))
-    gapped = F.coalesce(F.col("_gap"), F.lit(0)) > 0
-    old = F.exp(-rate * (F.col("_gap") + 1))
-    step = F.when(gapped, F.least(F.log(old + alpha) - F.log(old), F.lit(STRETCH)) - rate)
-    weight = (F.when(F.col("_n") == 1, 1.0).when(gapped, alpha / (old + alpha)).otherwise(alpha))
-    df = df.withColumn("_decay", (F.greatest(F.col("_n") - 1, F.lit(0))) * rate
-                       + F.coalesce(F.sum(step).over(so_far), F.lit(0.0)))
-    df = df.withColumn("_stretch", F.floor(F.col("_decay") / STRETCH))
-    local = F.col("_decay") - F.col("_stretch") * STRETCH
-
-    inside = Window.partitionBy(*block_keys(keys), "_stretch").orderBy("ts")
-    along = Window.partitionBy(*block_keys(keys)).orderBy("_stretch", "ts")
-    z = {n: f"_z_{n}" for n in names}
-    df = df.withColumns({
-        z[n]: F.sum(weight * F.col(inputs[n]) * F.exp(local)).over(
-            inside.rowsBetween(Window.unboundedPreceding, 0)) * F.exp(-local)
-        for n in names})
-    df = df.withColumn("_last", F.lag(F.struct("_decay", *z.values())).over(along))
-    df = df.withColumn("_carry", F.first("_last").over(
-        inside.rowsBetween(Window.unboundedPreceding, 0)))
-    fade = F.exp(F.col("_carry._decay") - F.col("_decay"))
-    df = df.withColumns({
-        n: F.col(z[n]) + F.coalesce(F.col(f"_carry.{z[n]}") * fade, F.lit(0.0)) for n in names})
-    return df.drop("_i", "_n", "_gap", "_decay", "_stretch", "_last", "_carry",
-                   *inputs.values(), *z.values())
-
-
-def toggle_signals(blocked: DataFrame, keys: list[str], entry: str, exit_: str,
-                   rebuild) -> DataFrame:
-    """BUY / SELL from two masks that act in turn, at most one action per row.
+    x = {n: f"_x{i}" for i, n in enumerate(names)}
+    z = {n: f"_z{i}" for i, n in enumerate(names)}
+    there = f"{x[names[0]]} IS NOT NULL"
+    df = df.selectExpr("*", *[f"{columns[n]} AS {x[n]}" for n in names])
+    df = df.selectExpr("*", f"row_number() {over(part)} AS _i",
+                       f"count({x[names[0]]}) {over(part, frame=SO_FAR)} AS _n")
+    df = df.selectExpr("*", f"""CASE WHEN {there} AND _n > 1 THEN _i - 1
+        - last(CASE WHEN {there} THEN _i END, true) {over(part, frame=BEFORE)} ELSE 0 END AS _gap""")
+    old = f"exp(-{rate!r}D * (_gap + 1))"
+    extra = f"CASE WHEN _gap > 0 THEN least(ln({old} + {alpha!r}D) - ln({old}), {STRETCH}D) - {rate!r}D ELSE 0D END"
+    df = df.selectExpr("*", f"greatest(_n - 1, 0) * {rate!r}D + sum({extra}) {over(part, frame=SO_FAR)} AS _decay",
+                       f"""CASE WHEN _n = 1 THEN 1D WHEN _gap > 0 THEN {alpha!r}D / ({old} + {alpha!r}D)
+                           ELSE {alpha!r}D END AS _weight""")
+    df = df.selectExpr("*", f"floor(_decay / {STRETCH}D) AS _stretch")
+    inside = over([*part, "_stretch"], frame=SO_FAR)
+    local = f"(_decay - _stretch * {STRETCH}D)"
+    df = df.selectExpr("*", *[
+        f"sum(_weight * {x[n]} * exp({local})) {inside} * exp(-{local}) AS {z[n]}" for n in names])
+    df = df.selectExpr("*", f"lag(struct(_decay, {', '.join(z.values())})) {over(part, '_stretch, ts')} AS _last")
+    df = df.selectExpr("*", f"first(_last) {inside} AS _carry")
+    df = df.selectExpr("*", *[
+        f"{z[n]} + coalesce(_carry.{z[n]} * exp(_carry._decay - _decay), 0D) AS {n}" for n in names])
+    return df.drop("_i", "_n", "_gap", "_decay", "_weight", "_stretch", "_last", "_carry",
+                   *x.values(), *z.values())
+
+
+def toggle_signals(blocks: Blocks, masks: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """BUY / SELL from ``_entry`` and ``_exit`` acting in turn, at most one action per row.
 
     Per row: entry only sets the state to in, exit only sets it to out, both flip it, none keeps
-    it. The state is the last set value plus the flips since, modulo 2. ``rebuild`` gives the same
-    blocked frame again, restricted to split series, for the block-level carry.
+    it. The state is the last set value plus the flips since, modulo 2. Of earlier blocks only
+    their end state matters: one row per block is folded and joined back.
     """
-    by_time = block_window(keys)
-    so_far = by_time.rowsBetween(Window.unboundedPreceding, 0)
-    both = F.col(entry) & F.col(exit_)
-    fixed = F.when(F.col(entry) & ~F.col(exit_), 1).when(F.col(exit_) & ~F.col(entry), 0)
-
-    def local_state(df):
-        df = df.withColumn("_flips", F.sum(both.cast("int")).over(so_far))
-        return df.withColumn(
-            "_set", F.last(F.when(fixed.isNotNull(), F.struct(fixed.alias("to"), "_flips")),
-                           ignorenulls=True).over(so_far))
-
-    ends = (
-        local_state(rebuild()).groupBy(*block_keys(keys))
-        .agg(F.max_by(F.struct("_flips", "_set"), "ts").alias("_end"))
-    )
-    by_block = Window.partitionBy(*keys, SPLIT).orderBy("_block")
-    up_to = by_block.rowsBetween(Window.unboundedPreceding, 0)
-    prior = by_block.rowsBetween(Window.unboundedPreceding, -1)
-    flips_before = F.coalesce(F.sum("_end._flips").over(prior), F.lit(0))
-    carry = (
-        ends.withColumn("_base", flips_before)
-        .withColumn("_all", F.sum("_end._flips").over(up_to))
-        .withColumn("_last_set", F.last(F.when(F.col("_end._set").isNotNull(), F.struct(
-            F.col("_end._set.to").alias("to"),
-            (F.col("_base") + F.col("_end._set._flips")).alias("flips"))), ignorenulls=True).over(up_to))
-        .withColumn("_out", (F.coalesce(F.col("_last_set.to"), F.lit(0)) + F.col("_all")
-                             - F.coalesce(F.col("_last_set.flips"), F.lit(0))) % 2)
-        .select(*block_keys(keys), F.lag("_out").over(by_block).alias("_held"))
-    )
-    df = with_carry(local_state(blocked), carry, keys)
-    start = F.coalesce(F.col("_held"), F.lit(0))
-    df = df.withColumn("_state", F.when(
-        F.col("_set").isNull(), (start + F.col("_flips")) % 2).otherwise(
-        (F.col("_set.to") + F.col("_flips") - F.col("_set._flips")) % 2))
-    df = df.withColumn("_was", F.coalesce(F.lag("_state").over(by_time), start))
-    return (
-        df.withColumn("signal", F.when(F.col("_state") > F.col("_was"), "BUY")
-                      .when(F.col("_state") < F.col("_was"), "SELL"))
-        .drop("_flips", "_set", "_held", "_state", "_was")
-    )
+    part = blocks.part
+
+    def local(df):
+        df = df.selectExpr("*", f"sum(int(_entry AND _exit)) {over(part, frame=SO_FAR)} AS _flips")
+        return df.selectExpr("*", f"""last(CASE WHEN _entry <> _exit THEN
+            struct(int(_entry) AS to, _flips AS flips) END, true) {over(part, frame=SO_FAR)} AS _set""")
+
+    df = local(blocks.own(masks(blocks.frame)))
+    if blocks.split:
+        df = df.join(_block_states(blocks, local(blocks.own(masks(blocks.frame.filter(SPLIT))))), part, "left")
+    else:
+        df = df.withColumn("_start", F.lit(0))
+    df = df.selectExpr("*", """CASE WHEN _set IS NULL THEN (coalesce(_start, 0) + _flips) % 2
+        ELSE (_set.to + _flips - _set.flips) % 2 END AS _state""")
+    df = df.selectExpr("*", f"coalesce(lag(_state) {over(part)}, _start, 0) AS _was")
+    return df.selectExpr("*", """CASE WHEN _state > _was THEN 'BUY'
+        WHEN _state < _was THEN 'SELL' END AS signal""").drop("_flips", "_set", "_start", "_state", "_was")
+
+
+def _block_states(blocks: Blocks, local: DataFrame) -> DataFrame:
+    """State before each block."""
+    line = [*blocks.keys, SPLIT]
+    ends = local.groupBy(*blocks.part).agg(F.max_by(F.struct("_flips", "_set"), "ts").alias("_end"))
+    ends = ends.selectExpr(
+        "*", f"sum(_end._flips) {over(line, BLOCK, SO_FAR)} AS _all",
+        f"coalesce(sum(_end._flips) {over(line, BLOCK, BEFORE)}, 0) AS _base")
+    ends = ends.selectExpr("*", f"""last(CASE WHEN _end._set IS NOT NULL THEN struct(_end._set.to AS to,
+        _base + _end._set.flips AS flips) END, true) {over(line, BLOCK, SO_FAR)} AS _fixed""")
+    ends = ends.selectExpr(
+        "*", "(coalesce(_fixed.to, 0) + _all - coalesce(_fixed.flips, 0)) % 2 AS _out")
+    return ends.selectExpr(*blocks.part, f"lag(_out) {over(line, BLOCK)} AS _start")

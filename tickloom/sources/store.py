@@ -1,10 +1,7 @@
-"""Bar store, registry tables, CSV output and the shared scratch folder."""
+"""Bar store, registry tables and CSV output."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,15 +9,6 @@ from tickloom.functions.clock import local_date
 from tickloom.schema import REGISTRY
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the cluster's shared folder (``spark.checkpoint.dir``).
-
-    Only where that setting is absent, as in local tests, a temporary folder serves.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tickloom-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def write_bars(df: DataFrame, path: str, by_symbol: bool = False, mode: str = "append") -> None:
     """Parquet by market-local date (and symbol when there are few).
 

@@ -9,6 +9,7 @@ from tickloom.operators import indicators as ind
 from tickloom.operators import quality as q
 from tickloom.operators import resample as rs
 from tickloom.sources import payloads, store
+from tickloom.sources.scratch import scratch_path
 from workload import fixtures as fx
 from workload.fixtures import EVENT_SQL, SHIP_SQL, STRATEGIES_SQL, TICKS_SQL, WALK_SQL, et, show
 from workload.registry import query
@@ -24,7 +25,7 @@ RTH = f"{SECONDS} BETWEEN 34200 AND 57600"
 
 def _land(spark, df, name: str) -> str:
     """Write payload rows as JSON lines; returns the folder."""
-    path = store.scratch_path(spark, name)
+    path = scratch_path(spark, name)
     df.write.json(path, ignoreNullFields=True)
     return path
 
@@ -83,7 +84,7 @@ def s6(spark, sf):
     round(close, 4) AS close FROM bars UNION ALL
     SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M') AS at, round(open, 4) AS close FROM bars""")
 def s7(spark, sf):
-    path = store.scratch_path(spark, "csv")
+    path = scratch_path(spark, "csv")
     bars = fx.event_bars(spark, sf).withColumn("at", F.date_format("ts", "yyyy-MM-dd HH:mm"))
     store.append_csv(bars.select("symbol", "at", "close"), path)
     store.append_csv(bars.select("symbol", "at", F.col("open").alias("close")), path)
@@ -95,7 +96,7 @@ def s7(spark, sf):
     SELECT s.id AS strategy_id, s.name, count(p.order_id) AS orders, round(sum(p.quantity), 4) AS quantity
     FROM strategies s JOIN positions p ON p.strategy_id = s.id GROUP BY 1, 2""")
 def s8(spark, sf):
-    path = store.scratch_path(spark, "registry")
+    path = scratch_path(spark, "registry")
     fx.strategies(spark, sf).write.parquet(f"{path}/day_trading_strategies")
     fx.positions(spark, sf).write.parquet(f"{path}/active_positions")
     fx.trade_history(spark, sf).write.parquet(f"{path}/trade_history")
@@ -110,7 +111,7 @@ def s8(spark, sf):
 @query("s9_write_bars", f"""WITH {EVENT_SQL} SELECT {OHLCV} FROM bars
     WHERE CAST({ET_TS} AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'""")
 def s9(spark, sf):
-    path = store.scratch_path(spark, "bars")
+    path = scratch_path(spark, "bars")
     store.write_bars(fx.event_bars(spark, sf), path)
     return show(store.read_bars(spark, path, "2024-01-05", "2024-01-12"),
                 "symbol", "ts", "open", "high", "low", "close", "volume")
@@ -177,9 +178,9 @@ def f6(spark, sf):
 
 
 @query("f7_filled_orders_on_day", f"""WITH {fx.STATUS_SQL} SELECT * FROM order_status
-    WHERE status = 'FILLED' AND entered_time >= TIMESTAMP '1996-03-01' AND entered_time < TIMESTAMP '1996-03-02'""")
+    WHERE status = 'FILLED' AND entered_time >= TIMESTAMP '2000-08-03' AND entered_time < TIMESTAMP '2000-08-04'""")
 def f7(spark, sf):
-    return show(q.filled_orders_on_day(fx.order_status(spark, sf), "1996-03-01"))
+    return show(q.filled_orders_on_day(fx.order_status(spark, sf), "2000-08-03"))
 
 
 @query("f9_check_constraints", f"""WITH {fx.POSITIONS_SQL}, p AS (SELECT order_id, strategy_id * 2 AS strategy_id,
@@ -220,7 +221,7 @@ def grid_sql(minutes: str, first: str, ts: str = "ts") -> str:
     """Candle start on the grid anchored at the local midnight of ``first``."""
     origin = f"timezone('UTC', timezone('America/New_York', date_trunc('day', {et(first)})))"
     return (f"make_timestamp(epoch_us({origin}) + ((epoch_us({ts}) - epoch_us({origin})) "
-            f"// (60000000 * {minutes})) * (60000000 * {minutes}))")
+            f"// (60000000::BIGINT * {minutes})) * (60000000::BIGINT * {minutes}))")
 
 
 def candles_sql(minutes: int, bars: str = "bars", name: str = "candles") -> str:

@@ -150,12 +150,16 @@ HISTORY_SQL = """history AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_supp
 
 # ---- Output shaping: timestamps without zone, rounded doubles ----
 
-def show(df: DataFrame, *columns: str, decimals: int = 4) -> DataFrame:
-    """Chosen columns, doubles rounded and timestamps without zone, for comparison with SQL."""
+def show(df: DataFrame, *columns: str, decimals: int = 4, fine: tuple[str, ...] = ()) -> DataFrame:
+    """Chosen columns, doubles rounded and timestamps without zone, for comparison with SQL.
+
+    ``fine`` columns keep 8 decimals: quotients of two-decimal prices by small counts often lie
+    halfway between two 4-decimal values.
+    """
     out = df.select(*columns) if columns else df
     kind = dict(out.dtypes)
     return out.select(*[
-        F.round(c, decimals).alias(c) if kind[c] == "double"
+        F.round(c, 8 if c in fine else decimals).alias(c) if kind[c] == "double"
         else F.col(c).cast("timestamp_ntz").alias(c) if kind[c] == "timestamp"
         else F.col(c) for c in out.columns])
 

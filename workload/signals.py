@@ -48,10 +48,10 @@ def g1(spark, sf):
 
 
 @query("g1_sma_cross_daily", f"""WITH {SHIP_SQL}, {cross_sql('bars', 200)} SELECT symbol, ts,
-    round(close, 4) AS close, signal, round(quantity, 4) AS quantity FROM crossed WHERE signal IS NOT NULL""")
+    round(close, 8) AS close, signal, round(quantity, 8) AS quantity FROM crossed WHERE signal IS NOT NULL""")
 def g1_daily(spark, sf):
     signals = st.sma_cross(fx.ship_bars(spark, sf)).filter(F.col("signal").isNotNull())
-    return show(signals, "symbol", "ts", "close", "signal", "quantity")
+    return show(signals, "symbol", "ts", "close", "signal", "quantity", fine=("close", "quantity"))
 
 
 REVERSAL = f"""{WALK_SQL}, {atr_sql('bars')}, {rsi_sql('tr')},
@@ -98,11 +98,11 @@ SWING = f"""{SHIP_SQL}, {pct_sql()}, {HOT_SQL}, {atr_sql('hot', extra='')},
     CASE WHEN signal IS NULL THEN 0.0 ELSE 1.0 END AS quantity FROM walk JOIN rules USING (symbol, t))"""
 
 
-@query("g3_runners_swing", f"""WITH RECURSIVE {SWING} SELECT symbol, ts, round(close, 4) AS close, signal,
+@query("g3_runners_swing", f"""WITH RECURSIVE {SWING} SELECT symbol, ts, round(close, 8) AS close, signal,
     round(quantity, 4)::DOUBLE AS quantity FROM acted WHERE signal IS NOT NULL""")
 def g3(spark, sf):
     signals = st.runners_swing(fx.ship_bars(spark, sf)).filter(F.col("signal").isNotNull())
-    return show(signals, "symbol", "ts", "close", "signal", "quantity")
+    return show(signals, "symbol", "ts", "close", "signal", "quantity", fine=("close",))
 
 
 BRACKET = f"""{WALK_SQL}, {atr_sql('bars')}, {rsi_sql('atr')},
@@ -239,10 +239,15 @@ MESSY = f"""{SHIP_SQL}, {cross_sql('bars', 5, 100000)}, messy AS (SELECT symbol,
     CASE WHEN day(ts) % 7 = 0 AND signal = 'SELL' THEN 'BUY' ELSE signal END AS signal,
     CASE WHEN day(ts) % 13 = 0 THEN -1.0 ELSE quantity END AS quantity FROM crossed)"""
 
-TRADE_SQL = """symbol, entry_time, exit_time, round(avg_entry_price, 4) AS avg_entry_price,
-    round(exit_price, 4) AS exit_price, total_shares, round(total_cost, 4) AS total_cost,
+FINE = ("avg_entry_price", "exit_price")
+TRADE_SQL = """symbol, entry_time, exit_time, round(avg_entry_price, 8) AS avg_entry_price,
+    round(exit_price, 8) AS exit_price, total_shares, round(total_cost, 4) AS total_cost,
     round(exit_value, 4) AS exit_value, round(profit, 4) AS profit, round(profit_pct, 4) AS profit_pct, number_of_buys"""
 
+# One share per signal keeps these amounts at price precision.
+TRADE_FINE_SQL = TRADE_SQL.replace("total_cost, 4", "total_cost, 8").replace(
+    "exit_value, 4", "exit_value, 8").replace("profit, 4", "profit, 8")
+
 
 def messy_signals(spark, sf):
     day = F.dayofmonth("ts")
@@ -254,12 +259,13 @@ def messy_signals(spark, sf):
 
 @query("b4_pair_trades", f"WITH RECURSIVE {MESSY}, {PAIRING.format(source='messy')} SELECT {TRADE_SQL} FROM trades")
 def b4(spark, sf):
-    return show(bt.pair_trades(messy_signals(spark, sf), decimals=None))
+    return show(bt.pair_trades(messy_signals(spark, sf), decimals=None), fine=FINE)
 
 
-@query("b4_pair_trades_swing", f"WITH RECURSIVE {SWING}, {PAIRING.format(source='acted')} SELECT {TRADE_SQL} FROM trades")
+@query("b4_pair_trades_swing", f"WITH RECURSIVE {SWING}, {PAIRING.format(source='acted')} SELECT {TRADE_FINE_SQL} FROM trades")
 def b4_swing(spark, sf):
-    return show(bt.pair_trades(st.runners_swing(fx.ship_bars(spark, sf)), decimals=None))
+    return show(bt.pair_trades(st.runners_swing(fx.ship_bars(spark, sf)), decimals=None),
+                fine=(*FINE, "total_cost", "exit_value", "profit"))
 
 
 @query("b5_open_positions", f"""WITH RECURSIVE {MESSY}, {PAIRING.format(source='messy')}
