@@ -7,60 +7,83 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.clock import local_date
 from tickloom.operators.resample import daily_close
-from tickloom.plans.blocks import DEFAULT, SO_FAR, BlockSize, in_blocks, over
-from tickloom.plans.scans import decay_halo, ewm_mean
+from tickloom.plans.blocks import DEFAULT, SO_FAR, Blocks, BlockSize, in_blocks, over
+from tickloom.plans.scans import RUN_ORDER, Smooth, add_runs, decay_halo, ewm_mean, run_length
 from tickloom.schema import require_columns, series_keys
 
 
-# Block-level forms: a frame and its window partition columns in, the frame with a column out. The
-# strategies chain them so that all share one shuffle and sort.
+PRICES = ("high", "low", "close")
+TRUE_RANGE = "greatest(high - low, abs(high - _pc), abs(low - _pc))"
+CHANGE = "(close - _pc)"
+GAIN = f"CASE WHEN {CHANGE} IS NOT NULL THEN greatest({CHANGE}, 0D) END"
+LOSS = f"CASE WHEN {CHANGE} IS NOT NULL THEN greatest(-{CHANGE}, 0D) END"
+SHORT = "double(raise_error('series is too short for RSI'))"
 
-def add_sma(df: DataFrame, part, length: int, col: str = "close", out: str | None = None):
-    frame = over(part, frame=f"ROWS BETWEEN {length - 1} PRECEDING AND CURRENT ROW")
-    return df.selectExpr("*", f"""CASE WHEN count({col}) {frame} = {length}
-        THEN avg({col}) {frame} END AS {out or f'SMA{length}'}""")
 
+def add_indicators(df: DataFrame, blocks: Blocks, sma: dict[str, tuple[str, int]] | None = None,
+                   ewm: dict[str, tuple[str, float]] | None = None, atr: dict[str, int] | None = None,
+                   rsi: dict[str, int] | None = None, rsi_ratio: dict[str, int] | None = None,
+                   strict: bool = False) -> DataFrame:
+    """All asked-for columns on a blocked frame, sharing their windows; adds ``_run`` as well.
 
-def add_true_range(df: DataFrame, part, out: str = "true_range"):
-    before = f"lag(close) {over(part)}"
-    return df.selectExpr("*", f"greatest(high - low, abs(high - {before}), abs(low - {before})) AS {out}")
-
-
-def add_atr(df: DataFrame, part, period: int = 14, out: str = "ATR"):
-    return ewm_mean(add_true_range(df, part, "_tr"), part, {out: "_tr"}, 1.0 / period).drop("_tr")
-
-
-def _gain_and_loss(df: DataFrame, part, period: int):
-    df = df.selectExpr("*", f"close - lag(close) {over(part)} AS _change")
-    return ewm_mean(df, part, {
-        "_gain": "CASE WHEN _change IS NOT NULL THEN greatest(_change, 0D) END",
-        "_loss": "CASE WHEN _change IS NOT NULL THEN greatest(-_change, 0D) END"}, 1.0 / period)
-
-
-def add_rsi(df: DataFrame, part, period: int = 14, out: str = "RSI", strict: bool = False):
-    short = "double(raise_error('series is too short for RSI'))" if strict else "NULL"
-    rows = f"count(*) OVER (PARTITION BY {', '.join(f'`{p}`' for p in part)})"
-    return _gain_and_loss(df, part, period).selectExpr("*", f"""CASE WHEN {rows} >= {3 * period}
-        THEN 100D - 100D / (1D + _gain / nullif(_loss, 0D)) ELSE {short} END AS {out}""",
-    ).drop("_change", "_gain", "_loss")
-
-
-def add_rsi_ratio(df: DataFrame, part, length: int = 14, out: str | None = None):
-    return _gain_and_loss(df, part, length).selectExpr("*", f"""CASE
-        WHEN count(_change) {over(part, frame=SO_FAR)} >= {length}
-        THEN 100D * _gain / nullif(_gain + _loss, 0D) END AS {out or f'RSI_{length}'}""",
-    ).drop("_change", "_gain", "_loss")
-
-
-def add_prev(df: DataFrame, part, columns: dict[str, str], n: int = 1):
+    Further windows over the result should order by ``RUN_ORDER`` to keep its sort.
+    """
+    part = blocks.part
+    sma, ewm, atr, rsi, rsi_ratio = (d or {} for d in (sma, ewm, atr, rsi, rsi_ratio))
+    smooth = {f"_ewm_{o}": Smooth(c, a) for o, (c, a) in ewm.items()}
+    smooth |= {f"_atr_{o}": Smooth(TRUE_RANGE, 1.0 / n) for o, n in atr.items()}
+    for o, n in {**rsi, **rsi_ratio}.items():
+        smooth |= {f"_gain_{o}": Smooth(GAIN, 1.0 / n, 1), f"_loss_{o}": Smooth(LOSS, 1.0 / n, 1)}
+    extra = {"_rows": "count(*) {frame}".replace("{frame}", _whole(part)),
+             "_changes": f"count({CHANGE}) {{frame}}"}
+    extra = {k: v for k, v in extra.items() if (k == "_rows" and rsi) or (k == "_changes" and rsi_ratio)}
+
+    before = [] if not (atr or rsi or rsi_ratio) else [f"lag(close) {over(part)} AS _pc"]
+    df = df.selectExpr("*", f"row_number() {over(part)} - 1 AS _i", *before)
+    run = run_length([n for _, n in sma.values()] or [1], {s.alpha for s in smooth.values()})
+    if blocks.gaps or run is None:
+        df = _with_gaps(df, part, sma, smooth, extra)
+    else:
+        df = add_runs(df, part, run, sma, smooth, extra)
+    too_short = SHORT if strict else "NULL"
+    df = df.selectExpr(
+        "*", *[f"_ewm_{o} AS {o}" for o in ewm], *[f"_atr_{o} AS {o}" for o in atr],
+        *[f"""CASE WHEN _rows < {3 * n} THEN {too_short}
+            ELSE 100D - 100D / (1D + _gain_{o} / nullif(_loss_{o}, 0D)) END AS {o}""" for o, n in rsi.items()],
+        *[f"""CASE WHEN _changes >= {n} THEN 100D * _gain_{o} / nullif(_gain_{o} + _loss_{o}, 0D) END AS {o}"""
+          for o, n in rsi_ratio.items()])
+    return df.drop("_i", "_pc", *smooth, *extra)
+
+
+def _whole(part) -> str:
+    return over(part, RUN_ORDER, "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING")
+
+
+def _with_gaps(df: DataFrame, part, sma, smooth: dict[str, Smooth], extra) -> DataFrame:
+    """The same columns where prices may be null: one exponential mean after the other."""
+    df = df.withColumn("_run", F.lit(0))
+    for out, (col, n) in sma.items():
+        frame = over(part, frame=f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW")
+        df = df.selectExpr("*", f"CASE WHEN count({col}) {frame} = {n} THEN avg({col}) {frame} END AS {out}")
+    for name, rule in smooth.items():
+        df = ewm_mean(df, part, {name: rule.x}, rule.alpha)
+    frame = over(part, RUN_ORDER, SO_FAR)
+    return df.selectExpr("*", *[f"{e.format(frame=frame)} AS {o}" for o, e in extra.items()])
+
+
+def add_true_range(df: DataFrame, blocks: Blocks, out: str = "true_range"):
+    df = df.selectExpr("*", f"lag(close) {over(blocks.part)} AS _pc")
+    return df.selectExpr("*", f"{TRUE_RANGE} AS {out}").drop("_pc")
+
+
+def add_prev(df: DataFrame, blocks: Blocks, columns: dict[str, str], n: int = 1, order: str = "ts"):
     """Previous-row values: output name -> column."""
-    return df.selectExpr("*", *[f"lag({c}, {n}) {over(part)} AS {o}" for o, c in columns.items()])
+    return df.selectExpr("*", *[f"lag({c}, {n}) {over(blocks.part, order)} AS {o}" for o, c in columns.items()])
 
 
-def add_hot(df: DataFrame, part, threshold: float = 5.0, pct: str = "daily_pct", out: str = "hot"):
-    return df.selectExpr("*", f"""coalesce({pct} > {threshold!r}D
-        AND lag({pct}, 1) {over(part)} > {threshold!r}D
-        AND lag({pct}, 2) {over(part)} > {threshold!r}D, false) AS {out}""")
+def hot_sql(threshold: float, part, order: str = "ts", pct: str = "daily_pct") -> str:
+    w, level = over(part, order), f"{float(threshold)!r}D"
+    return f"coalesce({pct} > {level} AND lag({pct}, 1) {w} > {level} AND lag({pct}, 2) {w} > {level}, false)"
 
 
 def rsi_halo(period: int) -> int:
@@ -77,29 +100,29 @@ def smoothing_halo(alpha: float) -> int:
 
 # Public forms: bars in, bars plus columns out.
 
+def _indicator(df: DataFrame, halo: int, size: BlockSize, check, **wanted) -> DataFrame:
+    require_columns(df, ["symbol", "ts", *check])
+    return in_blocks(df, halo, lambda f, b: add_indicators(f, b, **wanted).drop("_run"), size, check)
+
+
 def sma(df: DataFrame, length: int, col: str = "close", size: BlockSize = DEFAULT) -> DataFrame:
     """Mean of the last ``length`` rows as ``SMA{length}``; null until that many rows exist."""
-    require_columns(df, ["symbol", "ts", col])
-    return in_blocks(df, length - 1, lambda b, p: add_sma(b, p, length, col), size)
+    return _indicator(df, length - 1, size, [col], sma={f"SMA{length}": (col, length)})
 
 
 def ewm(df: DataFrame, col: str, alpha: float, out: str | None = None,
         size: BlockSize = DEFAULT) -> DataFrame:
     """Exponential mean of ``col``, seeded at its first value."""
-    require_columns(df, ["symbol", "ts", col])
-    name = out or f"{col}_ewm"
-    return in_blocks(df, smoothing_halo(alpha),
-                     lambda b, p: ewm_mean(b, p, {name: col}, alpha), size)
+    return _indicator(df, smoothing_halo(alpha), size, [col], ewm={out or f"{col}_ewm": (col, alpha)})
 
 
 def true_range(df: DataFrame, size: BlockSize = DEFAULT) -> DataFrame:
-    require_columns(df, ["symbol", "ts", "high", "low", "close"])
+    require_columns(df, ["symbol", "ts", *PRICES])
     return in_blocks(df, 1, add_true_range, size)
 
 
 def atr_wilder(df: DataFrame, period: int = 14, size: BlockSize = DEFAULT) -> DataFrame:
-    require_columns(df, ["symbol", "ts", "high", "low", "close"])
-    return in_blocks(df, smoothing_halo(1.0 / period) + 1, lambda b, p: add_atr(b, p, period), size)
+    return _indicator(df, smoothing_halo(1.0 / period) + 1, size, PRICES, atr={"ATR": period})
 
 
 def rsi_wilder(df: DataFrame, period: int = 14, strict: bool = False,
@@ -108,14 +131,12 @@ def rsi_wilder(df: DataFrame, period: int = 14, strict: bool = False,
 
     ``strict`` fails the job on a short series instead.
     """
-    require_columns(df, ["symbol", "ts", "close"])
-    return in_blocks(df, rsi_halo(period), lambda b, p: add_rsi(b, p, period, strict=strict), size)
+    return _indicator(df, rsi_halo(period), size, ["close"], rsi={"RSI": period}, strict=strict)
 
 
 def rsi_ratio(df: DataFrame, length: int = 14, size: BlockSize = DEFAULT) -> DataFrame:
     """RSI as 100*g/(g+l): 100 when there was no loss, null for the first ``length`` rows."""
-    require_columns(df, ["symbol", "ts", "close"])
-    return in_blocks(df, rsi_halo(length), lambda b, p: add_rsi_ratio(b, p, length), size)
+    return _indicator(df, rsi_halo(length), size, ["close"], rsi_ratio={f"RSI_{length}": length})
 
 
 def daily_percent_change(bars: DataFrame, causal: bool = False, out: str = "daily_pct") -> DataFrame:
@@ -144,11 +165,13 @@ def daily_percent_change(bars: DataFrame, causal: bool = False, out: str = "dail
 
 def hot_mask(bars: DataFrame, threshold: float = 5.0, size: BlockSize = DEFAULT) -> DataFrame:
     """True where the daily change exceeded ``threshold`` on this bar and the two bars before."""
-    return in_blocks(daily_percent_change(bars), 2, lambda b, p: add_hot(b, p, threshold), size)
+    return in_blocks(
+        daily_percent_change(bars), 2,
+        lambda f, b: f.selectExpr("*", f"{hot_sql(threshold, b.part)} AS hot"), size)
 
 
 def prev(df: DataFrame, cols, n: int = 1, size: BlockSize = DEFAULT) -> DataFrame:
     """Previous-row copies of ``cols`` as ``{col}_prev``."""
     require_columns(df, ["symbol", "ts", *cols])
     return in_blocks(
-        df, n, lambda b, p: add_prev(b, p, {f"{c}_prev": c for c in cols}, n), size)
+        df, n, lambda f, b: add_prev(f, b, {f"{c}_prev": c for c in cols}, n), size)

@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.clock import clock_seconds, second_of_day
 from tickloom.operators.indicators import (
-    add_atr, add_hot, add_prev, add_rsi, add_rsi_ratio, add_sma, daily_percent_change, rsi_halo,
-    smoothing_halo,
+    PRICES, add_indicators, add_prev, daily_percent_change, hot_sql, rsi_halo, smoothing_halo,
 )
-from tickloom.plans.blocks import DEFAULT, BlockSize, split_blocks
+from tickloom.plans.blocks import DEFAULT, BlockSize, over, split_blocks
 from tickloom.plans.positions import position_signals
-from tickloom.plans.scans import toggle_signals
+from tickloom.plans.scans import RUN_ORDER, toggle_signals
 from tickloom.schema import BAR_COLUMNS, require_columns, series_keys
 
 
@@ -23,11 +22,11 @@ def sma_cross(df: DataFrame, position_size: float = 150, length: int = 200,
     """BUY when the close crosses above its mean, SELL when it crosses below."""
     require_columns(df, ["symbol", "ts", "close"])
     mean = f"SMA{length}"
-    blocks = split_blocks(df, length, size)
-    b = add_sma(blocks.frame, blocks.part, length)
-    b = add_prev(b, blocks.part, {"_close": "close", "_mean": mean})
+    blocks = split_blocks(df, length, size, check=["close"])
+    b = add_indicators(blocks.frame, blocks, sma={mean: ("close", length)})
+    b = add_prev(b, blocks, {"_close": "close", "_mean": mean}, order=RUN_ORDER)
     b = b.selectExpr("*", f"""CASE WHEN _close < _mean AND close > {mean} THEN 'BUY'
-        WHEN _close > _mean AND close < {mean} THEN 'SELL' END AS signal""").drop("_close", "_mean")
+        WHEN _close > _mean AND close < {mean} THEN 'SELL' END AS signal""").drop("_close", "_mean", "_run")
     shares = f"try_divide({float(position_size)!r}D, close)"
     return with_quantity(blocks.finish(b), f"double(floor({shares}))" if whole_shares else shares)
 
@@ -42,18 +41,17 @@ def sma_rsi_reversal(df: DataFrame, short: int = 200, long: int = 400, rsi_len:
                      size: BlockSize = DEFAULT) -> DataFrame:
     """Enter on a weak RSI above the short mean; leave on a strong RSI or at the long mean."""
     require_columns(df, ["symbol", "ts", "low", "close"])
-    blocks = split_blocks(df, max(short, long, rsi_halo(rsi_len)), size)
-    part, rsi = blocks.part, f"RSI_{rsi_len}"
+    blocks = split_blocks(df, max(short, long, rsi_halo(rsi_len)), size, check=["close"])
+    rsi = f"RSI_{rsi_len}"
 
     def masks(b):
-        b = add_sma(b, part, short, out=f"SMA_{short}")
-        b = add_sma(b, part, long, out=f"FMA_{long}")
-        b = add_rsi_ratio(b, part, rsi_len)
+        b = add_indicators(b, blocks, rsi_ratio={rsi: rsi_len}, sma={
+            f"SMA_{short}": ("close", short), f"FMA_{long}": ("close", long)})
         return b.selectExpr(
             "*", f"coalesce({rsi} < {entry_rsi} AND low > SMA_{short}, false) AS _entry",
             f"coalesce({rsi} > {exit_rsi}, false) OR coalesce(low <= FMA_{long}, false) AS _exit")
 
-    out = toggle_signals(blocks, masks).drop("_entry", "_exit")
+    out = toggle_signals(blocks, masks, RUN_ORDER).drop("_entry", "_exit", "_run")
     return with_quantity(blocks.finish(out), f"{float(shares)!r}D")
 
 
@@ -61,17 +59,18 @@ def runners_swing(df: DataFrame, threshold: float = 5.0, atr_len: int = 14, shar
                   size: BlockSize = DEFAULT) -> DataFrame:
     """Enter a three-bar hot run above a trailing level; leave on the level, a stop or a crash day."""
     require_columns(df, ["symbol", "ts", "high", "low", "close"])
-    blocks = split_blocks(daily_percent_change(df), smoothing_halo(1.0 / atr_len) + 2, size)
-    part = blocks.part
+    blocks = split_blocks(daily_percent_change(df), smoothing_halo(1.0 / atr_len) + 2, size, check=PRICES)
 
     def rule(b):
-        b = add_hot(add_atr(b, part, atr_len), part, threshold)
-        b = add_prev(b, part, {"_close": "close", "_atr": "ATR"})
+        b = add_indicators(b, blocks, atr={"ATR": atr_len})
+        b = b.selectExpr(
+            "*", f"{hot_sql(threshold, blocks.part, RUN_ORDER)} AS hot",
+            *[f"lag({c}) {over(blocks.part, RUN_ORDER)} AS {o}" for o, c in (("_close", "close"), ("_atr", "ATR"))])
         level = "(_close - _atr * 2.5D)"
         return b.selectExpr(
             "*", f"hot AND coalesce(low > {level}, false) AND close IS NOT NULL AS _entry",
             f"coalesce(low < {level}, false) OR coalesce(daily_pct < -10D, false) AS _forced",
-            "close + _atr * 1.5D AS _stop", "double(NULL) AS _target").drop("_close", "_atr")
+            "close + _atr * 1.5D AS _stop", "double(NULL) AS _target").drop("_close", "_atr", "_run")
 
     out = position_signals(blocks, rule).drop("entry_price")
     return with_quantity(blocks.finish(out), f"{float(shares)!r}D")
@@ -83,13 +82,13 @@ def opening_bracket(df: DataFrame, pt: float = 5, stop: float = 0.9, window=("09
     """Enter on a bullish RSI jump with volume early in the session; leave at a target or stop that
     moves with the current ATR, or at 16:00."""
     require_columns(df, BAR_COLUMNS)
-    blocks = split_blocks(df, rsi_halo(14) + 1, size)
-    part = blocks.part
+    blocks = split_blocks(df, rsi_halo(14) + 1, size, check=PRICES)
     opens, closes, four = (clock_seconds(t) for t in (*window, "16:00"))
 
     def rule(b):
-        b = add_rsi(add_atr(b, part), part)
-        b = add_prev(b, part, {"RSI_prev": "RSI", "ATR_prev": "ATR", "close_prev": "close", "low_prev": "low"})
+        b = add_indicators(b, blocks, atr={"ATR": 14}, rsi={"RSI": 14})
+        b = add_prev(b, blocks, {"RSI_prev": "RSI", "ATR_prev": "ATR", "close_prev": "close",
+                                 "low_prev": "low"}, order=RUN_ORDER).drop("_run")
         b = b.withColumn("_clock", second_of_day(F.col("ts"))).selectExpr(
             "*", f"_clock >= {opens} AND _clock < {closes} AS in_buy_window",
             f"_clock >= {four} AS is_4pm_or_later",

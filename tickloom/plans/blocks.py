@@ -38,10 +38,14 @@ DEFAULT = BlockSize()
 
 @dataclass(frozen=True)
 class Blocks:
-    """A frame whose windows partition by ``part``; ``split`` tells whether any series was cut."""
+    """A frame whose windows partition by ``part``.
+
+    ``split``: some series was cut. ``gaps``: one of the checked columns has nulls.
+    """
     frame: DataFrame
     keys: list[str]
     split: bool
+    gaps: bool
 
     @property
     def part(self) -> list[str]:
@@ -101,13 +105,21 @@ def _cuts(df: DataFrame, keys: list[str], halo: int, limit: int, size: BlockSize
 
 
 def split_blocks(df: DataFrame, halo: int, size: BlockSize = DEFAULT,
-                 keys: Sequence[str] | None = None) -> Blocks:
-    """Cut series above ``size.rows`` into blocks; runs one counting job."""
+                 keys: Sequence[str] | None = None, check: Sequence[str] = ()) -> Blocks:
+    """Cut series above ``size.rows`` into blocks; runs one counting job.
+
+    The job also tells whether the ``check`` columns hold any null.
+    """
     keys = list(keys or series_keys(df))
     limit = max(size.rows, halo)
-    long = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-    if long.isEmpty():
-        return Blocks(df, keys, False)
+    missing = " OR ".join(f"`{c}` IS NULL" for c in check) or "false"
+    longest, nulls = (
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.expr(f"count_if({missing}) AS _nulls"))
+        .agg(F.max("_n"), F.sum("_nulls")).first()
+    )
+    gaps = bool(nulls)
+    if longest is None or longest <= limit:
+        return Blocks(df, keys, False, gaps)
     cuts = materialize(_cuts(df, keys, halo, limit, size), "cuts")
     whole = F.expr("array(struct(0 AS block, true AS own))")
     placed = (
@@ -116,14 +128,14 @@ def split_blocks(df: DataFrame, halo: int, size: BlockSize = DEFAULT,
         .withColumns({BLOCK: F.col("_to.block"), OWN: F.col("_to.own")})
         .drop("_to", "_unit")
     )
-    return Blocks(placed, keys, True)
+    return Blocks(placed, keys, True, gaps)
 
 
-def in_blocks(df: DataFrame, halo: int, add: Callable[[DataFrame, list[str]], DataFrame],
-              size: BlockSize = DEFAULT) -> DataFrame:
-    """Run ``add(frame, partition columns)`` with ``halo`` rows of look-back."""
-    blocks = split_blocks(df, halo, size)
-    return blocks.finish(add(blocks.frame, blocks.part))
+def in_blocks(df: DataFrame, halo: int, add: Callable[[DataFrame, Blocks], DataFrame],
+              size: BlockSize = DEFAULT, check: Sequence[str] = ()) -> DataFrame:
+    """Run ``add(frame, blocks)`` with ``halo`` rows of look-back."""
+    blocks = split_blocks(df, halo, size, check=check)
+    return blocks.finish(add(blocks.frame, blocks))
 
 
 def running_sum(df: DataFrame, column: str, out: str, keys: Sequence[str], order: Sequence[str],

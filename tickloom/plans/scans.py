@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,7 +62,77 @@ def ewm_mean(df: DataFrame, part: list[str], columns: dict[str, str], alpha: flo
                    *x.values(), *z.values())
 
 
-def toggle_signals(blocks: Blocks, masks: Callable[[DataFrame], DataFrame]) -> DataFrame:
+@dataclass(frozen=True)
+class Smooth:
+    """An exponential mean: SQL expression, alpha, and the row its first value is on."""
+    x: str
+    alpha: float
+    seed: int = 0
+
+
+def run_length(lengths, alphas) -> int | None:
+    """Rows per run that suit all window lengths and decays; None when they do not fit together.
+
+    Within a run e^(rate * rows) must not overflow, and over a whole run an old value must fade
+    to nothing.
+    """
+    rates = [decay_rate(a) for a in alphas]
+    low = max([*lengths, *(math.ceil(100.0 / r) for r in rates)])
+    high = min([math.floor(600.0 / r) for r in rates], default=low)
+    return low if low <= high else None
+
+
+def add_runs(df: DataFrame, part: list[str], run: int, means: dict[str, tuple[str, int]],
+             smooth: dict[str, Smooth], extra: dict[str, str] | None = None) -> DataFrame:
+    """Sliding and exponential means of gap-free columns, in constant work per row.
+
+    Rows are grouped in runs of ``run`` rows, with running sums inside each run. A sliding mean is
+    a difference of two running sums, plus the previous run's total where the window reaches into
+    it (Spark would re-add a sliding frame for every row). An exponential mean is the run's decayed
+    sum, plus what the previous run's end has left, plus the seed's share. One window adds the run
+    sums and one the look-backs, for all outputs together.
+
+    Needs ``_i``, the row number from 0, and adds ``_run``, after which rows are in the order
+    ``RUN_ORDER``. ``extra`` gives further output names and SQL with ``{frame}`` for that order.
+    """
+    names = list(smooth)
+    x, z = {n: f"_x{i}" for i, n in enumerate(names)}, {n: f"_z{i}" for i, n in enumerate(names)}
+    totals = {c: f"_sum_{c}" for c, _ in means.values()}
+    rate = {n: decay_rate(smooth[n].alpha) for n in names}
+    df = df.selectExpr("*", f"_i div {run} AS _run", f"double(_i % {run}) AS _j",
+                       *[f"{smooth[n].x} AS {x[n]}" for n in names])
+    inside = over([*part, "_run"], frame=SO_FAR)
+    df = df.selectExpr(
+        "*", *[f"sum({c}) {inside} AS {t}" for c, t in totals.items()],
+        *[f"sum({x[n]} * exp({rate[n]!r}D * _j)) {inside} * {smooth[n].alpha!r}D "
+          f"* exp(-{rate[n]!r}D * _j) AS {z[n]}" for n in names])
+
+    def ahead(value: str) -> str:
+        return f"last(CASE WHEN _j = {run - 1} THEN {value} END, true) {over(part, RUN_ORDER, BEFORE)}"
+
+    df = df.selectExpr(
+        "*", *[f"{ahead(t)} AS {t}_run" for t in totals.values()],
+        *[f"lag({totals[c]}, {n}, 0D) {over(part, RUN_ORDER)} AS _lag_{o}" for o, (c, n) in means.items()],
+        *[f"{ahead(z[n])} AS {z[n]}_run" for n in names],
+        *[f"first({x[n]}, true) {over(part, RUN_ORDER, SO_FAR)} AS {x[n]}_seed" for n in names],
+        *[f"{e.format(frame=over(part, RUN_ORDER, SO_FAR))} AS {o}" for o, e in (extra or {}).items()])
+    df = df.selectExpr(
+        "*", *[f"""CASE WHEN _i >= {n - 1} THEN ({totals[c]} - _lag_{o}
+            + CASE WHEN _j < {n} THEN coalesce({totals[c]}_run, 0D) ELSE 0D END) / {n} END AS {o}"""
+               for o, (c, n) in means.items()],
+        *[f"""{z[n]} + coalesce({z[n]}_run, 0D) * exp(-{rate[n]!r}D * (_j + 1))
+            + {1 - smooth[n].alpha!r}D * {x[n]}_seed * exp(-{rate[n]!r}D * (_i - {smooth[n].seed})) AS {n}"""
+          for n in names])
+    return df.drop("_j", *totals.values(), *[f"{t}_run" for t in totals.values()],
+                   *[f"_lag_{o}" for o in means],
+                   *[c for n in names for c in (x[n], z[n], f"{z[n]}_run", f"{x[n]}_seed")])
+
+
+RUN_ORDER = "_run, ts"
+
+
+def toggle_signals(blocks: Blocks, masks: Callable[[DataFrame], DataFrame],
+                   order: str = "ts") -> DataFrame:
     """BUY / SELL from ``_entry`` and ``_exit`` acting in turn, at most one action per row.
 
     Per row: entry only sets the state to in, exit only sets it to out, both flip it, none keeps
@@ -71,9 +142,9 @@ def toggle_signals(blocks: Blocks, masks: Callable[[DataFrame], DataFrame]) -> D
     part = blocks.part
 
     def local(df):
-        df = df.selectExpr("*", f"sum(int(_entry AND _exit)) {over(part, frame=SO_FAR)} AS _flips")
+        df = df.selectExpr("*", f"sum(int(_entry AND _exit)) {over(part, order, SO_FAR)} AS _flips")
         return df.selectExpr("*", f"""last(CASE WHEN _entry <> _exit THEN
-            struct(int(_entry) AS to, _flips AS flips) END, true) {over(part, frame=SO_FAR)} AS _set""")
+            struct(int(_entry) AS to, _flips AS flips) END, true) {over(part, order, SO_FAR)} AS _set""")
 
     df = local(blocks.own(masks(blocks.frame)))
     if blocks.split:
@@ -82,7 +153,7 @@ def toggle_signals(blocks: Blocks, masks: Callable[[DataFrame], DataFrame]) -> D
         df = df.withColumn("_start", F.lit(0))
     df = df.selectExpr("*", """CASE WHEN _set IS NULL THEN (coalesce(_start, 0) + _flips) % 2
         ELSE (_set.to + _flips - _set.flips) % 2 END AS _state""")
-    df = df.selectExpr("*", f"coalesce(lag(_state) {over(part)}, _start, 0) AS _was")
+    df = df.selectExpr("*", f"coalesce(lag(_state) {over(part, order)}, _start, 0) AS _was")
     return df.selectExpr("*", """CASE WHEN _state > _was THEN 'BUY'
         WHEN _state < _was THEN 'SELL' END AS signal""").drop("_flips", "_set", "_start", "_state", "_was")
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["bars", "signals"]
+MODULES = ["bars", "signals", "orders", "streams"]
 
 
 def load_all():
