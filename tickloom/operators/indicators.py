@@ -61,7 +61,7 @@ def _whole(part) -> str:
 
 def _with_gaps(df: DataFrame, part, sma, smooth: dict[str, Smooth], extra) -> DataFrame:
     """The same columns where prices may be null: one exponential mean after the other."""
-    df = df.withColumn("_run", F.lit(0))
+    df = df.drop("_i").withColumn("_run", F.lit(0))
     for out, (col, n) in sma.items():
         frame = over(part, frame=f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW")
         df = df.selectExpr("*", f"CASE WHEN count({col}) {frame} = {n} THEN avg({col}) {frame} END AS {out}")

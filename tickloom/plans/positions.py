@@ -83,7 +83,7 @@ def summarize(pdf: pd.DataFrame) -> dict:
     low = np.fmax.accumulate(np.append(-np.inf, rows.target[:last]))
     high = np.fmin.accumulate(np.append(np.inf, rows.stop[:last]))
     lows, highs, ends = [], [], []
-    for at in np.flatnonzero((np.diff(low) > 0) | (np.diff(high) < 0)):
+    for at in np.flatnonzero((low[1:] > low[:-1]) | (high[1:] < high[:-1])):
         if low[at] >= high[at]:
             break
         end = _end_from_flat(rows, at + 1, known)
