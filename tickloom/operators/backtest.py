@@ -11,6 +11,7 @@ from tickloom.plans.blocks import (
     BEFORE, BLOCK, DEFAULT, SO_FAR, SPLIT, Blocks, BlockSize, over, split_blocks,
 )
 from tickloom.schema import require_columns, series_keys
+from tickloom.sources.scratch import materialize
 
 
 def signal_counts(df: DataFrame) -> DataFrame:
@@ -51,6 +52,8 @@ def _numbered(df: DataFrame, size: BlockSize) -> tuple[DataFrame, list[str]]:
     rows = normalize_signals(df).filter(
         F.col("signal").isin("BUY", "SELL") & F.col("close").isNotNull() & (F.col("quantity") > 0)
     ).select(*keys, "ts", "close", "quantity", "signal")
+    # Signals are few next to bars: store them once rather than run the strategy for every pass.
+    rows = materialize(rows, "signals")
     blocks = split_blocks(rows, 0, size, keys)
     part = blocks.part
 

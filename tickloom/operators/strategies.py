@@ -15,6 +15,7 @@ from tickloom.plans.blocks import DEFAULT, BlockSize, over, split_blocks
 from tickloom.plans.positions import position_signals
 from tickloom.plans.scans import RUN_ORDER, toggle_signals
 from tickloom.schema import BAR_COLUMNS, require_columns, series_keys
+from tickloom.sources.scratch import materialize
 
 
 def sma_cross(df: DataFrame, position_size: float = 150, length: int = 200,
@@ -131,9 +132,11 @@ STRATEGIES: dict[str, Callable[[DataFrame], DataFrame]] = {
 def run_strategies(candles: DataFrame, registry: dict[str, Callable] = STRATEGIES) -> DataFrame:
     """Apply to each strategy's candles the function registered under its name.
 
-    Candles of an unregistered name give no rows; ``unknown_strategies`` lists them.
+    Candles of an unregistered name give no rows; ``unknown_strategies`` lists them. The candles
+    are stored once, by name, as every function reads its share more than once.
     """
     require_columns(candles, ["strategy_id", "name", *BAR_COLUMNS], "candles")
+    candles = materialize(candles.filter(F.col("name").isin(*registry)), "candles", ["name"])
     results = [fn(candles.filter(F.col("name") == name)) for name, fn in registry.items()]
     out = results[0]
     for more in results[1:]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.resample import ticks_to_bars
 from tickloom.plans.blocks import running_sum
+from tickloom.sources.scratch import materialize
 
 NAMES = ["sma_cross", "sma_rsi_reversal", "runners_swing", "opening_bracket"]
 FRAMES = [1, 5, 15, 30, 60]
@@ -42,7 +43,8 @@ def walk_bars(spark, sf_dir) -> DataFrame:
 def ship_bars(spark, sf_dir, by: str = "flag") -> DataFrame:
     symbol = (F.concat("l_returnflag", "l_linestatus") if by == "flag"
               else F.col("l_suppkey").cast("string"))
-    order = F.struct("l_orderkey", "l_linenumber")
+    # One number per line item (line numbers stay below 8), so the aggregation can hash.
+    order = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     rows = table(spark, sf_dir, "lineitem").select(
         symbol.alias("symbol"), F.col("l_shipdate").cast("date").alias("day"), order.alias("o"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), "l_quantity")
@@ -54,6 +56,11 @@ def ship_bars(spark, sf_dir, by: str = "flag") -> DataFrame:
              "open", "high", "low", "close", "volume")
 
 
+def stored(bars: DataFrame) -> DataFrame:
+    """Bars as a table of their own, as strategies read them more than once."""
+    return materialize(bars, "bars")
+
+
 def strategies(spark, sf_dir) -> DataFrame:
     k = F.col("n_nationkey")
     pick = lambda items, i: F.element_at(F.array(*map(F.lit, items)), (i + 1).cast("int"))

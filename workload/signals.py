@@ -38,7 +38,7 @@ HOURLY = f"{EVENT_SQL}, {candles_sql(60)}, {cross_sql('candles', 20)}"
 
 
 def hourly_cross(spark, sf):
-    return st.sma_cross(rs.resample_ohlcv(fx.event_bars(spark, sf), 60), length=20)
+    return st.sma_cross(fx.stored(rs.resample_ohlcv(fx.event_bars(spark, sf), 60)), length=20)
 
 
 @query("g1_sma_cross", f"""WITH {HOURLY} SELECT symbol, ts, round(close, 4) AS close,
@@ -50,7 +50,7 @@ def g1(spark, sf):
 @query("g1_sma_cross_daily", f"""WITH {SHIP_SQL}, {cross_sql('bars', 200)} SELECT symbol, ts,
     round(close, 8) AS close, signal, round(quantity, 8) AS quantity FROM crossed WHERE signal IS NOT NULL""")
 def g1_daily(spark, sf):
-    signals = st.sma_cross(fx.ship_bars(spark, sf)).filter(F.col("signal").isNotNull())
+    signals = st.sma_cross(fx.stored(fx.ship_bars(spark, sf))).filter(F.col("signal").isNotNull())
     return show(signals, "symbol", "ts", "close", "signal", "quantity", fine=("close", "quantity"))
 
 
@@ -72,7 +72,7 @@ REVERSAL = f"""{WALK_SQL}, {atr_sql('bars')}, {rsi_sql('tr')},
 @query("g2_sma_rsi_reversal", f"""WITH RECURSIVE {REVERSAL} SELECT symbol, ts, round(close, 4) AS close,
     signal, round(quantity, 4)::DOUBLE AS quantity FROM acted WHERE signal IS NOT NULL""")
 def g2(spark, sf):
-    signals = st.sma_rsi_reversal(fx.walk_bars(spark, sf)).filter(F.col("signal").isNotNull())
+    signals = st.sma_rsi_reversal(fx.stored(fx.walk_bars(spark, sf))).filter(F.col("signal").isNotNull())
     return show(signals, "symbol", "ts", "close", "signal", "quantity")
 
 
@@ -101,7 +101,7 @@ SWING = f"""{SHIP_SQL}, {pct_sql()}, {HOT_SQL}, {atr_sql('hot', extra='')},
 @query("g3_runners_swing", f"""WITH RECURSIVE {SWING} SELECT symbol, ts, round(close, 8) AS close, signal,
     round(quantity, 4)::DOUBLE AS quantity FROM acted WHERE signal IS NOT NULL""")
 def g3(spark, sf):
-    signals = st.runners_swing(fx.ship_bars(spark, sf)).filter(F.col("signal").isNotNull())
+    signals = st.runners_swing(fx.stored(fx.ship_bars(spark, sf))).filter(F.col("signal").isNotNull())
     return show(signals, "symbol", "ts", "close", "signal", "quantity", fine=("close",))
 
 
@@ -118,7 +118,7 @@ BRACKET = f"""{WALK_SQL}, {atr_sql('bars')}, {rsi_sql('atr')},
     round(held, 4) AS "EntryPrice", round(held + 5 * ATR, 4) AS "HighATR", round(held - 0.9 * ATR, 4) AS "LowATR",
     four AS is_4pm_or_later FROM walk JOIN rules USING (symbol, t) WHERE held IS NOT NULL""")
 def g4(spark, sf):
-    out = st.opening_bracket(fx.walk_bars(spark, sf), window=("09:30", "12:00"), rsi_jump=5)
+    out = st.opening_bracket(fx.stored(fx.walk_bars(spark, sf)), window=("09:30", "12:00"), rsi_jump=5)
     return show(out.filter(F.col("EntryPrice").isNotNull()), "symbol", "ts", "close", "signal",
                 "EntryPrice", "HighATR", "LowATR", "is_4pm_or_later")
 
@@ -251,7 +251,7 @@ TRADE_FINE_SQL = TRADE_SQL.replace("total_cost, 4", "total_cost, 8").replace(
 
 def messy_signals(spark, sf):
     day = F.dayofmonth("ts")
-    return st.sma_cross(fx.ship_bars(spark, sf), position_size=100000, length=5).withColumns({
+    return st.sma_cross(fx.stored(fx.ship_bars(spark, sf)), position_size=100000, length=5).withColumns({
         "close": F.when(day % 11 == 0, 0.0).otherwise(F.col("close")),
         "signal": F.when((day % 7 == 0) & (F.col("signal") == "SELL"), "BUY").otherwise(F.col("signal")),
         "quantity": F.when(day % 13 == 0, -1.0).otherwise(F.col("quantity"))})
@@ -264,7 +264,7 @@ def b4(spark, sf):
 
 @query("b4_pair_trades_swing", f"WITH RECURSIVE {SWING}, {PAIRING.format(source='acted')} SELECT {TRADE_FINE_SQL} FROM trades")
 def b4_swing(spark, sf):
-    return show(bt.pair_trades(st.runners_swing(fx.ship_bars(spark, sf)), decimals=None),
+    return show(bt.pair_trades(st.runners_swing(fx.stored(fx.ship_bars(spark, sf))), decimals=None),
                 fine=(*FINE, "total_cost", "exit_value", "profit"))
 
 
