@@ -251,3 +251,18 @@ def test_trades_match_row_loop(spark, size):
                                        [cost, price, shares * price - cost], atol=1e-9)
         assert (open_["open_buys"].get(symbol, 0)) == len(held)
     assert status.loc["QUIET", "status"] == "no signals"
+
+
+def test_custom_strategy_in_blocks(bars):
+    def rolling_cross(pdf):
+        mean, before = pdf["close"].rolling(5).mean(), pdf["close"].shift(1)
+        up = (before < mean.shift(1)) & (pdf["close"] > mean)
+        return pdf[["symbol", "ts", "close"]].assign(signal=up.map({True: "BUY", False: None}))
+
+    schema = "symbol string, ts timestamp, close double, signal string"
+    whole = by_series(st.custom_strategy(bars, rolling_cross, schema))
+    split = by_series(st.custom_strategy(bars, rolling_cross, schema, look_back=6, size=SMALL))
+    for symbol, g in whole.items():
+        pd.testing.assert_frame_equal(g, split[symbol])
+    with pytest.raises(ValueError, match="look_back"):
+        st.custom_strategy(bars, rolling_cross, schema, size=SMALL)

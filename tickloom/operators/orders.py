@@ -26,7 +26,8 @@ def signals_to_act_on(candles: DataFrame, bars: DataFrame, strategies: DataFrame
 
     ``fire="minute"``: a bar fires when minute + 1 is a multiple of the time frame, so time frames
     above 60 never fire. ``fire="bucket"``: the candle's last minute fires. Only candles with a
-    signal are expanded to their possible firing minutes; those meet the bars in an equi-join.
+    signal are expanded to their possible firing minutes; those few rows meet the bars in an
+    equi-join, so the bars need no shuffle while the signals fit a broadcast.
     """
     require_columns(candles, ["strategy_id", "symbol", "ts", "close", "signal", "quantity"], "candles")
     frames = strategies.select(F.col("id").alias("strategy_id"), F.col("time_frame").alias("_frame"))
@@ -45,10 +46,13 @@ def signals_to_act_on(candles: DataFrame, bars: DataFrame, strategies: DataFrame
     else:
         raise ValueError(f"fire must be 'minute' or 'bucket', got {fire!r}")
     due = marked.withColumn("_minute", F.explode(minutes))
-    seen = bars.groupBy("symbol", F.date_trunc("minute", "ts").alias("_minute")).agg(
-        F.max("ts").alias("fired_at"))
-    return due.join(seen, ["symbol", "_minute"]).select(
-        "strategy_id", "symbol", "candle_ts", "fired_at", "signal", "quantity", "close")
+    seen = bars.select("symbol", F.date_trunc("minute", "ts").alias("_minute"), F.col("ts").alias("_ts"))
+    columns = ["strategy_id", "symbol", "candle_ts", "signal", "quantity", "close"]
+    return (
+        seen.join(due, ["symbol", "_minute"]).groupBy(*columns, "_minute")
+        .agg(F.max("_ts").alias("fired_at"))
+        .select("strategy_id", "symbol", "candle_ts", "fired_at", "signal", "quantity", "close")
+    )
 
 
 def _price_text(price) -> Column:

@@ -94,11 +94,12 @@ SPEC = ["symbol", "time_frame", "extended_hours", "lookback_days"]
 
 
 def strategy_bars(bars: DataFrame, strategies: DataFrame, as_of=None, live_from=None,
-                  start: str = "09:30", end: str = "16:00") -> DataFrame:
+                  session_live: bool = True, start: str = "09:30", end: str = "16:00") -> DataFrame:
     """Each active strategy setting's own slice of the bars: its look-back and its session.
 
     Settings that several strategies share appear once. Without ``as_of`` there is no look-back cut.
-    With ``live_from``, live bars count from the first one aligned with the time frame.
+    With ``live_from``, live bars count from the first one aligned with the time frame, and without
+    ``session_live`` the session filter leaves them alone.
     """
     specs = active_strategies(strategies).select(*SPEC).distinct()
     rows = bars.select(*BAR_COLUMNS).join(specs, "symbol")
@@ -108,9 +109,10 @@ def strategy_bars(bars: DataFrame, strategies: DataFrame, as_of=None, live_from=
             F.unix_micros("ts") >= F.unix_micros(until)
             - F.col("lookback_days").cast("bigint") * F.lit(86_400_000_000)))
     inside = second_of_day(F.col("ts")).between(clock_seconds(start), clock_seconds(end))
-    rows = rows.filter((F.col("extended_hours") == 1) | inside)
+    live = F.lit(False) if live_from is None else F.col("ts") >= instant(live_from)
+    unfiltered = F.lit(False) if session_live else live
+    rows = rows.filter((F.col("extended_hours") == 1) | inside | unfiltered)
     if live_from is not None:
-        live = F.col("ts") >= instant(live_from)
         aligned = F.pmod(local_minute(F.col("ts")), F.col("time_frame")) == 0
         latch = rows.filter(live & aligned).groupBy(*SPEC).agg(F.min("ts").alias("_latch"))
         rows = rows.join(latch, SPEC, "left").filter(
@@ -119,10 +121,10 @@ def strategy_bars(bars: DataFrame, strategies: DataFrame, as_of=None, live_from=
 
 
 def resample_for_strategies(bars: DataFrame, strategies: DataFrame, as_of=None,
-                            live_from=None) -> DataFrame:
+                            live_from=None, session_live: bool = True) -> DataFrame:
     """Candles for every active strategy in one pass; a time frame of 1 keeps the bars as they are."""
     require_columns(bars, BAR_COLUMNS, "bars")
-    rows = strategy_bars(bars, strategies, as_of, live_from)
+    rows = strategy_bars(bars, strategies, as_of, live_from, session_live)
     coarse = rows.filter(F.col("time_frame") > 1)
     series = (
         coarse.groupBy(*SPEC).agg(F.count(F.lit(1)).alias("_rows"), F.min("ts").alias("_first"))

@@ -11,7 +11,7 @@ from tickloom.functions.clock import clock_seconds, second_of_day
 from tickloom.operators.indicators import (
     PRICES, add_indicators, add_prev, daily_percent_change, hot_sql, rsi_halo, smoothing_halo,
 )
-from tickloom.plans.blocks import DEFAULT, BlockSize, over, split_blocks
+from tickloom.plans.blocks import BLOCK, DEFAULT, OWN, SPLIT, BlockSize, over, split_blocks
 from tickloom.plans.positions import position_signals
 from tickloom.plans.scans import RUN_ORDER, toggle_signals
 from tickloom.schema import BAR_COLUMNS, require_columns, series_keys
@@ -107,18 +107,27 @@ def opening_bracket(df: DataFrame, pt: float = 5, stop: float = 0.9, window=("09
     return with_quantity(out, f"{float(shares)!r}D")
 
 
-def custom_strategy(df: DataFrame, fn: Callable, schema) -> DataFrame:
-    """Run a user's pandas function once per series, rows in time order.
+def custom_strategy(df: DataFrame, fn: Callable, schema, look_back: int | None = None,
+                    size: BlockSize = DEFAULT) -> DataFrame:
+    """Run a user's pandas function per series, rows in time order; its output keeps ``ts``.
 
-    The function sees one whole series, so this suits candles of one strategy's look-back window;
-    for long histories write the rule with the block operators instead.
+    A function whose value at a row depends on at most ``look_back`` earlier rows runs per block,
+    so any series length works. Without ``look_back`` it sees whole series, and series longer than
+    ``size.rows`` are refused.
     """
-    keys = series_keys(df)
+    blocks = split_blocks(df, look_back or 0, size)
+    if blocks.split and look_back is None:
+        raise ValueError(f"a series has more than {size.rows} rows: give look_back or a larger size")
 
     def call(pdf):
-        return fn(pdf.sort_values("ts", ignore_index=True))
-
-    return df.groupBy(*keys).applyInPandas(call, schema)
+        pdf = pdf.sort_values("ts", ignore_index=True)
+        if not blocks_split:
+            return fn(pdf)
+        out = fn(pdf.drop(columns=[SPLIT, BLOCK, OWN]))
+        return out[out["ts"].isin(pdf.loc[pdf[OWN], "ts"])]
+
+    blocks_split = blocks.split
+    return blocks.frame.groupBy(*blocks.part).applyInPandas(call, schema)
 
 
 STRATEGIES: dict[str, Callable[[DataFrame], DataFrame]] = {

@@ -29,7 +29,7 @@ SPLIT, BLOCK, OWN = "_split", "_block", "_own"
 
 @dataclass(frozen=True)
 class BlockSize:
-    rows: int = 250_000
+    rows: int = 1_000_000
     unit_seconds: int = 7 * 86_400
 
 

@@ -41,6 +41,8 @@ def alignment_latch(bars: DataFrame, strategies: DataFrame, start_ts) -> DataFra
     )
 
 
+LONGEST_LOOKBACK_DAYS = 10  # fixed value: the registry allows 1 to 10
+
 _LATCH_STATE = T.StructType([T.StructField("open", T.BooleanType())])
 
 
@@ -107,7 +109,10 @@ def process_batch(batch: DataFrame, batch_id: int, strategies: DataFrame, store:
         return
     until = as_of.strftime("%Y-%m-%d %H:%M:%S.%f")
     history = spark.read.option("basePath", store).parquet(store).filter(F.col("batch") <= batch_id)
-    longest = F.make_dt_interval(days=F.lit(10))
+    longest = F.make_dt_interval(days=F.lit(LONGEST_LOOKBACK_DAYS))
+    # Once the start lies before every look-back, the latches have long opened.
+    if live_from is not None and spark.range(1).filter(instant(live_from) < instant(until) - longest).count():
+        live_from = None
     bars = history.filter(F.col("ts") >= instant(until) - longest).join(
         fresh.select("symbol").distinct(), "symbol", "left_semi")
     if dedupe:
