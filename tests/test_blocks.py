@@ -39,6 +39,13 @@ def test_blocks_own_every_row_once_and_have_full_halo(spark, bars):
         assert len(copies) == len(set(copies))
 
 
+def test_dense_series_get_shorter_units(bars):
+    # Every row of the series lies in one week-long unit.
+    blocks = split_blocks(bars, 10, BlockSize(rows=100))
+    sizes = blocks.own(blocks.frame).filter("symbol = 'HOT'").groupBy("_block").count().toPandas()["count"]
+    assert sizes.sum() == ROWS["HOT"] and len(sizes) >= 6 and sizes.max() <= 150
+
+
 def test_short_series_are_left_alone(bars):
     blocks = split_blocks(bars, 10, BlockSize())
     assert not blocks.split and blocks.frame is bars

@@ -10,13 +10,14 @@ usual series and fatal for one that holds a third of all rows. So a small count
   is exact inside one block. The cut table (one row per series and unit) is written to the shared
   scratch folder; Spark then knows its size and broadcasts it only if it is small.
 
-Per-series windows over the cut table are bounded by the calendar (about 52 rows a year).
+Per-series windows over the cut table are bounded by the calendar: about 52 rows a year, more where
+a dense series needs a shorter unit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,6 +74,14 @@ def _unit(size: BlockSize):
     return F.floor(F.unix_seconds("ts") / size.unit_seconds)
 
 
+def _fine_enough(df: DataFrame, keys: list[str], limit: int, size: BlockSize) -> BlockSize:
+    """A unit so short that the densest one holds about a quarter of a block."""
+    densest = (df.groupBy(*keys, _unit(size).alias("_unit")).agg(F.count(F.lit(1)).alias("_n"))
+               .agg(F.max("_n")).first()[0])
+    parts = -(-4 * densest // limit)
+    return replace(size, unit_seconds=max(1, size.unit_seconds // parts))
+
+
 def _cuts(df: DataFrame, keys: list[str], halo: int, limit: int, size: BlockSize) -> DataFrame:
     """(series, unit) -> the block that owns the unit's rows and those that need them as halo."""
     by_unit = Window.partitionBy(*keys).orderBy("_unit")
@@ -120,6 +129,7 @@ def split_blocks(df: DataFrame, halo: int, size: BlockSize = DEFAULT,
     gaps = bool(nulls)
     if longest is None or longest <= limit:
         return Blocks(df, keys, False, gaps)
+    size = _fine_enough(df, keys, limit, size)
     cuts = materialize(_cuts(df, keys, halo, limit, size), "cuts")
     whole = F.expr("array(struct(0 AS block, true AS own))")
     placed = (
@@ -139,7 +149,7 @@ def in_blocks(df: DataFrame, halo: int, add: Callable[[DataFrame, Blocks], DataF
 
 
 def running_sum(df: DataFrame, column: str, out: str, keys: Sequence[str], order: Sequence[str],
-                unit_seconds: int = 86_400) -> DataFrame:
+                unit_seconds: int = 300) -> DataFrame:
     """Inclusive prefix sum along each series: inside calendar units, plus the units before."""
     marked = df.withColumn("_unit", _unit(BlockSize(unit_seconds=unit_seconds)))
     prior = Window.partitionBy(*keys).orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
