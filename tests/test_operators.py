@@ -343,3 +343,13 @@ def test_bar_store(spark, tmp_path):
     days = store.read_bars(spark, path, "2025-03-06", "2025-03-06")
     assert 0 < days.count() < 600
     assert "PartitionFilters: [isnotnull(day" in days._jdf.queryExecution().toString()
+
+
+def test_live_bars_can_skip_the_session_filter(spark):
+    bars = to_spark(spark, minutes(4, "2025-01-02 21:58", "SPY"))  # 16:58 to 17:01 market time
+    early = to_spark(spark, minutes(2, "2025-01-02 20:00", "SPY"))
+    reg = spark.createDataFrame([(1, "sma_cross", 1, "spy", "MARKET", 3, 0, 1, None, None)], schema.STRATEGIES)
+    count = lambda **more: rs.resample_for_strategies(
+        bars.unionByName(early), reg, live_from="2025-01-02 21:59:00", **more).count()
+    assert count() == 2
+    assert count(session_live=False) == 5
