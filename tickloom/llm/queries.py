@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import prepare, table
+from tickloom.llm.language_model import score
+from tickloom.llm.licences import scan_licences
 from tickloom.llm.mixing import mix
 from tickloom.llm.packing import pack
 from tickloom.llm.parsing import document_fingerprints
@@ -62,6 +64,11 @@ def op5_personal_data(spark, sf_dir):
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op6_licence_scan(spark, sf_dir):
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 _TOP_K = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS c
@@ -84,6 +91,11 @@ def op7_dual_tree_top_k(spark, sf_dir):
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+@query()
+def op8_attention_scores(spark, sf_dir):
+    return score(table(spark, sf_dir, "documents"))
+
+
 _URLS = """
 WITH rules(rhost, rpath, action) AS (VALUES {rules}),
 cut AS (
