@@ -2,8 +2,8 @@
 
 A 64-bit fingerprint becomes the vector of bit counts of its 16 segments. Differing bits are never fewer
 than the Manhattan distance of two such vectors, so fingerprints that link lie within ``distance`` of each
-other there. Every differing bit moves one coordinate; with the coordinates in distance + 3 groups,
-at least three groups agree, and each choice of three gives the grid cells of one projection. Pairs of
+other there. Every differing bit moves one coordinate; with the coordinates in distance + 4 groups,
+at least four groups agree, and each choice of four gives the grid cells of one projection. Pairs of
 a cell pass the Manhattan bound, then the exact distance.
 
 Cells beyond ``cell_rows`` fingerprints are not paired. Their fingerprints each name all fingerprints one
@@ -26,6 +26,7 @@ from tickloom.llm.common import store
 from tickloom.llm.components import components
 
 SEGMENTS, BITS = 16, 4
+KEPT = 4
 CHUNK = 1 << 16
 
 
@@ -73,21 +74,21 @@ def links(fps: DataFrame, distance: int, cell_rows: int = 1000) -> DataFrame:
     """(a, b) pairs of the distinct fingerprints ``fps`` (fp) that connect all within ``distance`` bits."""
     if distance == 0:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    parts = np.array_split(np.arange(SEGMENTS), distance + 3)
-    masks = [sum(7 << (3 * int(i)) for g in keep for i in parts[g]) for keep in combinations(range(distance + 3), 3)]
+    parts = np.array_split(np.arange(SEGMENTS), distance + KEPT)
+    masks = [sum(7 << (3 * int(i)) for g in keep for i in parts[g]) for keep in combinations(range(distance + KEPT), KEPT)]
     counted = fps.withColumn("counts", _counts())
     cells = store(counted.select("fp", "counts", F.explode(F.array(*[
         F.col("counts").bitwiseAND(F.lit(m)).bitwiseOR(F.lit(n << 48)) for n, m in enumerate(masks)])).alias("cell")), "cells")
-    sizes = cells.groupBy("cell").count().filter("count > 1")
     star = distance <= 2
-    paired = cells.join(sizes.filter(F.col("count") <= cell_rows) if star else sizes, "cell").drop("count")
+    crowded = cells.groupBy("cell").count().filter(F.col("count") > cell_rows).select("cell")
+    paired = cells.join(crowded, "cell", "left_anti") if star else cells
     left, right = paired.toDF("cell", "a", "ca"), paired.toDF("cell", "b", "cb")
     apart = sum(F.abs(F.shiftright("ca", 3 * i).bitwiseAND(F.lit(7)) - F.shiftright("cb", 3 * i).bitwiseAND(F.lit(7))) for i in range(SEGMENTS))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     pairs = left.join(right, (left["cell"] == right["cell"]) & (F.col("a") < F.col("b")) & (apart <= distance) & close).select("a", "b")
     if not star:
         return pairs.distinct()
-    dense = cells.join(sizes.filter(F.col("count") > cell_rows), "cell", "left_semi").select("fp").distinct()
+    dense = cells.join(crowded, "cell", "left_semi").select("fp").distinct()
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)])
     named = dense.select("fp", F.explode(flips).alias("name"))
     if distance == 1:
