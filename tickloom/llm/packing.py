@@ -219,7 +219,7 @@ def pack(docs: DataFrame, *, id: str = "doc_id", text: str = "text", size: int =
             found = evolve(pool, size, sorted(listed(1)) or None, elites, island * 1000 + len(part), generations, population)
             return _patterns(island, found, size, elite)
 
-        best = store(rows.groupBy("island").applyInPandas(step, shape), f"bins{turn}")
+        best = store(rows.repartition(islands, "island").groupBy("island").applyInPandas(step, shape), f"bins{turn}")
 
     kind = docs.schema[id].dataType.simpleString()
 
