@@ -34,10 +34,7 @@ def _rows(docs: DataFrame, name: str) -> DataFrame:
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the importance weights keep. Repeated rows stay or go together; a null id has no label."""
     _begin(spark)
-    rows = _rows(docs, "quality")
-    labels = rows.select("_row", "doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").select("_row", "quality")
-    kept = resample(rows, labels, id="_row").filter("kept").select("_row")
-    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
+    return resample(docs, table(spark, sf_dir, "labels"), carry=COLUMNS[1:]).filter("kept").select(*COLUMNS)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tickloom.llm.common import store
 
@@ -70,33 +71,38 @@ def model(docs: DataFrame, sample: DataFrame, *, id: str, text: str) -> np.ndarr
     return ratio
 
 
-def _scores(docs: DataFrame, ratio, keep: str):
+def _scores(docs: DataFrame, ratio) -> DataFrame:
+    """``docs`` (text and others) with ratio and grams in the place of text."""
+    kept = [f for f in docs.schema.fields if f.name != "text"]
+
     def run(batches):
         for batch in batches:
-            found = [slots(t) for t in batch.column(1).to_pylist()]
+            found = [slots(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([float(ratio.value[s].sum()) for s in found]),
-                pa.array([len(s) for s in found], pa.int64()), batch.column(2)], ["id", "ratio", "grams", "noise"])
-    return docs.mapInArrow(run, keep)
+                *[batch.column(f.name) for f in kept], pa.array([float(ratio.value[s].sum()) for s in found], pa.float64()),
+                pa.array([len(s) for s in found], pa.int64())], [f.name for f in kept] + ["ratio", "grams"])
+    return docs.mapInArrow(run, StructType([*kept, StructField("ratio", DoubleType()), StructField("grams", LongType())]))
 
 
 def resample(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label_rows: int = 20_000,
-             temperature: float = 0.1, seed: int = 29) -> DataFrame:
+             temperature: float = 0.1, seed: int = 29,
+             carry: tuple | list = ()) -> DataFrame:
     """(id, log_ratio, n_grams, log_weight, gumbel_key, kept) per row of ``docs``.
 
     ``labels`` has the id and ``quality`` 0/1; null labels are ignored, of contradicting ones the lower
     counts. ``label_rows`` bounds the labelled sample, chosen by hash of the id; one half of it makes the target
     model, the other the margin. Without labels every ratio is 0 and all rows are kept. Null and empty texts have no n-grams and
     weight 0. Noise comes from a hash of id and text: reruns agree, repeated rows are kept or dropped
-    together, and rows tied with the last kept one are kept too.
+    together, and rows tied with the last kept one are kept too. ``carry`` names further columns to return; none may
+    be called like the results. They are stored with the scores, so that no join of texts is needed.
     """
     spark = docs.sparkSession
     marks = labels.select(F.col(id).alias("id"), "quality")
     sample = labelled(marks, label_rows)
     ratio = spark.sparkContext.broadcast(model(docs, sample, id=id, text=text))
-    kind = docs.schema[id].dataType.simpleString()
-    scored = store(_scores(docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(F.lit(seed), F.col(id), F.col(text)).alias("noise")),
-                           ratio, f"id {kind}, ratio double, grams long, noise long"), "ratios")
+    along = [F.col(c).alias(f"c{n}") for n, c in enumerate(carry)]
+    scored = store(_scores(docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(F.lit(seed), F.col(id), F.col(text)).alias("noise"),
+                                       *along), ratio), "ratios")
     fit = scored.filter("grams > 0").join(F.broadcast(sample.filter("held")), "id").groupBy("id").agg(  # label_rows rows at most
         F.min(F.col("ratio") / F.col("grams")).alias("mean"), F.min("quality").alias("quality")).toPandas()
     margin = best_margin(fit["mean"].to_numpy(float), fit["quality"].to_numpy(int))
@@ -105,7 +111,7 @@ def resample(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: st
     keyed = scored.withColumn("weight", weight).withColumn("key", F.col("weight") / temperature - F.log(-F.log(u)))
     k = keyed.filter("weight >= 0").count()
     edge = kth_largest(keyed, "key", k)
-    return keyed.select(F.col("id").alias(id), F.col("ratio").alias("log_ratio"), F.col("grams").alias("n_grams"),
+    return keyed.select(F.col("id").alias(id), *[F.col(f"c{n}").alias(c) for n, c in enumerate(carry)], F.col("ratio").alias("log_ratio"), F.col("grams").alias("n_grams"),
                         F.col("weight").alias("log_weight"), F.col("key").alias("gumbel_key"),
                         (F.col("key") >= F.lit(edge)).alias("kept"))
 
