@@ -1,0 +1,283 @@
+"""Corpus operators on small odd tables against plain Python."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tickloom.llm import attention, licences, packing, parsing, personal_data, simhash, top_k
+from tickloom.llm.common import prepare
+from tickloom.llm.language_model import score, words
+from tickloom.llm.mixing import mix
+from tickloom.llm.resampling import resample
+from tickloom.llm.url_rules import judge_urls
+
+LONG = " ".join(f"w{i % 977}x" for i in range(30_000))
+TEXTS = [(1, "the cat sat on the mat with a hat"), (2, "the cat sat on the mat with a hat"), (3, ""), (4, None), (5, "   \n\t "),
+         (6, LONG), (7, LONG + " tail"), (8, "<|endoftext|> über Straße １２ 😀  x"), (None, "null id here"), (9, "one"), (9, "one"),
+         (10, "mail a@b.co, 10.0.0.1 and +1 (202) 555-0143 card 4111 1111 1111 1111 call")]
+SCHEMA = "doc_id long, text string, source string, lang string, fp long, label string, island int, `_block` int"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    prepare(spark)
+    return spark.createDataFrame([(i, t, None if n % 4 == 0 else f"s{n % 3}", None, 1, "x", 1, 1) for n, (i, t) in enumerate(TEXTS)], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def test_packing_covers_every_token_once(spark, docs, empty):
+    out = packing.pack(docs).toPandas()
+    from tokenizers import Tokenizer
+    import public_tokenizers
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter()
+    for i, t in TEXTS:
+        ids = np.array([*slow.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        first = len(ids) % 1024 or 1024
+        for n, (a, b) in enumerate(zip([0, *range(first, len(ids), 1024)], [*range(first, len(ids), 1024), len(ids)])):
+            want[i, n, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1
+    got = Counter((None if np.isnan(r.doc_id) else int(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in out.itertuples())
+    assert got == want
+    for _, g in out.sort_values("offset").groupby("sequence_id"):
+        assert list(g["offset"]) == [0, *g["length"].cumsum()[:-1]] and g["length"].sum() <= 1024
+    assert packing.pack(empty).count() == 0
+
+
+def test_genetic_steps_keep_all_pieces():
+    rng = np.random.default_rng(1)
+    pool = Counter(rng.integers(1, 1024, 3000).tolist())
+    start = packing.best_fit(sorted(pool.elements(), reverse=True), 1024)
+    found = packing.evolve(pool, 1024, start, start[:50], 3, 6, 3)
+    assert Counter(x for b in found for x in b) == pool and max(map(sum, found)) <= 1024 and len(found) <= len(start)
+
+
+def _components(prints, ids, distance):
+    root = list(range(len(prints)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for i in range(len(prints)):
+        for j in range(i):
+            if bin((prints[i] ^ prints[j]) & (1 << 64) - 1).count("1") <= distance:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    least = {}
+    for i in range(len(prints)):
+        if ids[i] is not None:
+            least[find(i)] = min(least.get(find(i), ids[i]), ids[i])
+    return [least.get(find(i)) for i in range(len(prints))]
+
+
+def test_simhash_components(docs, empty):
+    prints = [simhash.fingerprint(t) for _, t in TEXTS]
+    want = Counter(zip([i for i, _ in TEXTS], [f"{p & (1 << 64) - 1:016x}" for p in prints], _components(prints, [i for i, _ in TEXTS], 2)))
+    assert Counter(map(tuple, simhash.near_duplicates(docs).collect())) == want
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("cell_rows", [2, 1000])
+@pytest.mark.parametrize("distance", [1, 2, 3])
+def test_links_connect_what_brute_force_connects(spark, distance, cell_rows):
+    prepare(spark)
+    rng = np.random.default_rng(distance)
+    base = rng.integers(0, 1 << 63, 12)
+    prints = sorted({int(b) ^ sum(1 << int(k) for k in rng.integers(0, 63, n)) for b in base for n in (0, 1, 2, 3, 4) for _ in range(4)})
+    from tickloom.llm.components import components
+    fps = spark.createDataFrame([(p,) for p in prints], "fp long")
+    roots = dict(map(tuple, components(simhash.links(fps, distance, cell_rows)).collect()))
+    assert [roots.get(p, p) for p in prints] == _components(prints, prints, distance)
+
+
+def test_phrase_fingerprints(docs, empty):
+    rows = sorted([(i, t or "") for i, t in TEXTS if i is not None], key=lambda r: -r[0]) + [(None, "null id here")]
+    out = {(r.doc_id, r.n_chars): r for r in parsing.document_fingerprints(docs).collect()}
+    for n, (i, t) in enumerate(rows):
+        following = rows[(n + 1) % len(rows)][1]
+        r, changed = out[i, len(t)], parsing.edited(t, following)
+        names, _ = parsing.fingerprints([t, changed])
+        assert (r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (hashlib.sha256(changed.encode()).hexdigest(), *names)
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+    assert out[7, len(LONG) + 5].near_next > 0.9 and parsing.document_fingerprints(empty).count() == 0
+
+
+def test_equal_substrings_share_phrases_at_any_offset():
+    rng = np.random.default_rng(2)
+    text = "".join(rng.choice(list("abcdefgh "), 5000))
+    names, sketch = parsing.fingerprints([text, "zz" + text, text[:2500] + "Q" + text[2500:], text[::-1]])
+    like = parsing.likeness(sketch[[0, 0, 0]], sketch[1:], np.zeros(3, bool))
+    assert like[0] > 0.9 and like[1] > 0.9 and like[2] < 0.2
+
+
+def base_spans(text):
+    out = [(m.start(), "email", m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), "ip", m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m.group() if c.isdigit()]
+        if 12 <= len(d) <= 19 and sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(d[::-1])) % 10 == 0:
+            out.append((m.start(), "card", m.end()))
+    out += [(m.start(), "phone", m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= sum(c.isdigit() for c in m.group()) <= 15]
+    return sorted(out, key=lambda s: (s[0], personal_data.KINDS.index(s[1])))
+
+
+def test_personal_data(spark, docs, empty):
+    odd = ["a@b.c_d@e.f x@@y.z a@b@c.d .@-.-", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.004", "4111-1111 1111 1111 11", "+1+2 (3) 456-7890.1 +12345678 9",
+           "é😀 me@home.org 😀 +49 (30) 1234567", "a." * 3000 + "a@" + "b." * 3000 + "c", "1" * 5000, "mail to joe at example dot com or call (202) 555-0143"]
+    rows = [(i, t or "") for i, t in TEXTS] + [(100 + n, t) for n, t in enumerate(odd)]
+    more = spark.createDataFrame([(100 + n, t) for n, t in enumerate(odd)], "doc_id long, text string")
+    got = personal_data.personal_data(docs.select("doc_id", "text").unionByName(more)).collect()
+    want = Counter()
+    for i, t in rows:
+        spans = base_spans(t)
+        want[(i, *[sum(k == s[1] for s in spans) for k in personal_data.KINDS[:4]],
+              hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, k, b in spans).encode()).hexdigest())] += 1
+    assert Counter(tuple(r)[:6] for r in got) == want
+    assert personal_data.personal_data(empty).count() == 0
+    clean = personal_data.redact(docs).filter("doc_id = 10").first()
+    assert clean.text == "mail [EMAIL], [IP] and [PHONE] card [CARD] call" and clean.fp == 1
+
+
+def test_reliabilities_follow_the_votes():
+    patterns = [(3, (1, 1, 1, 1, 1), True, 50), (3, (0, 1, 1, 1, 1), False, 40), (3, (0, -1, -1, 0, -1), False, 60)]
+    truth, reliable = personal_data.reliabilities(patterns)
+    weights = personal_data.span_classifier(patterns, truth)
+    margin = [sum(a * b for a, b in zip(weights, personal_data._features(k, v))) for k, v, _, _ in patterns]
+    assert truth[1] > 0.9 > 0.1 > truth[2] and margin[1] > 2 > -2 > margin[2] and reliable["context"][0][1] > reliable["context"][1][1]
+
+
+def test_top_k_with_odd_vectors(spark):
+    prepare(spark)
+    rng = np.random.default_rng(3)
+    m = np.round(rng.normal(0, 0.3, (400, 8)), 2).astype(np.float32)
+    m[50:80] = m[50]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(1000, None), (1001, [None] * 8), (1002, [float("nan")] * 8), (None, [1.0] * 8), (1003, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    whole = np.floor(m.astype(float) * 1024).astype(np.int64)
+    want = []
+    for q in range(0, 400, 100):
+        s = whole @ whole[q]
+        order = [i for i in np.lexsort((np.arange(400), -s)) if i != q][:10]
+        want += [(q, n + 1, int(i), int(s[i])) for n, i in enumerate(order)]
+    for parts in (60, 20_000):
+        assert sorted(map(tuple, top_k.top_k(df, data_rows=parts, query_rows=2).collect())) == sorted(want)
+    assert top_k.top_k(df.limit(0)).count() == 0
+
+
+def test_dual_tree_prunes_and_stays_exact():
+    rng = np.random.default_rng(4)
+    data = np.floor(np.concatenate([rng.normal(c, 20, (500, 6)) for c in rng.normal(0, 900, (12, 6))]))
+    s, i = top_k.search(data[::50], np.arange(0, 6000, 50), data, np.arange(6000), 5)
+    for n, q in enumerate(range(0, 6000, 50)):
+        full = data @ data[q]
+        full[q] = -np.inf
+        order = np.lexsort((np.arange(6000), -full))[:5]
+        assert list(i[n]) == list(order) and list(s[n]) == list(full[order])
+
+
+def test_language_model(docs, empty):
+    out = {(r.doc_id, r.n_tokens): r for r in score(docs, block_rows=4, share=1).collect()}
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+    c = Counter(w for i, t in TEXTS if not held(i) for w in [*words(t), b""])
+    n, v = sum(c.values()), len(c)
+    for i, t in TEXTS:
+        tokens = [*words(t), b""]
+        r = out[i, len(tokens)]
+        assert (r.held_out, r.n_known, r.train_tokens) == (held(i), sum(c[w] > 0 for w in tokens), n) and r.score < 0
+        assert r.base_score == pytest.approx(sum(np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens))
+    assert score(empty).count() == 0
+
+
+def test_attention_is_a_distribution_and_learns():
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 50, 400).astype(float)
+    vocab = attention.Vocabulary(counts)
+    total = np.zeros(400)
+    p = attention.start(vocab)
+    for token in range(399):
+        inputs, targets = attention.layout([np.array([3, 7, token])], vocab)
+        total[token] = np.exp(attention.log_probs(p, vocab, inputs, targets)[1, 2])
+    inputs, targets = attention.layout([np.array([3, 7])], vocab)
+    assert total.sum() + np.exp(attention.log_probs(p, vocab, inputs, targets)[1, 2]) == pytest.approx(1, abs=1e-3)
+    text = [np.tile([5, 9, 2, 40], 200) for _ in range(4)]
+    inputs, targets = attention.layout(text, vocab)
+    before = attention.log_probs(p, vocab, inputs, targets).sum()
+    for _ in range(20):
+        attention.fit(p, vocab, inputs, targets, {}, 0.03)
+    assert attention.log_probs(p, vocab, inputs, targets).sum() > before / 4
+
+
+def test_mixing_meets_targets(spark, docs, empty):
+    rng = np.random.default_rng(6)
+    rows = [(i, "w " * int(rng.integers(1, 60)), None if i % 9 == 0 else "abc"[min(int(rng.integers(0, 20)), 2)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    out = mix(df).toPandas().merge(df.toPandas()[["doc_id", "source"]], on="doc_id")
+    size = out.groupby(out["source"].fillna("~"))["size"].sum()
+    rate, weight = None, dict(zip(sorted(size.index), [1, 2, 3, 1]))
+    target = {s: 0.0 for s in size.index}
+    free, left = set(size.index), float(size.sum())
+    while True:
+        rate = left / sum(weight[s] for s in free)
+        over = {s for s in free if weight[s] * rate > 3 * size[s] + 1e-9}
+        if not over:
+            break
+        for s in over:
+            target[s] = 3.0 * size[s]
+            left -= target[s]
+        free -= over
+    for s in free:
+        target[s] = weight[s] * rate
+    for s, g in out.groupby(out["source"].fillna("~")):
+        assert g["target"].iloc[0] == pytest.approx(target[s]) and g["source_size"].iloc[0] == size[s]
+        assert abs(g["taken"].sum() - target[s]) <= 60 and g["copies"].max() <= 3
+    again = mix(df.repartition(7)).toPandas()
+    assert set(zip(out["doc_id"], out["taken"])) == set(zip(again["doc_id"], again["taken"]))
+    assert mix(docs).count() == len(TEXTS) and mix(empty).count() == 0
+
+
+def test_resampling_separates_and_keeps(spark, docs, empty):
+    rng = np.random.default_rng(7)
+    good, bad = [f"good{i}" for i in range(200)], [f"junk{i}" for i in range(50)]
+    rows = [(i, " ".join(rng.choice(bad if i % 5 == 0 else good, 60))) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 != 0), 0) for i in range(0, 600, 3)] + [(None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r.kept for r in resample(df, labels).collect()}
+    assert all(kept[i] == (i % 5 != 0) for i in range(600))
+    assert resample(docs, labels.limit(0)).filter("kept").count() == len(TEXTS) and resample(empty, labels).count() == 0
+
+
+def test_licences(spark, docs, empty):
+    notices = ["Some text first.\nReleased under the MIT License.\nmore", "Licensed under the Apache License, Version 2.0.", "go go go go go go go go go go", "ALL RIGHTS RESERVED.", "plain words in a row"]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(notices)] + [(50 + n, f"entre las {n} mismas palabras otra vez") for n in range(60)], "doc_id long, text string")
+    got = {(r.doc_id, r.paragraph): (r.family, r.confirmed) for r in licences.scan_licences(df).collect()}
+    assert got == {(0, 1): ("mit", True), (1, 0): ("apache-2.0", True), (3, 0): ("unknown", True)}
+    assert licences.scan_licences(docs).count() == 0 and licences.scan_licences(empty).count() == 0
+
+
+def test_url_rules(spark):
+    prepare(spark)
+    rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("example.com", "/en/x/", "allow"),
+             ("net", "/es/", "block"), ("net", "/es/", "allow"), (None, "/", "block"), ("", "/", "block"), ("org", None, "block")]
+    urls = ["http://EXAMPLE.com/en/a", "https://www.example.com/en/a?x", "http://a.b.example.com/en/x/1#f", "http://badexample.com/en/", "example.com/en/", None, "",
+            "http://x.net/es/1", "http://x.net/e", "http://com", "http://com/", "x://" + "a." * 3000 + "net/es/", "http://example.com/en/z", "http://example.com/en/z"]
+    pages = spark.createDataFrame([(n if n else None, u, "h", "r") for n, u in enumerate(urls)], "page_id long, url string, host string, rule string")
+    real = [r for r in rules if r[0] and r[1]]
+
+    def judge(u):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.match(r"[^/?#]*", rest).group()
+        path, host = re.match(r"[^?#]*", rest[len(host):]).group(), host.lower()
+        fits = [(h + p, "block" if (h, p, "block") in real else a) for h, p, a in real if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return (host, path, *max(fits, key=lambda f: len(f[0]), default=(None, "allow")))
+    got = Counter(map(tuple, judge_urls(pages, spark.createDataFrame(rules, "host string, path string, action string")).collect()))
+    assert got == Counter((n if n else None, *judge(u)) for n, u in enumerate(urls))
+    assert judge_urls(pages.limit(0), spark.createDataFrame([], "host string, path string, action string")).count() == 0
+    assert {r.verdict for r in judge_urls(pages, spark.createDataFrame([], "host string, path string, action string"), default="block").collect()} == {"block"}
