@@ -82,10 +82,11 @@ def links(fps: DataFrame, distance: int, cell_rows: int = 1000) -> DataFrame:
     star = distance <= 2
     crowded = cells.groupBy("cell").count().filter(F.col("count") > cell_rows).select("cell")
     paired = cells.join(crowded, "cell", "left_anti") if star else cells
-    left, right = paired.toDF("cell", "a", "ca"), paired.toDF("cell", "b", "cb")
+    left = paired.select(F.col("cell").alias("cell_a"), F.col("fp").alias("a"), F.col("counts").alias("ca"))
+    right = paired.select(F.col("cell").alias("cell_b"), F.col("fp").alias("b"), F.col("counts").alias("cb"))
     apart = sum(F.abs(F.shiftright("ca", 3 * i).bitwiseAND(F.lit(7)) - F.shiftright("cb", 3 * i).bitwiseAND(F.lit(7))) for i in range(SEGMENTS))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    pairs = left.join(right, (left["cell"] == right["cell"]) & (F.col("a") < F.col("b")) & (apart <= distance) & close).select("a", "b")
+    pairs = left.join(right, (F.col("cell_a") == F.col("cell_b")) & (F.col("a") < F.col("b")) & (apart <= distance) & close).select("a", "b")
     if not star:
         return pairs.distinct()
     dense = cells.join(crowded, "cell", "left_semi").select("fp").distinct()
