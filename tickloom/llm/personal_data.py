@@ -29,7 +29,7 @@ _LOCAL = "[A-Za-z0-9._%+-]"
 BASE = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[ -]?[0-9])++",
+    "card": r"[0-9](?:[ -]?[0-9]){11,}+",  # shorter runs of digits fail the check anyway
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _AT, _DOT = r" ?(?:\(at\)|\[at\]|(?<= )at(?= )) ?", r" ?(?:\(dot\)|\[dot\]|(?<= )dot(?= )) ?"
@@ -40,7 +40,7 @@ WIDE = {
     "person": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Señor|Señora)\.? \p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++){0,2}+",
 }
 #: Which texts can hold a match at all; cheap to test.
-HINT = {"email": "contains(t, '@')", "ip": "t rlike '[0-9][.][0-9]'", "card": "t rlike '[0-9][ -]?[0-9]'", "phone": "contains(t, '+')"}
+HINT = {"email": "contains(t, '@')", "ip": "t rlike '[0-9][.][0-9]'", "card": "t rlike '[0-9]([ -]?[0-9]){11}'", "phone": "contains(t, '+')"}
 WIDE_HINT = {"email": r"t rlike '[\\[( ]dot[\\]) ]'", "ip": "t rlike ':[0-9A-Fa-f]{1,4}:'", "phone": "t rlike '[0-9][ .-][0-9]{4}'",
              "person": r"t rlike '(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Señora?)[.]? \\p{Lu}'"}
 NAMES = ("james mary robert patricia john jennifer michael linda david elizabeth william barbara richard susan joseph "
