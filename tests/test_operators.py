@@ -353,3 +353,19 @@ def test_live_bars_can_skip_the_session_filter(spark):
         bars.unionByName(early), reg, live_from="2025-01-02 21:59:00", **more).count()
     assert count() == 2
     assert count(session_live=False) == 5
+
+
+def test_rounding_beyond_a_hundred_billion(spark):
+    from tickloom.functions.rounding import round_exact
+    values = [123456789012.345, 1e12 + 0.125, 4503599627370497.5, -987654321098.765]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r[0] for r in df.select(round_exact(F.col("v"), 2)).collect()] == [round(v, 2) for v in values]
+
+
+def test_rejected_buys_open_nothing(spark):
+    from tickloom.operators.orders import apply_fills
+    positions = spark.createDataFrame([], "id bigint, strategy_id bigint, order_id string, quantity bigint, entry_price double, opened_at timestamp")
+    buys = spark.sql("select * from values (1L, 'a', 2L, 5.0D, timestamp'2025-01-02 10:00:00', cast(array() as array<string>)), "
+                     "(2L, 'b', 2L, 5.0D, timestamp'2025-01-02 10:00:00', array('quantity')) as t(strategy_id, order_id, quantity, price, decided_at, reasons)")
+    sells = spark.createDataFrame([], "strategy_id bigint, decided_at timestamp")
+    assert [r.strategy_id for r in apply_fills(positions, buys, sells).collect()] == [1]

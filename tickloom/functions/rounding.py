@@ -22,7 +22,8 @@ def round_exact(value, decimals) -> Column:
     over = (high * scale - (whole + 0.5)) + rest * scale
     odd = F.pmod(whole, F.lit(2.0)) == 1.0
     steps = F.when((over > 0) | ((over == 0) & odd), whole + 1).otherwise(whole)
-    return F.when(x < F.lit(1e11), F.signum(value) * steps / scale).otherwise(value)
+    # From 2^52 steps on a double has no fraction of a step left to round.
+    return F.when(x < F.lit(float(1 << 52)) / scale, F.signum(value) * steps / scale).otherwise(value)
 
 
 def round_price(price) -> Column:

@@ -128,9 +128,12 @@ def reconcile_sells(sell_signals: DataFrame, positions: DataFrame, order_status:
 def apply_fills(positions: DataFrame, buys: DataFrame, sells: DataFrame) -> DataFrame:
     """Next position snapshot: buys are added, a sell removes every position its strategy held.
 
-    A buy decided after the strategy's last sell of the batch stays. The store assigns ``id``.
+    A buy decided after the strategy's last sell of the batch stays. Where ``buys`` has ``reasons``, rejected
+    orders open nothing. The store assigns ``id``.
     """
     require_columns(buys, ["strategy_id", "order_id", "quantity", "price", "decided_at"], "buys")
+    if "reasons" in buys.columns:
+        buys = buys.filter(F.size("reasons") == 0)
     last_sell = sells.groupBy("strategy_id").agg(F.max("decided_at").alias("_sold"))
     kept = positions.join(last_sell, "strategy_id", "left_anti")
     opened = (

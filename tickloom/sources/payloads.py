@@ -80,8 +80,8 @@ def read_series_values(spark: SparkSession, path, extended_hours: bool = False,
 
 
 def agg_bars(df: DataFrame, on_error: str = "raise") -> DataFrame:
-    failed = F.coalesce(F.col("status").isin("ERROR", "NOT_FOUND"), F.lit(False))
-    why = F.concat(F.lit("aggregate payload rejected: "), F.coalesce("error", "status"))
+    failed = F.coalesce(F.col("status").isin("ERROR", "NOT_FOUND"), F.lit(False)) | F.col("results").isNull()
+    why = F.concat(F.lit("aggregate payload rejected: "), F.coalesce("error", "status", F.lit("no results")))
     rows = _items(df, "results", failed, why, on_error)
     return coerce_numeric(
         rows.select(
