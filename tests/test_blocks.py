@@ -273,3 +273,61 @@ def test_custom_strategy_in_blocks(bars):
         pd.testing.assert_frame_equal(g, split[symbol])
     with pytest.raises(ValueError, match="look_back"):
         st.custom_strategy(bars, rolling_cross, schema, size=SMALL)
+
+
+def with_gap():
+    """Close, high and low missing for a stretch far longer than any look-back here."""
+    pdf = random_bars({"HOT": 2600, "B": 50}, seed=6)
+    hot = pdf.index[pdf["symbol"] == "HOT"]
+    pdf.loc[hot[900:1900], ["close", "high", "low"]] = np.nan
+    return pdf
+
+
+SMOOTHED = {
+    "ewm": lambda df, s: ind.ewm(df, "close", 0.5, size=s),
+    "atr": lambda df, s: ind.atr_wilder(df, 3, size=s),
+    "rsi": lambda df, s: ind.rsi_wilder(df, 3, size=s),
+    "rsi_ratio": lambda df, s: ind.rsi_ratio(df, 3, size=s),
+    "sma": lambda df, s: ind.sma(df, 20, size=s),
+}
+
+
+@pytest.mark.parametrize("name", SMOOTHED)
+def test_long_stretches_of_nulls_do_not_depend_on_blocks(spark, name):
+    df = to_spark(spark, with_gap())
+    whole, split = (by_series(SMOOTHED[name](df, s)) for s in (BlockSize(), SMALL))
+    for symbol in whole:
+        pd.testing.assert_frame_equal(whole[symbol], split[symbol], rtol=1e-9, atol=1e-9)
+
+
+def test_nan_is_null(spark):
+    pdf = random_bars({"HOT": 300}, seed=3)
+    pdf.loc[[5, 120], "close"] = np.nan
+    nan, null = spark.createDataFrame(pdf), to_spark(spark, pdf)
+    for add in (lambda df: ind.sma(df, 20), lambda df: ind.ewm(df, "close", 0.5), ind.rsi_ratio):
+        a, b = by_series(add(nan))["HOT"], by_series(add(null))["HOT"]
+        pd.testing.assert_frame_equal(a, b)
+        assert a.iloc[-1, -1] == a.iloc[-1, -1]
+
+
+def test_alpha_one_is_the_newest_value(spark):
+    for nulls in (0.0, 0.1):
+        pdf = random_bars({"HOT": 200}, seed=2, nulls=nulls)
+        got = by_series(ind.ewm(to_spark(spark, pdf), "close", 1.0))["HOT"]
+        pd.testing.assert_series_equal(got["close_ewm"], pdf["close"].ffill(), check_names=False)
+        atr = by_series(ind.atr_wilder(to_spark(spark, pdf), 1))["HOT"]
+        assert atr["ATR"].notna().mean() > 0.9
+        assert set(by_series(ind.rsi_ratio(to_spark(spark, pdf), 1))["HOT"]["RSI_1"].dropna()) <= {0.0, 100.0}
+
+
+@pytest.mark.parametrize("size", [BlockSize(), BlockSize(rows=600, unit_seconds=6 * 3600)], ids=["whole", "split"])
+@pytest.mark.parametrize("nulls", [False, True], ids=["dense", "gaps"])
+def test_flat_prices_give_no_signals(spark, size, nulls):
+    pdf = random_bars({"HOT": 4000}, seed=5)
+    pdf.loc[600:, ["open", "high", "low", "close"]] = 10.1
+    if nulls:
+        pdf.loc[3, "close"] = np.nan
+    out = by_series(ind.sma(to_spark(spark, pdf), 200, size=size))["HOT"]
+    assert (out["SMA200"].iloc[900:] == 10.1).all()
+    signals = by_series(st.sma_rsi_reversal(to_spark(spark, pdf), entry_rsi=60, exit_rsi=99, size=size))["HOT"]
+    assert signals["signal"].iloc[1100:].isna().all()

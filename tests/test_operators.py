@@ -369,3 +369,26 @@ def test_rejected_buys_open_nothing(spark):
                      "(2L, 'b', 2L, 5.0D, timestamp'2025-01-02 10:00:00', array('quantity')) as t(strategy_id, order_id, quantity, price, decided_at, reasons)")
     sells = spark.createDataFrame([], "strategy_id bigint, decided_at timestamp")
     assert [r.strategy_id for r in apply_fills(positions, buys, sells).collect()] == [1]
+
+
+def test_changes_act_in_sequence(spark):
+    old = spark.createDataFrame([(i, n, 5, "x", "MARKET", 3, 1, 1, None, None) for i, n in ((1, "a"), (2, "b"), (4, "d"))], schema.STRATEGIES)
+    log = spark.createDataFrame([
+        (1, "DELETE", 1, None, None, None), (2, "UPDATE", 1, None, None, 9), (3, "INSERT", 1, None, "c", 15),
+        (4, "UPDATE", None, "b", "e", None), (5, "UPDATE", None, "b", None, 60), (6, "UPDATE", None, "e", "f", None),
+        (7, "UPDATE", None, "f", None, 30), (8, "UPDATE", 3, None, None, 7), (9, "DELETE", None, "d", None, None),
+        (10, "UPDATE", None, "d", None, 45)], "seq int, op string, id long, match_name string, name string, time_frame int")
+    history = spark.createDataFrame([(1, 2.0), (2, 3.0), (4, 1.0)], "strategy_id long, quantity double")
+    after = od.apply_registry_changes(old, log, "2024-02-01 00:00:00", positions=history)
+    got = sorted((r.id, r.name, r.time_frame) for r in after.strategies.collect())
+    assert got == [(1, "c", 15), (2, "f", 30)]
+    assert [r.strategy_id for r in after.positions.collect()] == [2]
+
+
+def test_look_back_prunes_days(spark, tmp_path):
+    path = str(tmp_path / "pruned")
+    store.write_bars(to_spark(spark, minutes(3000)), path)
+    kept = q.lookback(store.read_bars(spark, path, keep_day=True), "2025-10-29 00:00:00", 1)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+    assert kept.count() == q.lookback(store.read_bars(spark, path), "2025-10-29 00:00:00", 1).count() > 0

@@ -12,7 +12,8 @@ from tools.check import TABLES, compare  # noqa: E402
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables absent")
 
-NAMES = ["a1_resample_45m", "a2_resample_for_strategies", "w5_rsi_wilder", "w8_hot_mask", "g1_sma_cross",
+NAMES = ["t3_stream_signals", "t3_stream_signals_backlog", "o9_reinsert_rename", "g2_sma_rsi_reversal",
+         "a1_resample_45m", "a2_resample_for_strategies", "w5_rsi_wilder", "w8_hot_mask", "g1_sma_cross",
          "g3_runners_swing", "b4_pair_trades", "o2_order_intents", "o4_apply_fills", "o9_apply_registry_changes",
          "s2_read_series_values", "t4_late_rows"]
 

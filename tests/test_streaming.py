@@ -5,11 +5,11 @@ from datetime import datetime
 from functools import partial
 
 import pandas as pd
+import pytest
 from conftest import random_bars, to_spark
 from pyspark.sql import functions as F
 
 from tickloom import schema
-from tickloom.operators import orders as od
 from tickloom.operators import resample as rs
 from tickloom.operators import strategies as st
 from tickloom.streaming import live
@@ -44,24 +44,59 @@ def rows(df, *columns):
 KEYS = ("strategy_id", "candle_ts", "instruction", "quantity", "price")
 
 
-def test_signal_loop_equals_batch_replay(spark, tmp_path):
-    frames, whole = parts(spark, 3)
+def loop_orders(pdf):
+    """(strategy, candle, side, quantity) of each firing bar, from the bars up to it alone."""
+    hot, out = pdf[pdf["symbol"] == "HOT"].sort_values("ts"), []
+    for sid, frame, days in ((1, 5, 10), (2, 15, 2)):
+        for at in hot["ts"][(hot["ts"].dt.minute + 1) % frame == 0]:
+            seen = hot[(hot["ts"] <= at) & (hot["ts"] >= at - pd.Timedelta(days=days))]
+            if len(seen) < frame:
+                continue
+            close = seen.groupby(seen["ts"].dt.floor(f"{frame}min"))["close"].last()
+            mean = close.rolling(4).mean()
+            if len(close) < 2:
+                continue
+            up = close.iloc[-2] < mean.iloc[-2] and close.iloc[-1] > mean.iloc[-1]
+            down = close.iloc[-2] > mean.iloc[-2] and close.iloc[-1] < mean.iloc[-1]
+            if up or down:
+                out.append((sid, close.index[-1].to_pydatetime(), "BUY" if up else "SELL", round(150 / close.iloc[-1], 6)))
+    return sorted(out)
+
+
+def found(spark, out):
+    return sorted((r.strategy_id, r.candle_ts, r.instruction, round(r.quantity, 6)) for r in spark.read.parquet(out).collect())
+
+
+@pytest.mark.parametrize("n", [1, 3, 7])
+def test_signal_loop_does_not_depend_on_batches(spark, tmp_path, n):
+    frames, whole = parts(spark, n)
+    reg = registry(spark)
+    store, out = str(tmp_path / "store"), str(tmp_path / "out")
+    for batch_id, frame in enumerate(frames):
+        live.process_batch(frame, batch_id, reg, store, out, RULES)
+    got = found(spark, out)
+    assert len(got) > 20 and got == loop_orders(whole.toPandas())
+
+
+def test_signal_loop_as_a_stream(spark, tmp_path):
+    frames, whole = parts(spark, 2)
     reg = registry(spark)
     store, out, checkpoint = (str(tmp_path / n) for n in ("store", "out", "checkpoint"))
     feed(spark, tmp_path, frames, lambda s: live.stream_signals(
         s, reg, store, out, checkpoint, RULES, trigger={"availableNow": True}).awaitTermination())
-    expected, seen = [], None
-    for frame in frames:
-        seen = frame if seen is None else seen.unionByName(frame)
-        as_of = frame.agg(F.max("ts")).first()[0]
-        candles = rs.resample_for_strategies(seen, reg, as_of)
-        fired = od.signals_to_act_on(st.run_strategies(candles, RULES), frame, reg)
-        intents = od.order_intents(fired, reg).join(
-            fired.select("strategy_id", "candle_ts", F.col("fired_at").alias("decided_at")), ["strategy_id", "decided_at"])
-        expected += rows(intents, *KEYS)
-    got = rows(spark.read.parquet(out), *KEYS)
-    assert len(got) > 20 and got == sorted(expected)
-    assert len({k[:2] for k in got}) == len(got)
+    assert found(spark, out) == loop_orders(whole.toPandas())
+
+
+def test_odd_frames_judge_the_open_candle(spark):
+    """A frame of 45 fires at minute 44, inside a candle; bars after it do not count."""
+    ts = pd.date_range("2025-01-02 14:30", periods=300, freq="min")
+    close = [100.0 + (i % 90 < 45) * 5 + i * 0.001 for i in range(300)]
+    whole = to_spark(spark, pd.DataFrame({"symbol": "HOT", "ts": ts, "open": close, "high": close, "low": close,
+                                          "close": close, "volume": 1.0}))
+    reg = spark.createDataFrame([(1, "sma_cross", 45, "hot", "MARKET", 10, 1, 1, None, None)], schema.STRATEGIES)
+    got = live.fired_signals(whole, whole, reg, {"sma_cross": partial(st.sma_cross, length=2)}).collect()
+    by_time = dict(zip(ts.to_pydatetime(), close))
+    assert got and all(r.close == by_time[r.fired_at] and r.fired_at.minute == 44 for r in got)
 
 
 def test_repeated_batch_replaces_its_output(spark, tmp_path):

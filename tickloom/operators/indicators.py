@@ -40,6 +40,11 @@ def add_indicators(df: DataFrame, blocks: Blocks, sma: dict[str, tuple[str, int]
 
     before = [] if not (atr or rsi or rsi_ratio) else [f"lag(close) {over(part)} AS _pc"]
     df = df.selectExpr("*", f"row_number() {over(part)} - 1 AS _i", *before)
+    # With alpha 1 the mean is the newest value.
+    direct = {o: s.x for o, s in smooth.items() if s.alpha >= 1}
+    if direct:
+        smooth = {o: s for o, s in smooth.items() if s.alpha < 1}
+        df = df.selectExpr("*", *[f"last({x}, true) {over(part, frame=SO_FAR)} AS {o}" for o, x in direct.items()])
     run = run_length([n for _, n in sma.values()] or [1], {s.alpha for s in smooth.values()})
     if blocks.gaps or run is None:
         df = _with_gaps(df, part, sma, smooth, extra)
@@ -52,7 +57,7 @@ def add_indicators(df: DataFrame, blocks: Blocks, sma: dict[str, tuple[str, int]
             ELSE 100D - 100D / (1D + _gain_{o} / nullif(_loss_{o}, 0D)) END AS {o}""" for o, n in rsi.items()],
         *[f"""CASE WHEN _changes >= {n} THEN 100D * _gain_{o} / nullif(_gain_{o} + _loss_{o}, 0D) END AS {o}"""
           for o, n in rsi_ratio.items()])
-    return df.drop("_i", "_pc", *smooth, *extra)
+    return df.drop("_i", "_pc", *smooth, *direct, *extra)
 
 
 def _whole(part) -> str:
@@ -64,7 +69,8 @@ def _with_gaps(df: DataFrame, part, sma, smooth: dict[str, Smooth], extra) -> Da
     df = df.drop("_i").withColumn("_run", F.lit(0))
     for out, (col, n) in sma.items():
         frame = over(part, frame=f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW")
-        df = df.selectExpr("*", f"CASE WHEN count({col}) {frame} = {n} THEN avg({col}) {frame} END AS {out}")
+        df = df.selectExpr("*", f"""CASE WHEN count({col}) {frame} = {n} THEN
+            CASE WHEN min({col}) {frame} = max({col}) {frame} THEN double({col}) ELSE avg({col}) {frame} END END AS {out}""")
     for name, rule in smooth.items():
         df = ewm_mean(df, part, {name: rule.x}, rule.alpha)
     frame = over(part, RUN_ORDER, SO_FAR)
@@ -91,18 +97,18 @@ def rsi_halo(period: int) -> int:
 
 
 def smoothing_halo(alpha: float) -> int:
-    """Look-back that makes a smoothed value independent of where the block began.
+    """Values before a block that make a smoothed value independent of where the block began.
 
-    Rows without a value slow the decay, hence the margin over the gap-free length.
+    A value after a gap leaves less of the old mean than one without, so gaps need no margin.
     """
-    return 8 * decay_halo(alpha)
+    return decay_halo(alpha) + 1
 
 
 # Public forms: bars in, bars plus columns out.
 
-def _indicator(df: DataFrame, halo: int, size: BlockSize, check, **wanted) -> DataFrame:
+def _indicator(df: DataFrame, halo: int, size: BlockSize, check, pairs: bool = False, **wanted) -> DataFrame:
     require_columns(df, ["symbol", "ts", *check])
-    return in_blocks(df, halo, lambda f, b: add_indicators(f, b, **wanted).drop("_run"), size, check)
+    return in_blocks(df, halo, lambda f, b: add_indicators(f, b, **wanted).drop("_run"), size, check, pairs)
 
 
 def sma(df: DataFrame, length: int, col: str = "close", size: BlockSize = DEFAULT) -> DataFrame:
@@ -131,12 +137,12 @@ def rsi_wilder(df: DataFrame, period: int = 14, strict: bool = False,
 
     ``strict`` fails the job on a short series instead.
     """
-    return _indicator(df, rsi_halo(period), size, ["close"], rsi={"RSI": period}, strict=strict)
+    return _indicator(df, rsi_halo(period), size, ["close"], True, rsi={"RSI": period}, strict=strict)
 
 
 def rsi_ratio(df: DataFrame, length: int = 14, size: BlockSize = DEFAULT) -> DataFrame:
     """RSI as 100*g/(g+l): 100 when there was no loss, null for the first ``length`` rows."""
-    return _indicator(df, rsi_halo(length), size, ["close"], rsi_ratio={f"RSI_{length}": length})
+    return _indicator(df, rsi_halo(length), size, ["close"], True, rsi_ratio={f"RSI_{length}": length})
 
 
 def daily_percent_change(bars: DataFrame, causal: bool = False, out: str = "daily_pct") -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.clock import instant
 from tickloom.functions.rounding import round_price
 from tickloom.operators.quality import fill_defaults, normalize_signals
 from tickloom.schema import require_columns
+from tickloom.sources.scratch import materialize
 
 SELL_EXPIRY_MINUTES = 1440
 MINUTE = 60_000_000
@@ -27,7 +28,9 @@ def signals_to_act_on(candles: DataFrame, bars: DataFrame, strategies: DataFrame
     ``fire="minute"``: a bar fires when minute + 1 is a multiple of the time frame, so time frames
     above 60 never fire. ``fire="bucket"``: the candle's last minute fires. Only candles with a
     signal are expanded to their possible firing minutes; those few rows meet the bars in an
-    equi-join, so the bars need no shuffle while the signals fit a broadcast.
+    equi-join, so the bars need no shuffle while the signals fit a broadcast. The signals are those of the
+    candles as given: where the time frame does not divide 60 a firing bar may lie inside its candle, and
+    ``streaming.live.fired_signals`` judges the candle as far as it has come by then.
     """
     require_columns(candles, ["strategy_id", "symbol", "ts", "close", "signal", "quantity"], "candles")
     frames = strategies.select(F.col("id").alias("strategy_id"), F.col("time_frame").alias("_frame"))
@@ -167,6 +170,34 @@ def list_strategies(strategies: DataFrame) -> DataFrame:
     return strategies.select("id", "name", "symbol", "time_frame", "lookback_days", "active")
 
 
+def _with_ids(strategies: DataFrame, changes: DataFrame) -> DataFrame:
+    """``changes`` with the ids that ``match_name`` means at each change's ``seq``.
+
+    A change by name may rename or delete what a later one names. The earliest such change is right after one
+    round, the next after two, so rounds go on until the ids no longer change.
+    """
+    by_id, by_name = changes.filter(F.col("id").isNotNull()), changes.filter(F.col("id").isNull()).drop("id")
+    name = F.when(F.col("op") != "DELETE", F.col("name")) if "name" in changes.columns else F.lit(None).cast("string")
+    renames = (F.col("op") == "DELETE") | name.isNotNull()
+    begun = strategies.select("id", F.lit(None).cast("bigint").alias("_since"), F.col("name").alias("match_name"))
+
+    def resolved(log):
+        borne = begun.unionByName(log.filter(renames).select("id", F.col("seq").alias("_since"), name.alias("match_name")))
+        until = F.lead("_since").over(Window.partitionBy("id").orderBy(F.col("_since").asc_nulls_first()))
+        borne = borne.withColumn("_until", until).filter(F.col("match_name").isNotNull())
+        inside = (F.col("_since").isNull() | (F.col("seq") > F.col("_since"))) & (
+            F.col("_until").isNull() | (F.col("seq") <= F.col("_until")))
+        return by_name.join(borne, "match_name").filter(inside).select(*changes.columns)
+
+    found = resolved(by_id)
+    if not by_name.filter(renames).isEmpty():
+        mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("id", "seq").cast("decimal(38,0)"))).first())
+        found, before = materialize(found, "named"), None
+        while (now := mark(found)) != before:
+            found, before = materialize(resolved(by_id.unionByName(found)), "named"), now
+    return by_id.unionByName(found)
+
+
 class Registry(NamedTuple):
     strategies: DataFrame
     positions: DataFrame | None
@@ -179,32 +210,33 @@ def apply_registry_changes(strategies: DataFrame, changes: DataFrame, as_of,
     """Next registry snapshot after a log of INSERT / UPDATE / DELETE rows.
 
     A change row has ``seq``, ``op``, ``id`` or (for updates and deletes) ``match_name``, and any of
-    the table's columns; null means not given. Per id the latest given value of each column wins.
-    Inserts get the column defaults, updates set ``updated_at``, and deletes take the strategy's
-    positions and history along. Names are matched against ``strategies`` as passed in.
+    the table's columns; null means not given. Changes act in the order of ``seq``, which no two share:
+    per id the latest given value of each column wins, a delete ends all before it, an update needs a
+    row to act on, and a name means the rows that bear it at that point. Inserts get the column
+    defaults, updates set ``updated_at``, and deletes take the strategy's positions and history along.
     """
     require_columns(changes, ["seq", "op", "id"], "changes")
     if "match_name" not in changes.columns:
         changes = changes.withColumn("match_name", F.lit(None).cast("string"))
+    changes = changes.withColumn("seq", F.col("seq").cast("bigint"))
     fields = [c for c in strategies.columns if c not in ("id", "updated_at")]
-    by_name = (changes.filter(F.col("id").isNull()).drop("id")
-               .join(strategies.select("id", F.col("name").alias("match_name")), "match_name"))
-    log = changes.filter(F.col("id").isNotNull()).unionByName(by_name)
     given = [c for c in fields if c in changes.columns]
-    latest = log.groupBy("id").agg(
-        F.bool_or(F.col("op") == "DELETE").alias("_gone"),
-        F.bool_or(F.col("op") == "UPDATE").alias("_changed"),
-        F.bool_or(F.col("op") == "INSERT").alias("_new"),
+    op = lambda kind: F.col("op") == kind
+    log = _with_ids(strategies, changes)
+    ends = log.groupBy("id").agg(F.max(F.when(op("DELETE"), F.col("seq"))).alias("_deleted")).join(
+        strategies.select("id", F.lit(True).alias("_old")), "id", "left")
+    live = log.join(ends, "id").filter(F.col("_deleted").isNull() | (F.col("seq") > F.col("_deleted")))
+    inserted = live.filter(op("INSERT")).groupBy("id").agg(F.min("seq").alias("_inserted"))
+    stays = F.col("_old").isNotNull() & F.col("_deleted").isNull()
+    latest = live.join(inserted, "id", "left").filter(stays | (F.col("seq") >= F.col("_inserted"))).groupBy("id").agg(
+        F.bool_or(op("UPDATE")).alias("_changed"),
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"_to_{c}") for c in given])
-    joined = strategies.withColumn("_old", F.lit(True)).join(latest, "id", "full")
-    now = instant(as_of)
-    next_rows = joined.filter(
-        ~F.coalesce("_gone", F.lit(False)) & (F.col("_old").isNotNull() | F.col("_new")))
-    next_rows = next_rows.withColumns({
+    gone = ends.filter(F.col("_deleted").isNotNull()).select("id")
+    next_rows = strategies.join(gone, "id", "left_anti").join(latest, "id", "full").withColumns({
         **{c: F.coalesce(f"_to_{c}", c) for c in given},
-        "updated_at": F.when(F.coalesce("_changed", F.lit(False)), now).otherwise(F.col("updated_at"))})
+        "updated_at": F.when(F.coalesce("_changed", F.lit(False)), instant(as_of)).otherwise(F.col("updated_at"))})
     table = fill_defaults(next_rows.select(*strategies.columns), "day_trading_strategies", as_of)
-    gone = latest.filter("_gone").select(F.col("id").alias("strategy_id"))
+    gone = gone.select(F.col("id").alias("strategy_id"))
 
     def cascade(df):
         return None if df is None else df.join(gone, "strategy_id", "left_anti").select(*df.columns)

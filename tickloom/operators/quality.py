@@ -40,15 +40,27 @@ def session_filter(bars: DataFrame, start: str = "09:30", end: str = "16:00") ->
 
 
 def lookback(bars: DataFrame, as_of, days: int, delay_minutes: int = 0) -> DataFrame:
-    """Bars in [as_of - delay - days, as_of - delay]; both bounds are literals and reach the scan."""
+    """Bars in [as_of - delay - days, as_of - delay]; both bounds are literals and reach the scan.
+
+    A column ``day`` of market-local dates, as the bar store keeps, is bounded too and prunes partitions.
+    """
     until = instant(as_of) - F.make_dt_interval(mins=F.lit(delay_minutes))
-    return bars.filter(F.col("ts").between(until - F.make_dt_interval(days=F.lit(days)), until))
+    since = until - F.make_dt_interval(days=F.lit(days))
+    kept = bars.filter(F.col("ts").between(since, until))
+    return kept.filter(F.col("day").between(local_date(since), local_date(until))) if "day" in bars.columns else kept
 
 
 def lookback_sessions(bars: DataFrame, as_of, n: int) -> DataFrame:
-    """Bars of each series' last ``n`` market-local dates up to ``as_of``."""
+    """Bars of each series' last ``n`` market-local dates up to ``as_of``.
+
+    A column ``day``, as the bar store keeps, stands for the date and prunes partitions.
+    """
     keys = series_keys(bars)
-    past = bars.filter(F.col("ts") <= instant(as_of)).withColumn("_day", local_date("ts"))
+    past = bars.filter(F.col("ts") <= instant(as_of))
+    if "day" in bars.columns:
+        past = past.filter(F.col("day") <= local_date(instant(as_of))).withColumn("_day", F.col("day"))
+    else:
+        past = past.withColumn("_day", local_date("ts"))
     latest = Window.partitionBy(*keys).orderBy(F.desc("_day"))
     days = (
         past.select(*keys, "_day").distinct()

@@ -93,30 +93,37 @@ def ticks_to_bars(ticks: DataFrame, minutes: int = 1, order=("ts",)) -> DataFram
 SPEC = ["symbol", "time_frame", "extended_hours", "lookback_days"]
 
 
+def _spec(strategies: DataFrame) -> list[str]:
+    """What two strategies must share to share a slice."""
+    return [*SPEC, *(c for c in ["as_of"] if c in strategies.columns)]
+
+
 def strategy_bars(bars: DataFrame, strategies: DataFrame, as_of=None, live_from=None,
                   session_live: bool = True, start: str = "09:30", end: str = "16:00") -> DataFrame:
     """Each active strategy setting's own slice of the bars: its look-back and its session.
 
-    Settings that several strategies share appear once. Without ``as_of`` there is no look-back cut.
-    With ``live_from``, live bars count from the first one aligned with the time frame, and without
-    ``session_live`` the session filter leaves them alone.
+    Settings that several strategies share appear once. A column ``as_of`` of ``strategies`` gives each row its
+    own end; without it and without ``as_of`` there is no look-back cut. With ``live_from``, live bars count
+    from the first one aligned with the time frame, unless the look-back begins later, when that bar has
+    long passed. Without ``session_live`` the session filter leaves live bars alone.
     """
-    specs = active_strategies(strategies).select(*SPEC).distinct()
-    rows = bars.select(*BAR_COLUMNS).join(specs, "symbol")
-    if as_of is not None:
-        until = instant(as_of)
-        rows = rows.filter((F.col("ts") <= until) & (
-            F.unix_micros("ts") >= F.unix_micros(until)
-            - F.col("lookback_days").cast("bigint") * F.lit(86_400_000_000)))
+    spec = _spec(strategies)
+    specs = active_strategies(strategies).select(*spec).distinct()
+    rows, began = bars.select(*BAR_COLUMNS).join(specs, "symbol"), None
+    if as_of is not None or "as_of" in spec:
+        until = F.col("as_of") if "as_of" in spec else instant(as_of)
+        began = F.unix_micros(until) - F.col("lookback_days").cast("bigint") * F.lit(86_400_000_000)
+        rows = rows.filter((F.col("ts") <= until) & (F.unix_micros("ts") >= began))
     inside = second_of_day(F.col("ts")).between(clock_seconds(start), clock_seconds(end))
     live = F.lit(False) if live_from is None else F.col("ts") >= instant(live_from)
     unfiltered = F.lit(False) if session_live else live
     rows = rows.filter((F.col("extended_hours") == 1) | inside | unfiltered)
     if live_from is not None:
         aligned = F.pmod(local_minute(F.col("ts")), F.col("time_frame")) == 0
-        latch = rows.filter(live & aligned).groupBy(*SPEC).agg(F.min("ts").alias("_latch"))
-        rows = rows.join(latch, SPEC, "left").filter(
-            ~live | (F.col("ts") >= F.col("_latch"))).drop("_latch")
+        waits = live if began is None else live & (F.unix_micros(instant(live_from)) >= began)
+        latch = rows.filter(live & aligned).groupBy(*spec).agg(F.min("ts").alias("_latch"))
+        rows = rows.join(latch, spec, "left").filter(
+            ~waits | (F.col("ts") >= F.col("_latch"))).drop("_latch")
     return rows
 
 
@@ -124,19 +131,20 @@ def resample_for_strategies(bars: DataFrame, strategies: DataFrame, as_of=None,
                             live_from=None, session_live: bool = True) -> DataFrame:
     """Candles for every active strategy in one pass; a time frame of 1 keeps the bars as they are."""
     require_columns(bars, BAR_COLUMNS, "bars")
+    spec = _spec(strategies)
     rows = strategy_bars(bars, strategies, as_of, live_from, session_live)
     coarse = rows.filter(F.col("time_frame") > 1)
     series = (
-        coarse.groupBy(*SPEC).agg(F.count(F.lit(1)).alias("_rows"), F.min("ts").alias("_first"))
+        coarse.groupBy(*spec).agg(F.count(F.lit(1)).alias("_rows"), F.min("ts").alias("_first"))
         .filter(F.col("_rows") >= F.col("time_frame")).drop("_rows")
     )
     candles = _candles(
-        coarse.join(series, SPEC).withColumn(
+        coarse.join(series, spec).withColumn(
             "_bucket", grid_bucket(F.col("ts"), F.col("time_frame"), F.col("_first"))),
-        SPEC)
-    columns = [*SPEC, "ts", *PRICE_COLUMNS, "volume"]
+        spec)
+    columns = [*spec, "ts", *PRICE_COLUMNS, "volume"]
     every = candles.select(*columns).unionByName(
         rows.filter(F.col("time_frame") == 1).select(*columns))
-    names = active_strategies(strategies).select(F.col("id").alias("strategy_id"), "name", *SPEC)
-    return every.join(names, SPEC).select(
+    names = active_strategies(strategies).select(F.col("id").alias("strategy_id"), "name", *spec)
+    return every.join(names, spec).select(
         "strategy_id", "name", "symbol", "time_frame", "ts", *PRICE_COLUMNS, "volume")

@@ -42,7 +42,7 @@ def sma_rsi_reversal(df: DataFrame, short: int = 200, long: int = 400, rsi_len:
                      size: BlockSize = DEFAULT) -> DataFrame:
     """Enter on a weak RSI above the short mean; leave on a strong RSI or at the long mean."""
     require_columns(df, ["symbol", "ts", "low", "close"])
-    blocks = split_blocks(df, max(short, long, rsi_halo(rsi_len)), size, check=["close"])
+    blocks = split_blocks(df, max(short, long, rsi_halo(rsi_len)), size, check=["close"], pairs=True)
     rsi = f"RSI_{rsi_len}"
 
     def masks(b):
@@ -83,7 +83,7 @@ def opening_bracket(df: DataFrame, pt: float = 5, stop: float = 0.9, window=("09
     """Enter on a bullish RSI jump with volume early in the session; leave at a target or stop that
     moves with the current ATR, or at 16:00."""
     require_columns(df, BAR_COLUMNS)
-    blocks = split_blocks(df, rsi_halo(14) + 1, size, check=PRICES)
+    blocks = split_blocks(df, rsi_halo(14) + 1, size, check=PRICES, pairs=True)
     opens, closes, four = (clock_seconds(t) for t in (*window, "16:00"))
 
     def rule(b):

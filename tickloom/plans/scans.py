@@ -21,6 +21,8 @@ def decay_rate(alpha: float) -> float:
 
 def decay_halo(alpha: float) -> int:
     """Rows after which an old value weighs less than e^-50, far below double precision."""
+    if alpha >= 1:
+        return 1
     return math.ceil(50.0 / decay_rate(alpha)) + 1
 
 
@@ -88,7 +90,8 @@ def add_runs(df: DataFrame, part: list[str], run: int, means: dict[str, tuple[st
 
     Rows are grouped in runs of ``run`` rows, with running sums inside each run. A sliding mean is
     a difference of two running sums, plus the previous run's total where the window reaches into
-    it (Spark would re-add a sliding frame for every row). An exponential mean is the run's decayed
+    it (Spark would re-add a sliding frame for every row); over equal values it is the value itself, which
+    sums miss by a rounding. An exponential mean is the run's decayed
     sum, plus what the previous run's end has left, plus the seed's share. One window adds the run
     sums and one the look-backs, for all outputs together.
 
@@ -99,8 +102,10 @@ def add_runs(df: DataFrame, part: list[str], run: int, means: dict[str, tuple[st
     x, z = {n: f"_x{i}" for i, n in enumerate(names)}, {n: f"_z{i}" for i, n in enumerate(names)}
     totals = {c: f"_sum_{c}" for c, _ in means.values()}
     rate = {n: decay_rate(smooth[n].alpha) for n in names}
+    before = {c: f"_before_{c}" for c in totals}
     df = df.selectExpr("*", f"_i div {run} AS _run", f"double(_i % {run}) AS _j",
-                       *[f"{smooth[n].x} AS {x[n]}" for n in names])
+                       *[f"{smooth[n].x} AS {x[n]}" for n in names],
+                       *[f"lag({c}) {over(part)} AS {b}" for c, b in before.items()])
     inside = over([*part, "_run"], frame=SO_FAR)
     df = df.selectExpr(
         "*", *[f"sum({c}) {inside} AS {t}" for c, t in totals.items()],
@@ -112,18 +117,21 @@ def add_runs(df: DataFrame, part: list[str], run: int, means: dict[str, tuple[st
 
     df = df.selectExpr(
         "*", *[f"{ahead(t)} AS {t}_run" for t in totals.values()],
+        *[f"max(CASE WHEN {b} IS NULL OR {c} <> {b} THEN _i END) {over(part, RUN_ORDER, SO_FAR)} AS _level_{c}"
+          for c, b in before.items()],
         *[f"lag({totals[c]}, {n}, 0D) {over(part, RUN_ORDER)} AS _lag_{o}" for o, (c, n) in means.items()],
         *[f"{ahead(z[n])} AS {z[n]}_run" for n in names],
         *[f"first({x[n]}, true) {over(part, RUN_ORDER, SO_FAR)} AS {x[n]}_seed" for n in names],
         *[f"{e.format(frame=over(part, RUN_ORDER, SO_FAR))} AS {o}" for o, e in (extra or {}).items()])
     df = df.selectExpr(
-        "*", *[f"""CASE WHEN _i >= {n - 1} THEN ({totals[c]} - _lag_{o}
+        "*", *[f"""CASE WHEN _i - _level_{c} >= {n - 1} THEN double({c}) WHEN _i >= {n - 1} THEN ({totals[c]} - _lag_{o}
             + CASE WHEN _j < {n} THEN coalesce({totals[c]}_run, 0D) ELSE 0D END) / {n} END AS {o}"""
                for o, (c, n) in means.items()],
         *[f"""{z[n]} + coalesce({z[n]}_run, 0D) * exp(-{rate[n]!r}D * (_j + 1))
             + {1 - smooth[n].alpha!r}D * {x[n]}_seed * exp(-{rate[n]!r}D * (_i - {smooth[n].seed})) AS {n}"""
           for n in names])
     return df.drop("_j", *totals.values(), *[f"{t}_run" for t in totals.values()],
+                   *before.values(), *[f"_level_{c}" for c in before],
                    *[f"_lag_{o}" for o in means],
                    *[c for n in names for c in (x[n], z[n], f"{z[n]}_run", f"{x[n]}_seed")])
 

@@ -22,14 +22,17 @@ def write_bars(df: DataFrame, path: str, by_symbol: bool = False, mode: str = "a
 
 
 def read_bars(spark: SparkSession, path: str, start_day: str | None = None,
-              end_day: str | None = None) -> DataFrame:
-    """Bars of the store; the day bounds prune partitions."""
+              end_day: str | None = None, keep_day: bool = False) -> DataFrame:
+    """Bars of the store; the day bounds prune partitions.
+
+    ``keep_day`` keeps the column ``day``, by which ``lookback`` and ``lookback_sessions`` prune as well.
+    """
     df = spark.read.parquet(path)
     if start_day is not None:
         df = df.filter(F.col("day") >= F.lit(start_day).cast("date"))
     if end_day is not None:
         df = df.filter(F.col("day") <= F.lit(end_day).cast("date"))
-    return df.drop("day")
+    return df if keep_day else df.drop("day")
 
 
 def read_registry(spark: SparkSession, path: str, format: str = "parquet") -> dict[str, DataFrame]:

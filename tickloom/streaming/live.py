@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,13 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from tickloom.functions.clock import instant, local_minute
-from tickloom.operators.orders import order_intents, signals_to_act_on
-from tickloom.operators.quality import active_strategies, dedupe_bars, news_on_half_hour
+from tickloom.functions.clock import instant, local_date, local_minute
+from tickloom.operators.orders import MINUTE, order_intents
+from tickloom.operators.quality import active_strategies, dedupe_bars, news_on_half_hour, normalize_signals
 from tickloom.operators.resample import resample_for_strategies
 from tickloom.operators.strategies import STRATEGIES, run_strategies
 from tickloom.schema import BAR_COLUMNS, PRICE_COLUMNS, require_columns
 from tickloom.sources.payloads import news_items
+from tickloom.sources.scratch import materialize
 
 
 def _with_strategies(bars: DataFrame, strategies: DataFrame) -> DataFrame:
@@ -41,8 +43,6 @@ def alignment_latch(bars: DataFrame, strategies: DataFrame, start_ts) -> DataFra
     )
 
 
-LONGEST_LOOKBACK_DAYS = 10  # fixed value: the registry allows 1 to 10
-
 _LATCH_STATE = T.StructType([T.StructField("open", T.BooleanType())])
 
 
@@ -89,51 +89,94 @@ def stream_resample(bars: DataFrame, minutes: int, watermark: str = "10 minutes"
 
 
 def stored_bars(spark, store: str) -> DataFrame:
-    return spark.read.parquet(store).drop("batch")
+    return spark.read.parquet(store).drop("day", "batch")
+
+
+ORDERS = ("strategy_id long, symbol string, instruction string, quantity double, price double, order_type string, "
+          "expiry_minutes int, decided_at timestamp, body string, reasons array<string>, candle_ts timestamp")
+
+
+def fired_orders(spark, out: str) -> DataFrame:
+    """The orders the signal loop has written so far."""
+    return spark.read.schema(ORDERS).parquet(out)
+
+
+def firings(fresh: DataFrame, strategies: DataFrame) -> DataFrame:
+    """The active strategies once per minute of ``fresh`` they fire on, with the firing bar's time as ``as_of``.
+
+    A bar fires when its minute + 1 is a multiple of the time frame.
+    """
+    terms = active_strategies(strategies)
+    return (
+        fresh.select("symbol", "ts").join(terms, "symbol")
+        .filter(F.pmod(F.minute("ts") + 1, F.col("time_frame")) == 0)
+        .groupBy(*terms.columns, F.date_trunc("minute", "ts").alias("_minute"))
+        .agg(F.max("ts").alias("as_of")).drop("_minute")
+    )
+
+
+def fired_signals(bars: DataFrame, fresh: DataFrame, strategies: DataFrame,
+                  registry: dict[str, Callable] = STRATEGIES, live_from=None) -> DataFrame:
+    """Signals of the newest candle at each firing bar of ``fresh``, as the strategy sees it then.
+
+    Every firing has its own slice of ``bars``, from its look-back up to the firing bar, so the result does not
+    depend on which bars arrive together, and a candle that is still open is judged as far as it
+    has come. The work is the sum of the slices.
+    """
+    due = firings(fresh, strategies).filter(F.col("name").isin(*registry))
+    due = materialize(due.withColumn("firing", F.monotonically_increasing_id()), "firings")
+    candles = resample_for_strategies(bars, due.withColumn("id", F.col("firing")), live_from=live_from)
+    signals = normalize_signals(run_strategies(candles, registry)).filter(F.col("signal").isNotNull()).select(
+        F.col("strategy_id").alias("firing"), F.col("ts").alias("candle_ts"), "signal", "quantity", "close")
+    ends = F.unix_micros("candle_ts") + F.col("time_frame").cast("bigint") * F.lit(MINUTE)
+    return due.join(signals, "firing").filter(ends > F.unix_micros("as_of")).select(
+        F.col("id").alias("strategy_id"), "symbol", "candle_ts", F.col("as_of").alias("fired_at"),
+        "signal", "quantity", "close")
 
 
 def process_batch(batch: DataFrame, batch_id: int, strategies: DataFrame, store: str, out: str,
                   registry: dict[str, Callable], dedupe: bool = True, live_from=None) -> None:
     """One micro-batch of the signal loop.
 
-    Bars go to ``store``, then the look-back of the touched symbols is read back, candles and
-    signals are computed, and the signals that fire on this batch's bars go to ``out``. Both are
-    written under the batch's number, so a repeated batch replaces its own output. A candle of a
+    Bars go to ``store``, then the look-back of the touched symbols is read back, and the signals that fire on
+    this batch's bars go to ``out``. Both lie by market day, of the bar and of the candle, and batch number:
+    a batch reads only the days it needs, and a repeated batch replaces its own output. A candle of a
     strategy that has fired before is not fired again.
     """
     spark = batch.sparkSession
-    batch.select(*BAR_COLUMNS).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-    fresh = spark.read.parquet(f"{store}/batch={batch_id}")
-    as_of = fresh.agg(F.max("ts")).first()[0]
-    if as_of is None:
+    _write_days(batch.select(*BAR_COLUMNS), "ts", store, batch_id)
+    first = batch.agg(F.min("ts")).first()[0]
+    days = active_strategies(strategies).agg(F.max("lookback_days")).first()[0]
+    if first is None or days is None:
         return
-    until = as_of.strftime("%Y-%m-%d %H:%M:%S.%f")
-    history = spark.read.option("basePath", store).parquet(store).filter(F.col("batch") <= batch_id)
-    longest = F.make_dt_interval(days=F.lit(LONGEST_LOOKBACK_DAYS))
-    # Once the start lies before every look-back, the latches have long opened.
-    if live_from is not None and spark.range(1).filter(instant(live_from) < instant(until) - longest).count():
-        live_from = None
-    bars = history.filter(F.col("ts") >= instant(until) - longest).join(
-        fresh.select("symbol").distinct(), "symbol", "left_semi")
+    history = _read_days(spark, store, first - timedelta(days=int(days))).filter(F.col("batch") <= batch_id)
+    fresh = _read_days(spark, store, first).filter(F.col("batch") == batch_id)
+    bars = history.join(fresh.select("symbol").distinct(), "symbol", "left_semi").drop("day")
     if dedupe:
         bars = dedupe_bars(bars, arrival="batch")
-    candles = resample_for_strategies(bars, strategies, as_of=until, live_from=live_from)
-    signals = run_strategies(candles, registry).select(
-        "strategy_id", "symbol", "ts", "close", "signal", "quantity")
-    fired = signals_to_act_on(signals, fresh, strategies)
+    fired = materialize(fired_signals(bars, fresh, strategies, registry, live_from), "fired")
     orders = order_intents(fired, strategies).join(
         fired.select("strategy_id", "candle_ts", F.col("fired_at").alias("decided_at")),
         ["strategy_id", "decided_at"])
-    if batch_id > 0 and _exists(spark, out):
-        done = (spark.read.option("basePath", out).parquet(out).filter(F.col("batch") < batch_id)
-                .select("strategy_id", "candle_ts"))
+    done = _read_days(spark, out, first)
+    if done is not None:
+        done = done.filter(F.col("batch") < batch_id).select("strategy_id", "candle_ts")
         orders = orders.join(done, ["strategy_id", "candle_ts"], "left_anti")
-    orders.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    _write_days(orders, "candle_ts", out, batch_id)
+
+
+def _write_days(df: DataFrame, ts: str, path: str, batch_id: int) -> None:
+    (df.withColumns({"day": local_date(ts), "batch": F.lit(batch_id)})
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path))
 
 
-def _exists(spark, path: str) -> bool:
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
+def _read_days(spark, path: str, first) -> DataFrame | None:
+    """Rows of the days from two before ``first`` on, which covers any zone and a candle's length."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day=*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    start = f"day={(first - timedelta(days=2)).date()}"
+    days = [f"{path}/{d.getPath().getName()}" for d in found if d.getPath().getName() >= start]
+    return spark.read.option("basePath", path).parquet(*days) if days else None
 
 
 def stream_signals(bars: DataFrame, strategies: DataFrame, store: str, out: str, checkpoint: str,

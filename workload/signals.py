@@ -148,13 +148,13 @@ RULES = {"sma_cross": partial(st.sma_cross, length=20),
          "runners_swing": partial(st.sma_cross, length=5, position_size=1000)}
 
 
-def _named_cross(name, length, size, out):
+def named_cross(name, length, size, out, by="strategy_id"):
     return (f"{out}_in AS (SELECT * FROM candles WHERE name = '{name}'), "
-            + cross_sql(f"{out}_in", length, size, "strategy_id", out))
+            + cross_sql(f"{out}_in", length, size, by, out))
 
 
 FAN_OUT = f"""{EVENT_SQL}, {STRATEGIES_SQL}, {strategy_candles_sql(AS_OF)},
-  {_named_cross('sma_cross', 20, 150, 'first_rule')}, {_named_cross('runners_swing', 5, 1000, 'second_rule')},
+  {named_cross('sma_cross', 20, 150, 'first_rule')}, {named_cross('runners_swing', 5, 1000, 'second_rule')},
   signals AS MATERIALIZED (SELECT strategy_id, symbol, ts, close, signal, quantity FROM first_rule
     UNION ALL SELECT strategy_id, symbol, ts, close, signal, quantity FROM second_rule)"""
 

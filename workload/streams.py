@@ -8,11 +8,11 @@ from tickloom.sources.scratch import materialize, scratch_path
 from tickloom.streaming import live
 from tickloom.streaming import sources as ss
 from workload import fixtures as fx
-from workload.bars import AS_OF, OHLCV
+from workload.bars import OHLCV, RTH, grid_sql
 from workload.fixtures import EVENT_SQL, STRATEGIES_SQL, et, show
-from workload.orders import INTENTS
+from workload.orders import round_price_sql
 from workload.registry import query
-from workload.signals import RULES
+from workload.signals import RULES, named_cross
 
 
 def run_to_table(stream, name: str):
@@ -97,15 +97,46 @@ def t2(spark, sf):
     return show(run_to_table(candles, "candles"))
 
 
-@query("t3_stream_signals", "WITH " + INTENTS.replace(f"TIMESTAMP '{AS_OF}'", "(SELECT max(ts) FROM bars)") + """
-    SELECT strategy_id, symbol, instruction, round(quantity, 4) AS quantity, round(price, 4) AS price, decided_at
-    FROM intents""")
+# One slice of the bars per firing bar; what a strategy decides there is the newest candle's signal.
+SLICES = f"""{EVENT_SQL}, {STRATEGIES_SQL},
+  due AS (SELECT s.*, b.ts AS as_of FROM bars b JOIN active_s s ON b.symbol = s.symbol
+    WHERE (minute(b.ts) + 1) % s.time_frame = 0 AND s.name IN ('sma_cross', 'runners_swing')),
+  joined AS (SELECT d.id AS strategy_id, d.name, d.time_frame, d.order_type, d.as_of, b.* FROM bars b JOIN due d
+    ON b.symbol = d.symbol AND b.ts <= d.as_of AND b.ts >= d.as_of - to_days(d.lookback_days)
+    WHERE d.extended_hours = 1 OR {RTH.replace('ts)', 'b.ts)')}),
+  counted AS (SELECT *, min(ts) OVER (PARTITION BY strategy_id, as_of) AS f,
+    count(*) OVER (PARTITION BY strategy_id, as_of) AS n FROM joined),
+  candles AS MATERIALIZED (SELECT strategy_id, name, symbol, time_frame, order_type, as_of, {grid_sql('time_frame', 'f')} AS ts,
+    last(close ORDER BY ts) AS close FROM counted WHERE n >= time_frame GROUP BY ALL),
+  {named_cross('sma_cross', 20, 150, 'first_rule', 'strategy_id, as_of')},
+  {named_cross('runners_swing', 5, 1000, 'second_rule', 'strategy_id, as_of')},
+  signals AS (SELECT * FROM first_rule UNION ALL SELECT * FROM second_rule)
+  SELECT strategy_id, symbol, signal AS instruction, round(quantity, 4) AS quantity,
+    round(CASE WHEN order_type = 'LIMIT' THEN {round_price_sql('close')} ELSE 0 END, 4) AS price, as_of AS decided_at
+  FROM signals WHERE signal IS NOT NULL AND ts + to_minutes(time_frame) > as_of"""
+ORDERS = ("strategy_id", "symbol", "instruction", "quantity", "price", "decided_at")
+
+
+@query("t3_stream_signals", f"WITH {SLICES}")
 def t3(spark, sf):
+    """All bars in one micro-batch."""
     store, out, checkpoint = (scratch_path(spark, n) for n in ("live-store", "live-out", "live-checkpoint"))
     bars = bar_stream(spark, fx.event_bars(spark, sf), "live-in")
     live.stream_signals(bars, fx.strategies(spark, sf), store, out, checkpoint, registry=RULES,
                         trigger={"availableNow": True}).awaitTermination()
-    return show(spark.read.parquet(out), "strategy_id", "symbol", "instruction", "quantity", "price", "decided_at")
+    return show(live.fired_orders(spark, out), *ORDERS)
+
+
+@query("t3_stream_signals_backlog", f"WITH {SLICES}")
+def t3_backlog(spark, sf):
+    """The same bars in three micro-batches, ten days each."""
+    store, out = (scratch_path(spark, n) for n in ("backlog-store", "backlog-out"))
+    bars, chosen = materialize(fx.event_bars(spark, sf), "backlog-in"), fx.strategies(spark, sf)
+    borders = ["1970-01-01", "2024-01-11", "2024-01-21", "2999-01-01"]
+    for number, (since, until) in enumerate(zip(borders, borders[1:])):
+        part = bars.filter((F.col("ts") >= F.lit(since).cast("timestamp")) & (F.col("ts") < F.lit(until).cast("timestamp")))
+        live.process_batch(part, number, chosen, store, out, RULES)
+    return show(live.fired_orders(spark, out), *ORDERS)
 
 
 LATE = "minute(ts) % 7 = 0"
