@@ -6,6 +6,9 @@ replacement: documents are ranked by random odds over inclusion odds, u/(1-u) /
 lowest are taken until the words are there. Inclusion odds are the source's missing share's odds
 times the square root of the document's size over its source's mean, so longer texts, which fill
 the target with fewer draws, are more likely.
+
+What is known per source is stored before documents meet it: Spark then sees its size, and either broadcasts
+it under its own limit or splits a hot source's rows, instead of dealing all documents by source.
 """
 
 from __future__ import annotations
@@ -44,8 +47,8 @@ def _fill(docs: DataFrame) -> DataFrame:
     sums = bucketed.filter("_bucket is not null").groupBy("source", "_bucket").agg(
         F.sum("size").alias("words"), F.first("missing").alias("missing"))
     run = Window.partitionBy("source").orderBy("_bucket")
-    edge = sums.withColumn("upto", F.sum("words").over(run)).filter("upto > missing").groupBy("source").agg(
-        F.min("_bucket").alias("edge"), F.min(F.col("upto") - F.col("words")).alias("before"))
+    edge = store(sums.withColumn("upto", F.sum("words").over(run)).filter("upto > missing").groupBy("source").agg(
+        F.min("_bucket").alias("edge"), F.min(F.col("upto") - F.col("words")).alias("before")), "edges")
     marked = bucketed.alias("d").join(edge.alias("e"), F.col("d.source").eqNullSafe(F.col("e.source")), "left") \
         .select("d.*", "e.edge", "e.before")
     whole = marked.filter("edge is null or _bucket is null or _bucket <> edge").withColumn(
@@ -73,10 +76,10 @@ def mix(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str
         F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size"), tie.alias("tie")), "sizes")
     shares = targets(sized.select("source", "size"), weights, most)
     counted = sized.groupBy("source").count().withColumnRenamed("source", "s")
-    plan = shares.join(counted, F.col("source").eqNullSafe(F.col("s"))).select(
+    plan = store(shares.join(counted, F.col("source").eqNullSafe(F.col("s"))).select(
         F.col("s"), "source_size", "target", (F.col("source_size") / F.col("count")).alias("mean"),
         F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most)))
-        .otherwise(0).cast("long").alias("sure"))
+        .otherwise(0).cast("long").alias("sure")), "plan")
     u = (F.shiftrightunsigned("tie", 11).cast("double") + 0.5) / float(1 << 53)
     drawn = sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn(
         "y", u / (1 - u) / F.sqrt(F.greatest(F.col("size"), F.lit(1)) / F.greatest("mean", F.lit(1.0)))) \
@@ -85,7 +88,7 @@ def mix(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str
     for n in range(passes):
         drawn = store(_fill(drawn), f"draw{n}")
         if n + 1 < passes:
-            got = drawn.filter("taken").groupBy("source").agg(F.sum("size").alias("got")).withColumnRenamed("source", "s")
+            got = store(drawn.filter("taken").groupBy("source").agg(F.sum("size").alias("got")).withColumnRenamed("source", "s"), "got")
             drawn = drawn.join(got, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn(
                 "missing", F.col("target") - F.col("sure") * F.col("source_size") - F.coalesce("got", F.lit(0))).drop("got")
     copies = F.col("sure") + F.col("taken").cast("long")
