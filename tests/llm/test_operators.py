@@ -196,6 +196,13 @@ def test_language_model(docs, empty):
     assert score(empty).count() == 0
 
 
+def test_every_training_document_moves_the_weights(spark):
+    prepare(spark)
+    for i in [n for n in range(20) if zlib.crc32(str(n).encode()) % 5 != 1][:3]:
+        one = spark.createDataFrame([(i, "the cat sat on the mat " * 20)], "doc_id long, text string")
+        assert score(one).first().score != pytest.approx(score(one, rounds=0).first().score)
+
+
 def test_attention_is_a_distribution_and_learns():
     rng = np.random.default_rng(5)
     counts = rng.integers(0, 50, 400).astype(float)
