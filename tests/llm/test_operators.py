@@ -269,6 +269,18 @@ def test_licences(spark, docs, empty):
     assert licences.scan_licences(docs).count() == 0 and licences.scan_licences(empty).count() == 0
 
 
+def test_licences_wrapped_and_together(spark, docs):
+    notices = ["/*\n * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files\n */",
+               "Redistribution and use in source and binary forms, with or without\nmodification, are permitted",
+               "Licensed under the MIT License or the Apache License, Version 2.0", "Released under the MIT License. Released under the BSD license.",
+               "Some words.\n\nThis work is licensed under the GNU General\nPublic License version 2", "Released under the\n\nMIT License", "Licensed under CC BY-NC 4.0",
+               "Permission is\nhereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files",
+               "This work is licensed under the GNU Lesser General Public License version 3"]
+    df = spark.createDataFrame(list(enumerate(notices)) + [(50 + n, f"entre las {n} mismas palabras otra vez") for n in range(60)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.paragraph, r.family) for r in licences.scan_licences(df).collect() if r.confirmed)
+    assert got == [(0, 1, "mit"), (1, 0, "bsd"), (2, 0, "apache-2.0"), (2, 0, "mit"), (3, 0, "bsd"), (3, 0, "mit"), (4, 2, "gpl-2.0"), (6, 0, "cc-by-nc"), (7, 0, "mit"), (8, 0, "lgpl")]
+
+
 def test_url_rules(spark):
     prepare(spark)
     rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("example.com", "/en/x/", "allow"),

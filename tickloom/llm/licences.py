@@ -3,15 +3,18 @@
 Training paragraphs are variants of the templates (words dropped, corpus words around them) against background
 paragraphs of the corpus; notices that grant or reserve rights without naming a family make the unknown
 class. A third of them is held out to fit a temperature, so that probabilities are calibrated. Every
-paragraph of every text is scored, long ones in overlapping windows. Where the background class falls below half,
-the likeliest family is compared with its templates: the share of a template's words met in order must
-reach ``CONFIRM``; a prediction that stays below counts as unknown from ``LIKE`` on and as background under it.
+line of every text is scored, long ones in overlapping windows, and every block of lines up to a blank one in windows
+over the line ends, since notices are wrapped. Where the background class falls below half, the families
+are compared with their templates: the share of a template's words met in order must reach ``CONFIRM``, for
+other families than the likeliest also among the words that few families use. A match within another family's
+words does not count. A likeliest family that stays below counts as unknown from ``LIKE`` on and as background under it.
 """
 
 from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 
 SLOTS = 1 << 14
 WINDOW, STRIDE = 48, 24
+NARROW, STEP = 24, 4  #: over line ends, besides WINDOW and STRIDE
 CONFIRM, LIKE = 0.8, 0.5
 BACKGROUND, UNKNOWN = "none", "unknown"
 DROP = b".,;:()\"'`*#/"
@@ -53,7 +57,14 @@ def words(paragraph: bytes) -> list[bytes]:
     return paragraph.lower().translate(None, DROP).split()
 
 
+def _lesser(tokens: list[bytes]) -> list[bytes]:
+    """The word after "lesser" is another word: the lesser general licence is not the general one."""
+    return [b"lesser-" + t if before == b"lesser" else t for before, t in zip([b"", *tokens], tokens)]
+
+
 _WORDS = {family: [words(t.encode()) for t in notices] for family, notices in TEMPLATES.items()}
+_USED = Counter(w for notices in _WORDS.values() for w in set().union(*map(_lesser, notices)))
+_NAMES = {family: [{w for w in _lesser(notice) if _USED[w] <= 3} for notice in notices] for family, notices in _WORDS.items()}
 
 
 def _grams(tokens: list[bytes]) -> np.ndarray:
@@ -132,47 +143,111 @@ def similarity(tokens: list[bytes], family: str) -> float:
     return best
 
 
+def _match(notice: list[bytes], tokens: list[bytes]) -> list[int]:
+    """Places of the most words of ``notice`` that stand in ``tokens`` in its order, as close together as they come."""
+    table = [[0] * (len(tokens) + 1)]
+    for w in notice:
+        above, row = table[-1], [0]
+        for j, t in enumerate(tokens):
+            row.append(above[j] + 1 if w == t else max(above[j + 1], row[j]))
+        table.append(row)
+    i, j, places = len(notice), table[-1].index(table[-1][-1]), []
+    while i and j and table[i][j]:
+        if notice[i - 1] == tokens[j - 1]:
+            i, j = i - 1, j - 1
+            places.append(j)
+        elif table[i - 1][j] >= table[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return places[::-1]
+
+
+def _confirmed(tokens: list[bytes], likeliest: str) -> list[tuple[str, float, list[int]]]:
+    """(family, similarity, places) of the families that the words confirm."""
+    tokens = _lesser(tokens)
+    here, found = set(tokens), []
+    for family, notices in _WORDS.items():
+        best = (0.0, [])
+        for notice, names in zip(map(_lesser, notices), _NAMES[family]):
+            if sum(w in here for w in notice) < CONFIRM * len(notice):
+                continue
+            places = _match(notice, tokens)
+            met = {tokens[p] for p in places}
+            if len(places) >= CONFIRM * len(notice) and (family == likeliest or len(names & met) >= CONFIRM * len(names)):
+                best = max(best, (len(places) / len(notice), places), key=lambda b: (b[0], len(b[1])))
+        if best[1]:
+            found.append((family, *best))
+    met = {family: {tokens[p] for p in places} for family, _, places in found}
+    return [f for f in found if not any(met[f[0]] < met[g] for g in met)]
+
+
+def _windows(size: int, window: int, stride: int):
+    return ((s, min(s + window, size)) for s in range(0, max(1, size - window + stride), stride))
+
+
 def scan_texts(texts: list[str], weights: np.ndarray, bias: np.ndarray, temperature: float) -> list[tuple]:
-    """(text number, paragraph, family, probability, similarity, confirmed) of every paragraph that is not background."""
-    tokens, spans = [], []
+    """(text number, line, family, probability, similarity, confirmed) of every notice; the line is the one it begins on."""
+    tokens, line_of, spans = [], [], []
     for number, text in enumerate(texts):
-        for paragraph, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
-            own = words(line)
-            if not own:
-                continue
-            starts = range(0, max(1, len(own) - WINDOW + STRIDE), STRIDE)
-            spans.extend((number, paragraph, len(tokens) + s, len(tokens) + min(s + WINDOW, len(own))) for s in starts)
-            tokens += own
+        begin, lines = len(tokens), 0
+        for line, raw in enumerate([*text.encode("utf-8", "surrogatepass").split(b"\n"), b""]):
+            own = words(raw)
+            at = len(tokens)
+            if own:
+                spans.extend((number, at + s, at + e) for s, e in _windows(len(own), WINDOW, STRIDE))
+                tokens += own
+                line_of += [line] * len(own)
+                lines += 1
+            if not raw.strip():
+                if lines > 1:
+                    spans.extend((number, begin + s, begin + e) for size in ((WINDOW, STRIDE), (NARROW, STEP))
+                                 for s, e in _windows(at - begin, *size) if line_of[begin + s] != line_of[begin + e - 1])
+                begin, lines = at, 0
     if not spans:
         return []
     grams = _grams(tokens)
-    at = np.array([s[2:] for s in spans])
+    at = np.array([s[1:] for s in spans])
     z = np.tile(bias, (len(spans), 1)).astype(np.float64)
     for n in range(3):
         run = np.zeros((len(tokens) + 1, len(CLASSES)))
         np.cumsum(weights[grams[n]], 0, out=run[1:])
         z += run[at[:, 1]] - run[np.minimum(at[:, 0] + n, at[:, 1])]
     p = _softmax(z / temperature)
-    best: dict = {}
+    sure, weak = [], []
     for i in np.flatnonzero(p[:, 0] < 0.5):
-        number, paragraph, s, e = spans[i]
-        family = CLASSES[1 + int(p[i, 1:].argmax())]
-        like = similarity(tokens[s:e], family)
-        if like < LIKE:  # repeated words can outweigh the background class without being a notice
-            continue
-        sure = like >= CONFIRM
-        found = (sure and family != UNKNOWN, float(p[i, 1:].max()), family if sure else UNKNOWN, like, bool(sure))
-        best[number, paragraph] = max(best.get((number, paragraph), found), found)
-    return [(n, g, f[2], f[1], f[3], f[4]) for (n, g), f in best.items()]
+        number, s, e = spans[i]
+        likeliest = CLASSES[1 + int(p[i, 1:].argmax())]
+        some = _confirmed(tokens[s:e], likeliest)
+        sure.extend((number, line_of[s + places[0]], line_of[s + places[-1]], family, float(p[i, CLASSES.index(family)]), like) for family, like, places in some)
+        if not some and (like := similarity(tokens[s:e], likeliest)) >= LIKE:  # repeated words can outweigh the background class without being a notice
+            weak.append((number, line_of[s], line_of[e - 1], UNKNOWN, float(p[i, 1:].max()), like))
+    taken: dict = {}
+    owner: dict = {}
+    best: dict = {}
+    for known in (True, False, None):  # unknown notices do not count on the lines of known ones, nor weak ones on those of either
+        some = [f for f in sure if (f[3] != UNKNOWN) == known] if known is not None else weak
+        for number, first, last, family, sureness, like in sorted(some, key=lambda f: (f[2] - f[1] if known is None else 0, -f[5], f[1])):
+            lines = range(first, last + 1)
+            if not known and any(taken.get((number, line), known) is not known for line in lines):
+                continue
+            if any(owner.get((number, family, line), first) != first for line in lines):  # a window that cuts the notice
+                continue
+            found = (sureness, like, known is not None)
+            best[number, first, family] = max(best.get((number, first, family), found), found)
+            for line in lines:
+                taken.setdefault((number, line), known)
+                owner[number, family, line] = first
+    return [(n, line, family, *f) for (n, line, family), f in best.items()]
 
 
 def scan_licences(docs: DataFrame, *, id: str = "doc_id", text: str = "text", background_docs: int = 200) -> DataFrame:
-    """(id, paragraph, family, probability, similarity, confirmed): one row per paragraph found to be a licence notice.
+    """(id, paragraph, family, probability, similarity, confirmed): one row per line on which a notice of a family begins.
 
-    ``paragraph`` counts lines from 0. The background is the text of ``background_docs`` documents, of at most 20,000
+    ``paragraph`` is that line, counted from 0; a notice may run over the line ends up to the next blank line. The background is the text of ``background_docs`` documents, of at most 20,000
     characters, chosen by a hash of the text: the bound of the fit's sample. Null and empty texts have no paragraphs. Null ids and repeated rows are scanned like
-    others; an empty table gives an empty result. Of several windows of a paragraph a confirmed family wins, then
-    the higher probability.
+    others; an empty table gives an empty result. Every confirmed family has its
+    row; unknown ones give way to known families on the same lines, and of several windows the higher probability wins.
     """
     spark, kind = docs.sparkSession, docs.schema[id].dataType.simpleString()
     some = docs.select(F.col(text).alias("t")).filter("length(t) <= 20000").select(
