@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
+from tickloom.llm.collocations import collocations
 from tickloom.llm.common import prepare, table
 from tickloom.llm.language_model import score
 from tickloom.llm.licences import scan_licences
@@ -14,9 +15,11 @@ from tickloom.llm.packing import pack
 from tickloom.llm.parsing import document_fingerprints
 from tickloom.llm.personal_data import personal_data
 from tickloom.llm.resampling import resample
+from tickloom.llm.secrets import BASE, joined, scan_secrets
 from tickloom.llm.simhash import near_duplicates
 from tickloom.llm.top_k import top_k
 from tickloom.llm.url_rules import judge_urls
+from tickloom.llm.whitening import whiten
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +128,63 @@ def op9_url_rules(spark, sf_dir):
 @query()
 def op10_pareto_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "copies", F.col("taken"))
+
+
+@query()
+def op11_whitening(spark, sf_dir):
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+_COLLOCATIONS = """
+WITH texts AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+pieces AS (
+  SELECT lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM texts),
+listed AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM listed), (VALUES (1), (2), (3), (4)) AS sizes(k)
+  WHERE i + k - 1 <= len(w)),
+f AS (
+  SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 30),
+sizes AS (SELECT lang, count(*) AS n FROM grams WHERE k = 1 GROUP BY lang),
+split AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+inner_ AS (
+  SELECT lang, phrase, max(longer) AS longer FROM (
+    SELECT lang, f AS longer, array_to_string(w[i:i + m - 1], ' ') AS phrase
+    FROM (SELECT *, unnest(range(1, k)) AS i FROM split), (VALUES (2), (3)) AS parts(m)
+    WHERE m < k AND i + m - 1 <= k)
+  GROUP BY lang, phrase),
+left_ AS (
+  SELECT s.* FROM split s LEFT JOIN inner_ i ON s.lang = i.lang AND s.phrase = i.phrase
+  WHERE i.longer IS NULL OR 100 * i.longer < 80 * s.f),
+cuts AS (
+  SELECT lang, phrase, f AS a, c, array_to_string(w[1:c], ' ') AS head, array_to_string(w[c + 1:k], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM left_)),
+scored AS (
+  SELECT cuts.*, h.f AS l, t.f AS r, 2000000 * a // (h.f + t.f) AS score
+  FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = head JOIN f t ON t.lang = cuts.lang AND t.phrase = tail),
+lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+
+@query(_COLLOCATIONS)
+def op12_collocations(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_secret_scan(spark, sf_dir):
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", *[of(kind).alias(f"n_{kind}") for kind in BASE], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+                        joined(F.col("spans")).alias("spans"))
