@@ -6,10 +6,10 @@ product. N-grams of a chunk with equal fingerprints are compared word by word, s
 of real phrases; each count travels as (fingerprint, count, pointer to one occurrence). A window over the
 fingerprint adds them up, and only rows whose fingerprint reaches the least frequency stay.
 
-Longer phrases are counted where all word pairs inside are frequent: what stayed of a chunk's pairs is handed back to that
-chunk, so no list of frequent pairs is ever held whole. At last the pointers that stayed are resolved in their
-chunks; counts are added by the phrase's text, which parts phrases that shared a fingerprint, and exact
-frequencies decide.
+What stayed of a chunk's words and pairs is handed back to that chunk, so no list of frequent phrases is ever held
+whole: there the pointers are resolved, and longer phrases counted where all word pairs inside are frequent. Those
+that stay in their turn are resolved the same way. Counts are added by the phrase's text, which parts
+phrases that shared a fingerprint, and exact frequencies decide.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import partitions, store
+from tickloom.llm.common import store
 
 BREAK = b"\n"
 _FOLD = bytearray(range(256))
@@ -35,6 +35,7 @@ _FOLD = bytes(_FOLD)
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 PAIR = 2
+SHARES = 32
 
 
 def split_words(text: bytes) -> list[bytes]:
@@ -170,53 +171,64 @@ def _frequent(counts: DataFrame, least: int, name: str) -> DataFrame:
     return store(counts.withColumn("total", total).filter(F.col("total") >= least).drop("total"), name)
 
 
-def _long(chunks: DataFrame, short: DataFrame, most: int) -> DataFrame:
-    """(fp, n, chunk, place) of phrases of 3 to ``most`` words whose word pairs are all in ``short``, chunk by chunk."""
-    def run(mine: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(mine) and len(pairs):
-            chunk = _opened(mine.iloc[0])
-            at = chunk.starts(PAIR)
-            good = np.zeros(len(chunk.ids) + 1, bool)
-            good[at] = np.isin(chunk.prints(at, PAIR), pairs["fp"].to_numpy())
-            for length in range(3, most + 1):
-                at = chunk.starts(length)
-                for k in range(length - 1):
-                    at = at[good[at + k]]
-                fp, n, place = chunk.counted(at, length)
-                out.append(pd.DataFrame({"fp": fp, "n": n.astype(np.int32), "chunk": mine["chunk"].iat[0], "place": place.astype(np.int32)}))
-        return pd.concat(out) if out else pd.DataFrame({"fp": [], "n": [], "chunk": [], "place": []}).astype("int64")
-
-    pairs = short.filter(F.col("fp").bitwiseAND(F.lit(7)) == PAIR).select("chunk", "fp")
-    return chunks.select("chunk", "lang", "words", "ids").groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInPandas(
-        run, "fp long, n int, chunk long, place int")
-
-
-def _resolved(chunks: DataFrame, rows: DataFrame) -> DataFrame:
-    """(lang, phrase, length, n): the text behind every pointer of ``rows``."""
-    def run(mine: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        if not len(mine) or not len(wanted):
-            return pd.DataFrame({"lang": pd.Series([], dtype=str), "phrase": pd.Series([], dtype=object), "length": pd.Series([], dtype=np.int32), "n": pd.Series([], dtype=np.int64)})
-        chunk, lengths = _opened(mine.iloc[0]), (wanted["fp"].to_numpy() & 7).astype(np.int32)
-        return pd.DataFrame({"lang": mine["lang"].iat[0], "phrase": [chunk.phrase(p, k) for p, k in zip(wanted["place"].tolist(), lengths.tolist())],
-                             "length": lengths, "n": wanted["n"].to_numpy(np.int64)})
-
-    return chunks.select("chunk", "lang", "words", "ids").groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInPandas(
-        run, "lang string, phrase binary, length int, n long").withColumn("phrase", F.col("phrase").cast("string"))
+def _texts(chunk: Chunk, lang: str, rows: pd.DataFrame) -> pd.DataFrame:
+    """(lang, phrase, length, n): the words behind the pointers of ``rows``."""
+    lengths = (rows["fp"].to_numpy() & 7).astype(np.int32)
+    return pd.DataFrame({"lang": lang, "phrase": [chunk.phrase(p, k) for p, k in zip(rows["place"].tolist(), lengths.tolist())],
+                         "length": lengths, "n": rows["n"].to_numpy(np.int32)})
+
+
+def _known(mine: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    return _texts(_opened(mine.iloc[0]), mine["lang"].iat[0], rows) if len(mine) and len(rows) else pd.DataFrame(
+        {"lang": pd.Series([], dtype=str), "phrase": pd.Series([], dtype=object), "length": pd.Series([], dtype=np.int32), "n": pd.Series([], dtype=np.int32)})
+
+
+def _unplaced(texts: pd.DataFrame) -> pd.DataFrame:
+    return texts.assign(fp=np.zeros(len(texts), np.int64), chunk=np.zeros(len(texts), np.int64), place=np.zeros(len(texts), np.int32))
+
+
+def _longer(mine: pd.DataFrame, rows: pd.DataFrame, most: int) -> pd.DataFrame:
+    """The texts of the chunk's frequent words and pairs, and (fp, n, chunk, place) of its phrases of 3 to ``most`` words made of such pairs."""
+    if not len(mine) or not len(rows):
+        return _unplaced(_known(mine, rows))
+    chunk = _opened(mine.iloc[0])
+    out = [_unplaced(_texts(chunk, mine["lang"].iat[0], rows))]
+    at = chunk.starts(PAIR)
+    good = np.zeros(len(chunk.ids) + 1, bool)
+    prints = rows["fp"].to_numpy()
+    good[at] = np.isin(chunk.prints(at, PAIR), prints[(prints & 7) == PAIR])
+    for length in range(3, most + 1):
+        at = chunk.starts(length)
+        for k in range(length - 1):
+            at = at[good[at + k]]
+        fp, n, place = chunk.counted(at, length)
+        out.append(pd.DataFrame({"lang": None, "phrase": None, "length": np.int32(length), "n": n.astype(np.int32), "fp": fp, "chunk": mine["chunk"].iat[0], "place": place.astype(np.int32)}))
+    return pd.concat([part for part in out if len(part)], ignore_index=True)
+
+
+def _by_chunk(chunks: DataFrame, rows: DataFrame, run, fields: str) -> DataFrame:
+    """``run`` on every chunk and its rows of ``rows``."""
+    return chunks.select("chunk", "lang", "words", "ids").groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInPandas(run, fields)
 
 
 def phrase_counts(docs: DataFrame, *, lang: str = "lang", text: str = "text", most: int = 4, least: int = 30,
-                  chunk_words: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+                  chunk_words: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
     """((lang, n), (lang, phrase, length, f)): words per language, and the phrases of 1 to ``most`` words that occur ``least`` times, stored."""
     chunks = _chunks(docs, lang, text, chunk_words)
     short = _frequent(_short(chunks), least, "short")
-    rows = short.unionByName(_frequent(_long(chunks, short, most), least, "long")) if most > PAIR else short
-    known = _resolved(chunks, rows).groupBy("lang", "phrase", "length").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    return chunks.groupBy("lang").agg(F.sum("n").alias("n")), store(known, "phrases")
+    fields = "lang string, phrase binary, length int, n int"
+    if most > PAIR:
+        both = store(_by_chunk(chunks, short, lambda mine, rows: _longer(mine, rows, most), f"{fields}, fp long, chunk long, place int"), "longer")
+        long = _frequent(both.filter("phrase is null").select("fp", "n", "chunk", "place"), least, "long")
+        known = both.filter("phrase is not null").select("lang", "phrase", "length", "n").unionByName(_by_chunk(chunks, long, _known, fields))
+    else:
+        known = _by_chunk(chunks, short, _known, fields)
+    counted = known.groupBy("lang", F.col("phrase").cast("string").alias("phrase"), "length").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+    return chunks.groupBy("lang").agg(F.sum("n").alias("n")), store(counted, "phrases")
 
 
 def collocations(docs: DataFrame, *, lang: str = "lang", text: str = "text", most: int = 4, least: int = 30, top: int = 2000,
-                 chunk_words: int = 2_000_000) -> DataFrame:
+                 chunk_words: int = 4_000_000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first ``top`` phrases of 2 to ``most`` (at most 7) words.
 
     Null and empty texts hold no words; a null language is ``und``, together with rows that say so. Repeated rows count
@@ -241,7 +253,7 @@ def collocations(docs: DataFrame, *, lang: str = "lang", text: str = "text", mos
     least_cut = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r")).alias("c")).select("lang", "phrase", "c.*")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     # First within shares of a language, so that one task meets only the first rows of each share.
-    salted = least_cut.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(partitions(docs.sparkSession))))
+    salted = least_cut.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
     kept = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).filter(F.col("rank") <= top)
     ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
     return ranked.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
