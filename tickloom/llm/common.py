@@ -7,16 +7,19 @@ id column plus its results. Further columns of the input, whatever their names,
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickloom.ship import ship
 from tickloom.sources.scratch import scratch_path
-from workload.registry import ship
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_scratch: list[str] = []
+_recorded: list[list[str]] = []
 
 
 def prepare(spark: SparkSession) -> None:
@@ -33,19 +36,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
-    _scratch.append(path)
+    for paths in _recorded[-1:]:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete the scratch tables written so far; call it when nothing reads them any more."""
+@contextmanager
+def recorded(paths: list[str]) -> Iterator[None]:
+    """Add the paths of the tables stored inside the block to ``paths``."""
+    _recorded.append(paths)
+    try:
+        yield
+    finally:
+        _recorded.pop()
+
+
+def sweep(spark: SparkSession, paths: list[str]) -> None:
+    """Delete the tables at ``paths`` and empty the list; call it when nothing reads them any more."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    while _scratch:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(hadoop).delete(path, True)
 
 
+def keyed(docs: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """``columns`` with ``_row``, which tells repeated rows apart and is the same at each read.
+
+    Rows of Parquet files are known by file and place in it; other rows are stored under numbers.
+    """
+    try:
+        return docs.select(*columns, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("_row"))
+    except AnalysisException:
+        return store(docs.select(*columns, F.struct(F.monotonically_increasing_id().alias("at")).alias("_row")), name)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
