@@ -111,6 +111,14 @@ def test_phrase_fingerprints(docs, empty):
     assert next(r for r in out if r.doc_id == 7).near_next > 0.9 and parsing.document_fingerprints(empty).count() == 0
 
 
+def test_fingerprints_do_not_depend_on_the_texts_beside():
+    rng = np.random.default_rng(4)
+    texts = [t or "" for _, t in TEXTS] + ["".join(rng.choice(list("ab c"), rng.integers(0, 60))) for _ in range(300)]
+    together, _ = parsing.fingerprints(texts)
+    assert together == [parsing.fingerprints([t])[0][0] for t in texts]
+    assert parsing.fingerprints(texts[::-1])[0] == together[::-1]
+
+
 def test_equal_substrings_share_phrases_at_any_offset():
     rng = np.random.default_rng(2)
     text = "".join(rng.choice(list("abcdefgh "), 5000))

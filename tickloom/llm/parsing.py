@@ -69,7 +69,7 @@ def _phrases(names: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarra
     peak = np.empty(len(label), bool)
     peak[0] = True
     np.greater(label[1:], label[:-1], out=peak[1:])
-    peak[:-1] &= label[:-1] >= label[1:]
+    peak[:-1] &= (label[:-1] >= label[1:]) | head[1:]  # a text's last name has none after it
     peak |= head
     start = np.flatnonzero(peak)
     size = np.diff(start, append=len(names))
@@ -95,14 +95,16 @@ def sketches(texts: list[str]) -> np.ndarray:
     for level in range(1, LEVELS + 1):
         names, head = _phrases(names, head)
         owner = full[np.cumsum(head) - 1]
-        keep = slice(None)
-        if level < FIRST_LEVEL:  # texts of one phrase already have no higher level
-            alone = np.bincount(owner, minlength=len(texts))[owner] == 1
-            keep = np.flatnonzero(alone)
+        alone = np.bincount(owner, minlength=len(texts))[owner] == 1
+        keep = slice(None) if level >= FIRST_LEVEL else np.flatnonzero(alone)
         found_text.append(owner[keep])
         found_name.append(names[keep] + np.uint64(level))
-        if head.all():
+        # A text that is one phrase has no higher level, whatever texts are parsed beside it.
+        if alone.all():
             break
+        if alone.any():
+            full = np.unique(owner[~alone])
+            names, head = names[~alone], head[~alone]
     name, owner = _mix(np.concatenate(found_name)), np.concatenate(found_text)
     cell = owner * BINS + (name >> np.uint64(58)).astype(np.int64)
     value = ((name >> np.uint64(20)) & np.uint64(0xFFFF)).astype(np.uint16)
