@@ -1,5 +1,7 @@
 """Split series give the same results as whole ones, and as pandas."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -331,3 +333,43 @@ def test_flat_prices_give_no_signals(spark, size, nulls):
     assert (out["SMA200"].iloc[900:] == 10.1).all()
     signals = by_series(st.sma_rsi_reversal(to_spark(spark, pdf), entry_rsi=60, exit_rsi=99, size=size))["HOT"]
     assert signals["signal"].iloc[1100:].isna().all()
+
+
+def plan_text(df):
+    return re.sub(r"#\d+L?|\[[^\]]*plan_id[^\]]*\]|LogicalRDD.*|LocalRelation.*", "", df._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_a_null_does_not_change_the_plan(spark):
+    pdf = random_bars({"HOT": 300, "B": 80}, seed=8)
+    holed = pdf.copy()
+    holed.loc[3, ["close", "high", "low"]] = np.nan
+    for add in (ind.atr_wilder, ind.rsi_wilder, lambda df: ind.ewm(df, "close", 0.1), lambda df: ind.sma(df, 20), st.sma_rsi_reversal, st.opening_bracket):
+        assert plan_text(add(to_spark(spark, pdf))) == plan_text(add(to_spark(spark, holed)))
+
+
+@pytest.mark.parametrize("size", [BlockSize(), SMALL], ids=["whole", "split"])
+def test_means_of_different_decay_and_pattern_together(spark, size):
+    """Slow and fast means do not share stretches, nor do columns with different nulls; blocks without any value are passed through."""
+    pdf = random_bars({"HOT": 2500, "B": 90}, seed=9, nulls=0.3)
+    hot = pdf.index[pdf["symbol"] == "HOT"]
+    pdf.loc[hot[:200], "close"] = np.nan
+    pdf.loc[hot[1000:1700], "high"] = np.nan
+    wanted = {"a": ("close", 0.7), "b": ("close", 0.004), "c": ("high", 0.05), "d": ("low", 1.0), "e": ("close", 0.6)}
+    df = ind.in_blocks(to_spark(spark, pdf), 1, lambda f, b: ind.add_indicators(f, b, ewm=wanted, rsi_ratio={"r": 5}, sma={"m": ("close", 3)}).drop("_run"),
+                       size, ["close", "high", "low"])
+    for symbol, got in by_series(df).items():
+        g = pdf[pdf["symbol"] == symbol].sort_values("ts", ignore_index=True)
+        for name, (c, alpha) in wanted.items():
+            want = g[c].ewm(alpha=alpha, adjust=False).mean() if alpha < 1 else g[c].ffill()
+            np.testing.assert_allclose(got[name].to_numpy(float), want.to_numpy(float), rtol=1e-9, err_msg=name)
+        gain, loss = pandas_rsi(g["close"], 5)
+        ratio = (100 * gain / (gain + loss)).where(g["close"].diff().notna().cumsum() >= 5)
+        np.testing.assert_allclose(got["r"].to_numpy(float), ratio.to_numpy(float), rtol=1e-8, atol=1e-8)
+        np.testing.assert_allclose(got["m"].to_numpy(float), g["close"].rolling(3).mean().to_numpy(float), rtol=1e-9)
+    assert not set(df.columns) - {*pdf.columns, *wanted, "r", "m"}
+
+
+def test_blocks_hold_no_copies_for_smoothing(spark):
+    blocks = split_blocks(to_spark(spark, with_gap()), 2, SMALL, check=["close"])
+    copies = blocks.frame.filter("_split and not _own").groupBy("_block").count().toPandas()["count"]
+    assert copies.max() <= 60  # a calendar unit's rows at most, whatever the smoothing

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.clock import local_date
 from tickloom.operators.resample import daily_close
-from tickloom.plans.blocks import DEFAULT, SO_FAR, Blocks, BlockSize, in_blocks, over
-from tickloom.plans.scans import RUN_ORDER, Smooth, add_runs, decay_halo, ewm_mean, run_length
+from tickloom.plans.blocks import DEFAULT, Blocks, BlockSize, in_blocks, over
+from tickloom.plans.scans import Smooth, add_means, add_smooth
 from tickloom.schema import require_columns, series_keys
 
 
@@ -17,6 +17,7 @@ TRUE_RANGE = "greatest(high - low, abs(high - _pc), abs(low - _pc))"
 CHANGE = "(close - _pc)"
 GAIN = f"CASE WHEN {CHANGE} IS NOT NULL THEN greatest({CHANGE}, 0D) END"
 LOSS = f"CASE WHEN {CHANGE} IS NOT NULL THEN greatest(-{CHANGE}, 0D) END"
+WHOLE = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
 SHORT = "double(raise_error('series is too short for RSI'))"
 
 
@@ -33,23 +34,15 @@ def add_indicators(df: DataFrame, blocks: Blocks, sma: dict[str, tuple[str, int]
     smooth = {f"_ewm_{o}": Smooth(c, a) for o, (c, a) in ewm.items()}
     smooth |= {f"_atr_{o}": Smooth(TRUE_RANGE, 1.0 / n) for o, n in atr.items()}
     for o, n in {**rsi, **rsi_ratio}.items():
-        smooth |= {f"_gain_{o}": Smooth(GAIN, 1.0 / n, 1), f"_loss_{o}": Smooth(LOSS, 1.0 / n, 1)}
-    extra = {"_rows": "count(*) {frame}".replace("{frame}", _whole(part)),
-             "_changes": f"count({CHANGE}) {{frame}}"}
-    extra = {k: v for k, v in extra.items() if (k == "_rows" and rsi) or (k == "_changes" and rsi_ratio)}
+        smooth |= {f"_gain_{o}": Smooth(GAIN, 1.0 / n, CHANGE), f"_loss_{o}": Smooth(LOSS, 1.0 / n, CHANGE)}
 
     before = [] if not (atr or rsi or rsi_ratio) else [f"lag(close) {over(part)} AS _pc"]
-    df = df.selectExpr("*", f"row_number() {over(part)} - 1 AS _i", *before)
-    # With alpha 1 the mean is the newest value.
-    direct = {o: s.x for o, s in smooth.items() if s.alpha >= 1}
-    if direct:
-        smooth = {o: s for o, s in smooth.items() if s.alpha < 1}
-        df = df.selectExpr("*", *[f"last({x}, true) {over(part, frame=SO_FAR)} AS {o}" for o, x in direct.items()])
-    run = run_length([n for _, n in sma.values()] or [1], {s.alpha for s in smooth.values()})
-    if blocks.gaps or run is None:
-        df = _with_gaps(df, part, sma, smooth, extra)
-    else:
-        df = add_runs(df, part, run, sma, smooth, extra)
+    rows = [f"count(*) {over(part, frame=WHOLE)} AS _rows"] if rsi else []
+    df = df.selectExpr("*", f"row_number() {over(part)} - 1 AS _i", *before, *rows)
+    if sma:
+        df = add_means(df, part, sma)
+    if smooth:
+        df = add_smooth(df, blocks, smooth, {"_changes": CHANGE} if rsi_ratio else {})
     too_short = SHORT if strict else "NULL"
     df = df.selectExpr(
         "*", *[f"_ewm_{o} AS {o}" for o in ewm], *[f"_atr_{o} AS {o}" for o in atr],
@@ -57,24 +50,7 @@ def add_indicators(df: DataFrame, blocks: Blocks, sma: dict[str, tuple[str, int]
             ELSE 100D - 100D / (1D + _gain_{o} / nullif(_loss_{o}, 0D)) END AS {o}""" for o, n in rsi.items()],
         *[f"""CASE WHEN _changes >= {n} THEN 100D * _gain_{o} / nullif(_gain_{o} + _loss_{o}, 0D) END AS {o}"""
           for o, n in rsi_ratio.items()])
-    return df.drop("_i", "_pc", *smooth, *direct, *extra)
-
-
-def _whole(part) -> str:
-    return over(part, RUN_ORDER, "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING")
-
-
-def _with_gaps(df: DataFrame, part, sma, smooth: dict[str, Smooth], extra) -> DataFrame:
-    """The same columns where prices may be null: one exponential mean after the other."""
-    df = df.drop("_i").withColumn("_run", F.lit(0))
-    for out, (col, n) in sma.items():
-        frame = over(part, frame=f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW")
-        df = df.selectExpr("*", f"""CASE WHEN count({col}) {frame} = {n} THEN
-            CASE WHEN min({col}) {frame} = max({col}) {frame} THEN double({col}) ELSE avg({col}) {frame} END END AS {out}""")
-    for name, rule in smooth.items():
-        df = ewm_mean(df, part, {name: rule.x}, rule.alpha)
-    frame = over(part, RUN_ORDER, SO_FAR)
-    return df.selectExpr("*", *[f"{e.format(frame=frame)} AS {o}" for o, e in extra.items()])
+    return df.drop("_i", "_pc", *smooth, "_rows", "_changes")
 
 
 def add_true_range(df: DataFrame, blocks: Blocks, out: str = "true_range"):
@@ -93,22 +69,15 @@ def hot_sql(threshold: float, part, order: str = "ts", pct: str = "daily_pct") -
 
 
 def rsi_halo(period: int) -> int:
-    return max(smoothing_halo(1.0 / period), 3 * period) + 2
-
-
-def smoothing_halo(alpha: float) -> int:
-    """Values before a block that make a smoothed value independent of where the block began.
-
-    A value after a gap leaves less of the old mean than one without, so gaps need no margin.
-    """
-    return decay_halo(alpha) + 1
+    """Rows before a block that show it is no short series; smoothing itself needs one, for the change."""
+    return 3 * period + 2
 
 
 # Public forms: bars in, bars plus columns out.
 
-def _indicator(df: DataFrame, halo: int, size: BlockSize, check, pairs: bool = False, **wanted) -> DataFrame:
+def _indicator(df: DataFrame, halo: int, size: BlockSize, check, **wanted) -> DataFrame:
     require_columns(df, ["symbol", "ts", *check])
-    return in_blocks(df, halo, lambda f, b: add_indicators(f, b, **wanted).drop("_run"), size, check, pairs)
+    return in_blocks(df, halo, lambda f, b: add_indicators(f, b, **wanted).drop("_run"), size, check)
 
 
 def sma(df: DataFrame, length: int, col: str = "close", size: BlockSize = DEFAULT) -> DataFrame:
@@ -119,7 +88,7 @@ def sma(df: DataFrame, length: int, col: str = "close", size: BlockSize = DEFAUL
 def ewm(df: DataFrame, col: str, alpha: float, out: str | None = None,
         size: BlockSize = DEFAULT) -> DataFrame:
     """Exponential mean of ``col``, seeded at its first value."""
-    return _indicator(df, smoothing_halo(alpha), size, [col], ewm={out or f"{col}_ewm": (col, alpha)})
+    return _indicator(df, 1, size, [col], ewm={out or f"{col}_ewm": (col, alpha)})
 
 
 def true_range(df: DataFrame, size: BlockSize = DEFAULT) -> DataFrame:
@@ -128,7 +97,7 @@ def true_range(df: DataFrame, size: BlockSize = DEFAULT) -> DataFrame:
 
 
 def atr_wilder(df: DataFrame, period: int = 14, size: BlockSize = DEFAULT) -> DataFrame:
-    return _indicator(df, smoothing_halo(1.0 / period) + 1, size, PRICES, atr={"ATR": period})
+    return _indicator(df, 2, size, PRICES, atr={"ATR": period})
 
 
 def rsi_wilder(df: DataFrame, period: int = 14, strict: bool = False,
@@ -137,12 +106,12 @@ def rsi_wilder(df: DataFrame, period: int = 14, strict: bool = False,
 
     ``strict`` fails the job on a short series instead.
     """
-    return _indicator(df, rsi_halo(period), size, ["close"], True, rsi={"RSI": period}, strict=strict)
+    return _indicator(df, rsi_halo(period), size, ["close"], rsi={"RSI": period}, strict=strict)
 
 
 def rsi_ratio(df: DataFrame, length: int = 14, size: BlockSize = DEFAULT) -> DataFrame:
     """RSI as 100*g/(g+l): 100 when there was no loss, null for the first ``length`` rows."""
-    return _indicator(df, rsi_halo(length), size, ["close"], True, rsi_ratio={f"RSI_{length}": length})
+    return _indicator(df, rsi_halo(length), size, ["close"], rsi_ratio={f"RSI_{length}": length})
 
 
 def daily_percent_change(bars: DataFrame, causal: bool = False, out: str = "daily_pct") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.clock import clock_seconds, second_of_day
 from tickloom.operators.indicators import (
-    PRICES, add_indicators, add_prev, daily_percent_change, hot_sql, rsi_halo, smoothing_halo,
+    PRICES, add_indicators, add_prev, daily_percent_change, hot_sql, rsi_halo,
 )
 from tickloom.plans.blocks import BLOCK, DEFAULT, OWN, SPLIT, BlockSize, over, split_blocks
 from tickloom.plans.positions import position_signals
@@ -42,7 +42,7 @@ def sma_rsi_reversal(df: DataFrame, short: int = 200, long: int = 400, rsi_len:
                      size: BlockSize = DEFAULT) -> DataFrame:
     """Enter on a weak RSI above the short mean; leave on a strong RSI or at the long mean."""
     require_columns(df, ["symbol", "ts", "low", "close"])
-    blocks = split_blocks(df, max(short, long, rsi_halo(rsi_len)), size, check=["close"], pairs=True)
+    blocks = split_blocks(df, max(short, long, rsi_halo(rsi_len)), size, check=["close"])
     rsi = f"RSI_{rsi_len}"
 
     def masks(b):
@@ -60,7 +60,7 @@ def runners_swing(df: DataFrame, threshold: float = 5.0, atr_len: int = 14, shar
                   size: BlockSize = DEFAULT) -> DataFrame:
     """Enter a three-bar hot run above a trailing level; leave on the level, a stop or a crash day."""
     require_columns(df, ["symbol", "ts", "high", "low", "close"])
-    blocks = split_blocks(daily_percent_change(df), smoothing_halo(1.0 / atr_len) + 2, size, check=PRICES)
+    blocks = split_blocks(daily_percent_change(df), 3, size, check=PRICES)
 
     def rule(b):
         b = add_indicators(b, blocks, atr={"ATR": atr_len})
@@ -83,7 +83,7 @@ def opening_bracket(df: DataFrame, pt: float = 5, stop: float = 0.9, window=("09
     """Enter on a bullish RSI jump with volume early in the session; leave at a target or stop that
     moves with the current ATR, or at 16:00."""
     require_columns(df, BAR_COLUMNS)
-    blocks = split_blocks(df, rsi_halo(14) + 1, size, check=PRICES, pairs=True)
+    blocks = split_blocks(df, rsi_halo(14) + 1, size, check=PRICES)
     opens, closes, four = (clock_seconds(t) for t in (*window, "16:00"))
 
     def rule(b):

@@ -7,9 +7,8 @@ usual series and fatal for one that holds a third of all rows. So a small count
 * none: windows partition by the series keys, nothing is added to the plan;
 * some: those series are cut at calendar-unit borders into blocks of about ``rows`` rows, and each
   block receives copies of the ``halo`` rows before it, so every look-back of at most ``halo`` rows
-  is exact inside one block. Rows without a value in the ``check`` columns do not count towards the
-  halo, so a smoothed value keeps its past over any stretch of nulls; a stretch longer than a block
-  is copied into each block it covers. The cut table (one row per series and unit) is written to the shared
+  is exact inside one block. What depends on the whole past goes from block to block as one row
+  each. The cut table (one row per series and unit) is written to the shared
   scratch folder; Spark then knows its size and broadcasts it only if it is small.
 
 Per-series windows over the cut table are bounded by the calendar: about 52 rows a year, more where
@@ -43,12 +42,12 @@ DEFAULT = BlockSize()
 class Blocks:
     """A frame whose windows partition by ``part``.
 
-    ``split``: some series was cut. ``gaps``: one of the checked columns has nulls.
+    ``split``: some series was cut; ``most``: into how many blocks at most.
     """
     frame: DataFrame
     keys: list[str]
     split: bool
-    gaps: bool
+    most: int = 1
 
     @property
     def part(self) -> list[str]:
@@ -84,36 +83,29 @@ def _fine_enough(df: DataFrame, keys: list[str], limit: int, size: BlockSize) ->
     return replace(size, unit_seconds=max(1, size.unit_seconds // parts))
 
 
-def _cuts(df: DataFrame, keys: list[str], halo: int, limit: int, size: BlockSize, valued: str) -> DataFrame:
-    """(series, unit) -> the block that owns the unit's rows and those that need them as halo.
-
-    ``valued`` is SQL that marks the rows a halo counts.
-    """
+def _cuts(df: DataFrame, keys: list[str], halo: int, limit: int, size: BlockSize) -> DataFrame:
+    """(series, unit) -> the block that owns the unit's rows and those that need them as halo."""
     by_unit = Window.partitionBy(*keys).orderBy("_unit")
     so_far = by_unit.rowsBetween(Window.unboundedPreceding, 0)
     units = (
-        df.groupBy(*keys, _unit(size).alias("_unit"))
-        .agg(F.count(F.lit(1)).alias("_n"), F.expr(f"count_if({valued}) AS _values"))
-        .withColumns({
-            "_end": F.sum("_n").over(so_far), "_valued": F.sum("_values").over(so_far),
-            "_total": F.sum("_n").over(Window.partitionBy(*keys))})
+        df.groupBy(*keys, _unit(size).alias("_unit")).agg(F.count(F.lit(1)).alias("_n"))
+        .withColumns({"_end": F.sum("_n").over(so_far), "_total": F.sum("_n").over(Window.partitionBy(*keys))})
         .filter(F.col("_total") > limit)
         .withColumn(BLOCK, F.floor((F.col("_end") - F.col("_n")) / limit).cast("int"))
     )
     # A block holds fewer than 2 * limit rows, so all blocks its rows can be halo for start within
-    # that many values and a halo.
+    # that many rows and a halo.
     reach = Window.partitionBy(*keys).orderBy("_start").rangeBetween(0, halo + 2 * limit)
     blocks = (
         units.groupBy(*keys, BLOCK)
-        .agg(F.min(F.col("_valued") - F.col("_values")).alias("_start"),
-             F.collect_list(F.struct("_unit", "_valued")).alias("_units"))
+        .agg(F.min(F.col("_end") - F.col("_n")).alias("_start"), F.collect_list(F.struct("_unit", "_end")).alias("_units"))
         .withColumn("_next", F.collect_list(F.struct(F.col(BLOCK).alias("block"), F.col("_start").alias("start"))).over(reach))
     )
     return (
         blocks.select(*keys, BLOCK, "_next", F.explode("_units").alias("_u"))
-        .select(*keys, F.col("_u._unit").alias("_unit"), F.expr(f"""
+        .select(*keys, BLOCK, F.col("_u._unit").alias("_unit"), F.expr(f"""
             concat(array(struct({BLOCK} AS block, true AS own)),
-                   transform(filter(_next, n -> n.block > {BLOCK} AND n.start - _u._valued < {halo}),
+                   transform(filter(_next, n -> n.block > {BLOCK} AND n.start - _u._end < {halo}),
                              n -> struct(n.block AS block, false AS own)))""").alias("_to"))
     )
 
@@ -126,46 +118,31 @@ def _without_nan(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def split_blocks(df: DataFrame, halo: int, size: BlockSize = DEFAULT,
-                 keys: Sequence[str] | None = None, check: Sequence[str] = (), pairs: bool = False) -> Blocks:
-    """Cut series above ``size.rows`` into blocks; runs one counting job.
-
-    The job also tells whether the ``check`` columns hold any null; NaN becomes null first. With
-    ``pairs`` a row counts towards the halo only if the row before it has its values as well.
-    """
+                 keys: Sequence[str] | None = None, check: Sequence[str] = ()) -> Blocks:
+    """Cut series above ``size.rows`` into blocks; runs one counting job. NaN in the ``check`` columns becomes null."""
     keys = list(keys or series_keys(df))
     df = _without_nan(df, check)
     limit = max(size.rows, halo)
-    missing = " OR ".join(f"`{c}` IS NULL" for c in check) or "false"
-    longest, nulls = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.expr(f"count_if({missing}) AS _nulls"))
-        .agg(F.max("_n"), F.sum("_nulls")).first()
-    )
-    gaps = bool(nulls)
+    longest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
     if longest is None or longest <= limit:
-        return Blocks(df, keys, False, gaps)
+        return Blocks(df, keys, False)
     size = _fine_enough(df, keys, limit, size)
-    counted, valued = df.select(*keys, "ts", F.expr(f"NOT ({missing})").alias("_there")), "true"
-    if gaps:
-        valued = "_there"
-        if pairs:
-            inside = Window.partitionBy(*keys, _unit(size)).orderBy("ts")
-            counted = counted.withColumn("_pair", F.col("_there") & F.coalesce(F.lag("_there").over(inside), F.lit(False)))
-            valued = "_pair"
-    cuts = materialize(_cuts(counted, keys, halo, limit, size, valued), "cuts")
+    cuts = materialize(_cuts(df.select(*keys, "ts"), keys, halo, limit, size), "cuts")
+    most = cuts.agg(F.max(BLOCK)).first()[0] + 1
     whole = F.expr("array(struct(0 AS block, true AS own))")
     placed = (
-        df.withColumn("_unit", _unit(size)).join(cuts, [*keys, "_unit"], "left")
+        df.withColumn("_unit", _unit(size)).join(cuts.drop(BLOCK), [*keys, "_unit"], "left")
         .withColumns({SPLIT: F.col("_to").isNotNull(), "_to": F.explode(F.coalesce("_to", whole))})
         .withColumns({BLOCK: F.col("_to.block"), OWN: F.col("_to.own")})
         .drop("_to", "_unit")
     )
-    return Blocks(placed, keys, True, gaps)
+    return Blocks(placed, keys, True, most)
 
 
 def in_blocks(df: DataFrame, halo: int, add: Callable[[DataFrame, Blocks], DataFrame],
-              size: BlockSize = DEFAULT, check: Sequence[str] = (), pairs: bool = False) -> DataFrame:
+              size: BlockSize = DEFAULT, check: Sequence[str] = ()) -> DataFrame:
     """Run ``add(frame, blocks)`` with ``halo`` rows of look-back."""
-    blocks = split_blocks(df, halo, size, check=check, pairs=pairs)
+    blocks = split_blocks(df, halo, size, check=check)
     return blocks.finish(add(blocks.frame, blocks))
 
 

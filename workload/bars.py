@@ -354,6 +354,53 @@ def w5(spark, sf):
     return show(ind.rsi_wilder(fx.event_bars(spark, sf)), "symbol", "ts", "RSI")
 
 
+# Bars with prices missing on some minutes, and for a week of one symbol.
+GAP = """(epoch_us(ts) // 60000000) % 7 IN (2, 3) OR (symbol = 'VIEW' AND ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15')"""
+GAP_SQL = f"""gapped AS MATERIALIZED (SELECT symbol, ts, CASE WHEN NOT ({GAP}) THEN high END AS high,
+    CASE WHEN NOT ({GAP}) THEN low END AS low, CASE WHEN NOT ({GAP}) THEN close END AS close FROM bars)"""
+
+
+def gap_bars(spark, sf):
+    gone = F.expr("(unix_seconds(ts) div 60) % 7 IN (2, 3) OR (symbol = 'VIEW' AND ts >= timestamp'2024-01-08' AND ts < timestamp'2024-01-15')")
+    return fx.event_bars(spark, sf).withColumns({c: F.when(~gone, F.col(c)) for c in ("high", "low", "close")})
+
+
+def gap_ewm_sql(source: str, columns: dict[str, str], alpha: float, name: str) -> str:
+    """Adds exponential means of expressions that are null on the same rows; a value after m rows weighs a / ((1-a)^m + a)."""
+    x, keep = next(iter(columns.values())), repr(1 - alpha)
+    means = ", ".join(f"exp(-aa) * sum(ww * ({e}) * exp(aa)) {W} AS {o}" for o, e in columns.items())
+    return f"""{name}_i AS (SELECT *, row_number() {W} AS ii FROM {source}),
+      {name}_m AS (SELECT *, ii - max(CASE WHEN ({x}) IS NOT NULL THEN ii END) OVER (PARTITION BY symbol ORDER BY ts
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mm FROM {name}_i),
+      {name}_w AS (SELECT *, CASE WHEN mm IS NULL THEN 1 ELSE {alpha!r} / (pow({keep}, mm) + {alpha!r}) END AS ww,
+        coalesce(sum(CASE WHEN ({x}) IS NOT NULL AND mm IS NOT NULL THEN ln(1 + {alpha!r} * pow({keep}, -mm)) END) {W}, 0) AS aa FROM {name}_m),
+      {name} AS MATERIALIZED (SELECT * EXCLUDE (ii, mm, ww, aa), {means} FROM {name}_w)"""
+
+
+@query("w2_ewm_gaps", f"""WITH {EVENT_SQL}, {GAP_SQL}, {gap_ewm_sql('gapped', {'y': 'close'}, 0.1, 'e')}
+    SELECT symbol, ts, round(y, 4) AS close_ewm FROM e""")
+def w2_gaps(spark, sf):
+    return show(ind.ewm(gap_bars(spark, sf), "close", 0.1), "symbol", "ts", "close_ewm")
+
+
+_GAP_TR = f"""{EVENT_SQL}, {GAP_SQL}, p AS (SELECT *, lag(close) {W} AS pc FROM gapped)"""
+
+
+@query("w4_atr_gaps", f"""WITH {_GAP_TR}, {gap_ewm_sql('p', {'y': 'greatest(high - low, abs(high - pc), abs(low - pc))'}, 1 / 14, 'e')}
+    SELECT symbol, ts, round(y, 4) AS "ATR" FROM e""")
+def w4_gaps(spark, sf):
+    return show(ind.atr_wilder(gap_bars(spark, sf)), "symbol", "ts", "ATR")
+
+
+_GAP_RSI = gap_ewm_sql("c", {"gain": "CASE WHEN d IS NOT NULL THEN greatest(d, 0) END", "loss": "CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END"}, 1 / 14, "e")
+
+
+@query("w5_rsi_gaps", f"""WITH {_GAP_TR}, c AS (SELECT *, close - pc AS d, count(*) OVER (PARTITION BY symbol) AS n FROM p), {_GAP_RSI}
+    SELECT symbol, ts, CASE WHEN n >= 42 THEN round(100 - 100 / (1 + gain / nullif(loss, 0)), 4) END AS "RSI" FROM e""")
+def w5_gaps(spark, sf):
+    return show(ind.rsi_wilder(gap_bars(spark, sf)), "symbol", "ts", "RSI")
+
+
 @query("w6_rsi_ratio", f"""WITH {EVENT_SQL}, {atr_sql('bars')}, {rsi_sql('tr')} SELECT symbol, ts,
     CASE WHEN t >= 14 THEN round(100 * gain / nullif(gain + loss, 0), 4) END AS "RSI_14" FROM rsi_g""")
 def w6(spark, sf):
