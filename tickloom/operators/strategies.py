@@ -71,7 +71,7 @@ def runners_swing(df: DataFrame, threshold: float = 5.0, atr_len: int = 14, shar
         return b.selectExpr(
             "*", f"hot AND coalesce(low > {level}, false) AND close IS NOT NULL AS _entry",
             f"coalesce(low < {level}, false) OR coalesce(daily_pct < -10D, false) AS _forced",
-            "close + _atr * 1.5D AS _stop", "double(NULL) AS _target").drop("_close", "_atr", "_run")
+            "close AS _low", "_atr * 1.5D AS _below", "double(NULL) AS _high", "double(NULL) AS _above").drop("_close", "_atr", "_run")
 
     out = position_signals(blocks, rule).drop("entry_price")
     return with_quantity(blocks.finish(out), f"{float(shares)!r}D")
@@ -98,8 +98,8 @@ def opening_bracket(df: DataFrame, pt: float = 5, stop: float = 0.9, window=("09
             f"coalesce(RSI - RSI_prev > {float(rsi_jump)!r}D, false) AS meets_rsi_req").drop("_clock")
         return b.selectExpr(
             "*", "in_buy_window AND is_bullish AND meets_volume_req AND meets_rsi_req AS _entry",
-            "is_4pm_or_later AS _forced", f"low + ATR * {float(stop)!r}D AS _stop",
-            f"high - ATR * {float(pt)!r}D AS _target")
+            "is_4pm_or_later AS _forced", "low AS _low", f"ATR * {float(stop)!r}D AS _below",
+            "high AS _high", f"ATR * {float(pt)!r}D AS _above")
 
     out = blocks.finish(position_signals(blocks, rule)).withColumnRenamed("entry_price", "EntryPrice")
     out = out.selectExpr("*", f"EntryPrice + ATR * {float(pt)!r}D AS HighATR",

@@ -1,16 +1,18 @@
 """Positions whose exit depends on the entry price, over blocked series.
 
-While flat, the first row whose ``entry`` mask holds opens a position at its close. While open, the
-position ends at the first later row where ``forced`` holds, or price > ``stop``, or
-price <= ``target``. Which entries count depends on all exits before them, so the walk is
-sequential; three steps spread it over tasks:
-
-1. per block of a split series: what the block does to a flat start, and to any held price. The
-   exit row is a step function of the held price whose steps are the running extremes of ``stop``
-   and ``target``, so the summary stays short;
-2. per series: chain the block summaries (one row per block) to get each block's starting state;
-3. per block: replay from that state and emit signals.
-
+While flat, the first row whose ``entry`` mask holds opens a position at its close. While open at price p, the
+position ends at the first later row where ``forced`` holds, or low < p - below, or high >= p + above. Which entries
+count depends on all exits before them, so the walk is sequential; three steps spread it over tasks:
+
+1. per block of a split series: where a walk that starts flat ends (flat, or holding one entry), and the least price
+   above which and the highest up to which some row may end a position. One row per block;
+2. per series, on these rows: the walk from block to block. A held price passes blocks that cannot end it; the
+   next block that may is asked for the exit and for where the walk then ends. All blocks ask at once for the positions their
+   own flat walks leave open, so that most answers are there when the real walk needs them; the rounds end with it.
+   An entry is asked for once, and only entries that some walk holds at a block's end are;
+3. per block: replay from the state it starts in and emit signals.
+
+No task reads more than a block and one row for each question to it, or one row per block and question of a series.
 Series that fit one block skip the first two steps.
 """
 
@@ -25,13 +27,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.plans.blocks import BLOCK, SPLIT, Blocks
+from tickloom.sources.scratch import materialize
 
 FLAT = None
 LOOK = 64
+SLACK = 1e-9
+RULE = ["_entry", "_forced", "_low", "_below", "_high", "_above"]
 
-_SUMMARY = ("flat_held boolean, flat_price double, lows array<double>, highs array<double>, "
-            "held array<boolean>, prices array<double>, rest_exits boolean, rest_held boolean, "
-            "rest_price double")
+_STATS = "_stop double, _target double, _any boolean, _flat_at int, _flat_price double"
+_ASK = "_from int, _at int, _price double, _to int"
+_ANSWER = f"{_ASK}, _exits boolean, _end_at int, _end_price double"
 _STATE = "_start_held boolean, _start_price double"
 
 
@@ -40,7 +45,7 @@ class BlockRows:
 
     def __init__(self, rows: pd.DataFrame):
         number = lambda c: rows[c].to_numpy(dtype="float64", na_value=np.nan)
-        self.close, self.stop, self.target = number("close"), number("_stop"), number("_target")
+        self.close, self.low, self.below, self.high, self.above = (number(c) for c in ("close", "_low", "_below", "_high", "_above"))
         self.forced = rows["_forced"].to_numpy(dtype=bool)
         self.entries = np.flatnonzero(rows["_entry"].to_numpy(dtype=bool))
         self.size = len(rows)
@@ -54,61 +59,119 @@ class BlockRows:
         width = LOOK
         while start < self.size:
             part = slice(start, start + width)
-            ends = self.forced[part] | (price > self.stop[part]) | (price <= self.target[part])
+            ends = self.forced[part] | (self.low[part] < price - self.below[part]) | (self.high[part] >= price + self.above[part])
             if ends.any():
                 return start + int(ends.argmax())
             start, width = start + width, width * 2
         return None
 
+    def end_from_flat(self, start: int):
+        """The entry held at the block's end after being flat at ``start``; None if flat."""
+        entry = self.next_entry(start)
+        while entry is not None:
+            out = self.exit_after(entry + 1, self.close[entry])
+            if out is None:
+                return entry
+            entry = self.next_entry(out + 1)
+        return None
 
-def _end_from_flat(rows: BlockRows, start: int, known: dict):
-    """Price held at the block's end after being flat at ``start``."""
-    trail, entry = [], rows.next_entry(start)
-    while entry is not None and entry not in known:
-        trail.append(entry)
-        out = rows.exit_after(entry + 1, rows.close[entry])
-        if out is None:
-            known[entry] = float(rows.close[entry])
-            break
-        entry = rows.next_entry(out + 1)
-    end = FLAT if entry is None else known[entry]
-    known.update(dict.fromkeys(trail, end))
-    return end
-
-
-def summarize(pdf: pd.DataFrame) -> dict:
-    rows, known = BlockRows(pdf), {}
-    flat = _end_from_flat(rows, 0, known)
-    last = int(rows.forced.argmax()) + 1 if rows.forced.any() else rows.size
-    low = np.fmax.accumulate(np.append(-np.inf, rows.target[:last]))
-    high = np.fmin.accumulate(np.append(np.inf, rows.stop[:last]))
-    lows, highs, ends = [], [], []
-    for at in np.flatnonzero((low[1:] > low[:-1]) | (high[1:] < high[:-1])):
-        if low[at] >= high[at]:
+    def limits(self):
+        """(stop, target): prices above ``stop`` or up to ``target`` may end here; a little too wide rather than too narrow."""
+        with np.errstate(invalid="ignore"):
+            stop = self.low + self.below - SLACK * (np.abs(self.low) + np.abs(self.below))
+            target = self.high - self.above + SLACK * (np.abs(self.high) + np.abs(self.above))
+        return np.fmin.reduce(stop, initial=np.inf), np.fmax.reduce(target, initial=-np.inf)
+
+
+def describe(pdf: pd.DataFrame) -> dict:
+    rows = BlockRows(pdf)
+    stop, target = rows.limits()
+    held = rows.end_from_flat(0)
+    return dict(_stop=stop, _target=target, _any=bool(rows.forced.any()), _flat_at=-1 if held is None else held,
+                _flat_price=np.nan if held is None else float(rows.close[held]))
+
+
+def answer(pdf: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """``asked`` with whether the block ends each price, and the entry held at its end (-1: flat) if so."""
+    rows, ends, out = BlockRows(pdf), {}, []
+    for price in asked["_price"]:
+        at = rows.exit_after(0, price)
+        if at is None:
+            out.append((False, -1, np.nan))
+            continue
+        if at not in ends:
+            ends[at] = rows.end_from_flat(at + 1)
+        held = ends[at]
+        out.append((True, -1, np.nan) if held is None else (True, held, float(rows.close[held])))
+    return asked.assign(**{c: [o[n] for o in out] for n, c in enumerate(("_exits", "_end_at", "_end_price"))})
+
+
+class Search:
+    """First block from a place on whose limits may end a price: minima and maxima over 2^k blocks."""
+
+    def __init__(self, stats: pd.DataFrame):
+        stop, target = stats["_stop"].to_numpy(float), stats["_target"].to_numpy(float)
+        stop = np.where(stats["_any"].to_numpy(bool), -np.inf, stop)
+        self.levels, self.size = [(stop, target)], len(stats)
+        while (1 << len(self.levels)) <= self.size:
+            half = 1 << (len(self.levels) - 1)
+            later = lambda v, fill: np.concatenate([v[half:], np.full(half, fill)])  # noqa: B023, E731
+            self.levels.append((np.minimum(stop, later(stop, np.inf)), np.maximum(target, later(target, -np.inf))))
+            stop, target = self.levels[-1]
+
+    def first(self, at: np.ndarray, price: np.ndarray) -> np.ndarray:
+        """Places of the blocks; ``size`` where there is none."""
+        at = at.copy()
+        for k in range(len(self.levels) - 1, -1, -1):
+            for _ in range(2 if k == len(self.levels) - 1 else 1):
+                inside = np.minimum(at, self.size - 1)
+                stop, target = self.levels[k]
+                none = (at < self.size) & ~((price > stop[inside]) | (price <= target[inside]))
+                at = np.minimum(np.where(none, at + (1 << k), at), self.size)
+        return at
+
+
+def conduct(stats: pd.DataFrame, answers: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(starts, asked) of one series: the state each block starts in as far as the walk is known, and what to ask next.
+
+    ``stats`` has one row per block in order; ``answers`` what blocks have said so far. Nothing is asked once the walk is whole.
+    """
+    blocks = stats[BLOCK].tolist()
+    place = {b: n for n, b in enumerate(blocks)}
+    flat_at, flat_price = stats["_flat_at"].tolist(), stats["_flat_price"].tolist()
+    prices = {(n, at): p for n, (at, p) in enumerate(zip(flat_at, flat_price)) if at >= 0}
+    said, passed = {}, {}
+    for a in answers.itertuples(index=False):
+        node, to = (place[a._0], a._1), place[a._3]
+        if a._4:
+            said[node] = (to, a._5)
+            if a._5 >= 0:
+                prices[to, a._5] = a._6
+        else:
+            passed[node] = max(passed.get(node, 0), to + 1)
+    open_ = [n for n in prices if n not in said]
+    reach = Search(stats).first(np.array([max(n[0] + 1, passed.get(n, 0)) for n in open_], np.int64), np.array([prices[n] for n in open_], float))
+    to = dict(zip(open_, reach.tolist()))
+
+    starts, at, node = [], 0, None
+    while at < len(blocks):  # the walk from block to block
+        if node is None:
+            starts.append((blocks[at], False, np.nan))
+            node = (at, flat_at[at]) if flat_at[at] >= 0 else None
+            at += 1
+            continue
+        ends, end = said.get(node, (to.get(node), None))
+        stop = min(ends + 1, len(blocks)) if ends < len(blocks) else len(blocks)
+        starts += [(blocks[k], True, prices[node]) for k in range(at, stop)]
+        if ends >= len(blocks):
+            at = len(blocks)
+        elif node in said:
+            at, node = ends + 1, (ends, end) if end >= 0 else None
+        else:
             break
-        end = _end_from_flat(rows, at + 1, known)
-        if low[at + 1] > low[at]:
-            lows.append(low[at]), highs.append(min(low[at + 1], high[at])), ends.append(end)
-        if high[at + 1] < high[at]:
-            lows.append(max(high[at + 1], low[at])), highs.append(high[at]), ends.append(end)
-    forced = bool(rows.forced.any())
-    rest = _end_from_flat(rows, last, known) if forced else FLAT
-    return dict(
-        flat_held=flat is not FLAT, flat_price=flat, lows=lows, highs=highs,
-        held=[e is not FLAT for e in ends], prices=ends,
-        rest_exits=forced, rest_held=rest is not FLAT, rest_price=rest)
-
-
-def step(summary: dict, state):
-    """State after a block, from the state before it."""
-    if state is FLAT:
-        return summary["flat_price"] if summary["flat_held"] else FLAT
-    for low, high, held, price in zip(*(summary[c] for c in ("lows", "highs", "held", "prices"))):
-        if low < state <= high:
-            return price if held else FLAT
-    if summary["rest_exits"]:
-        return summary["rest_price"] if summary["rest_held"] else FLAT
-    return state
+    done = len(starts) == len(blocks) and at >= len(blocks)
+    asked = [] if done else [(blocks[n[0]], n[1], prices[n], blocks[k]) for n, k in to.items() if k < len(blocks)]
+    return (pd.DataFrame(starts, columns=[BLOCK, "_start_held", "_start_price"]), pd.DataFrame(asked, columns=["_from", "_at", "_price", "_to"]))
 
 
 def replay(pdf: pd.DataFrame, state):
@@ -131,18 +194,14 @@ def replay(pdf: pd.DataFrame, state):
         signal[out], state, price[at:out + 1], at = "SELL", FLAT, state, out + 1
 
 
-def _key_schema(df: DataFrame, columns) -> str:
-    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
-
-
 def position_signals(blocks: Blocks, rule: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Add ``signal`` and ``entry_price``.
 
-    ``rule`` adds ``_entry``, ``_forced``, ``_stop`` and ``_target`` to a blocked frame.
+    ``rule`` adds the columns of ``RULE`` to a blocked frame; null numbers never end a position.
     """
     part = blocks.part
     rows = blocks.own(rule(blocks.frame))
-    kept = [c for c in rows.columns if c not in ("_entry", "_forced", "_stop", "_target")]
+    kept = [c for c in rows.columns if c not in RULE]
     schema = T.StructType([*(rows.schema[c] for c in kept),
                            T.StructField("signal", T.StringType()),
                            T.StructField("entry_price", T.DoubleType())])
@@ -163,25 +222,35 @@ def position_signals(blocks: Blocks, rule: Callable[[DataFrame], DataFrame]) ->
 
 def _block_starts(blocks: Blocks, rule) -> DataFrame:
     """Position held at the start of each block of a split series."""
-    part = blocks.part
-    schema = ", ".join(f"`{c}` {blocks.frame.schema[c].dataType.simpleString()}" for c in part)
-
-    def summarize_block(key, pdf):
-        return pd.DataFrame([{**dict(zip(part, key)), **summarize(pdf.sort_values("ts"))}])
-
-    def chain(pdf):
-        pdf, state, states = pdf.sort_values(BLOCK), FLAT, []
-        for summary in pdf.to_dict("records"):
-            states.append(state)
-            state = step(summary, state)
-        out = pdf[part].copy()
-        out["_start_held"] = [s is not FLAT for s in states]
-        out["_start_price"] = np.array([np.nan if s is FLAT else s for s in states], dtype="float64")
-        return out
-
-    return (
-        blocks.own(rule(blocks.frame.filter(SPLIT)))
-        .select(*part, "ts", "close", "_entry", "_forced", "_stop", "_target")
-        .groupBy(*part).applyInPandas(summarize_block, f"{schema}, {_SUMMARY}")
-        .groupBy(*blocks.keys, SPLIT).applyInPandas(chain, f"{schema}, {_STATE}")
-    )
+    part, series = blocks.part, [*blocks.keys, SPLIT]
+    types = lambda columns: ", ".join(f"`{c}` {blocks.frame.schema[c].dataType.simpleString()}" for c in columns)
+    spark = blocks.frame.sparkSession
+    walk = materialize(blocks.own(rule(blocks.frame.filter(SPLIT))).select(*part, "ts", "close", *RULE), "walk")
+
+    def describe_block(key, pdf):
+        return pd.DataFrame([{**dict(zip(part, key)), **describe(pdf.sort_values("ts"))}])
+
+    def conduct_series(key, stats, answers):
+        starts, asked = conduct(stats.sort_values(BLOCK, ignore_index=True), answers[["_from", "_at", "_price", "_to", "_exits", "_end_at", "_end_price"]])
+        out = pd.concat([frame for frame in (starts, asked) if len(frame)], ignore_index=True) if len(starts) or len(asked) else starts
+        out = out.reindex(columns=[BLOCK, "_start_held", "_start_price", "_from", "_at", "_price", "_to"])
+        for c, v in zip(series, key):
+            out[c] = v
+        return out.astype({BLOCK: "Int64", "_from": "Int64", "_at": "Int64", "_to": "Int64", "_start_held": "boolean"})
+
+    def answer_block(pdf, asked):
+        if not len(asked):
+            return asked.assign(_exits=False, _end_at=-1, _end_price=np.nan)[[*series, *answer_columns]]
+        return answer(pdf.sort_values("ts", ignore_index=True), asked)[[*series, *answer_columns]]
+
+    answer_columns = [f.split()[0] for f in _ANSWER.split(", ")]
+    stats = materialize(walk.groupBy(*part).applyInPandas(describe_block, f"{types(part)}, {_STATS}"), "stats")
+    answers = spark.createDataFrame([], f"{types(series)}, {_ANSWER}")
+    while True:
+        told = materialize(stats.groupBy(*series).cogroup(answers.groupBy(*series)).applyInPandas(
+            conduct_series, f"{types([BLOCK])}, {_STATE}, {_ASK}, {types(series)}"), "told")
+        asked = told.filter("_to is not null").select(*series, F.col("_to").alias(BLOCK), "_from", "_at", "_price", "_to")
+        if asked.isEmpty():
+            return told.filter("_start_held is not null").select(*part, "_start_held", "_start_price")
+        answers = answers.unionByName(materialize(walk.join(asked.select(*part).distinct(), part, "left_semi").groupBy(*part)
+                                                  .cogroup(asked.groupBy(*part)).applyInPandas(answer_block, f"{types(series)}, {_ANSWER}"), "answers"))
