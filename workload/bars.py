@@ -251,10 +251,10 @@ def a1_complete(spark, sf):
     return show(rs.resample_ohlcv(fx.event_bars(spark, sf), 2, complete_only=True))
 
 
-def strategy_candles_sql(as_of: str) -> str:
+def strategy_candles_sql(as_of: str | None = None) -> str:
+    cut = f"AND b.ts <= TIMESTAMP '{as_of}' AND b.ts >= TIMESTAMP '{as_of}' - to_days(s.lookback_days)" if as_of else ""
     return f"""joined AS (SELECT s.id AS strategy_id, s.name, s.time_frame, b.* FROM bars b JOIN active_s s
-        ON b.symbol = s.symbol WHERE (s.extended_hours = 1 OR {RTH.replace('ts)', 'b.ts)')})
-        AND b.ts <= TIMESTAMP '{as_of}' AND b.ts >= TIMESTAMP '{as_of}' - to_days(s.lookback_days)),
+        ON b.symbol = s.symbol WHERE (s.extended_hours = 1 OR {RTH.replace('ts)', 'b.ts)')}) {cut}),
       counted AS (SELECT *, min(ts) OVER (PARTITION BY strategy_id) AS f,
         count(*) OVER (PARTITION BY strategy_id) AS n FROM joined),
       candles AS MATERIALIZED (SELECT strategy_id, name, symbol, time_frame,
@@ -427,11 +427,12 @@ def w7b(spark, sf):
     return show(ind.daily_percent_change(fx.event_bars(spark, sf), causal=True), "symbol", "ts", "daily_pct")
 
 
-HOT_SQL = f"""hot AS MATERIALIZED (SELECT *, coalesce(daily_pct > 5 AND lag(daily_pct, 1) {W} > 5
-    AND lag(daily_pct, 2) {W} > 5, false) AS hot FROM dbars)"""
+def hot_sql(level: float = 5) -> str:
+    return f"""hot AS MATERIALIZED (SELECT *, coalesce(daily_pct > {level} AND lag(daily_pct, 1) {W} > {level}
+    AND lag(daily_pct, 2) {W} > {level}, false) AS hot FROM dbars)"""
 
 
-@query("w8_hot_mask", f"WITH {EVENT_SQL}, {pct_sql()}, {HOT_SQL} SELECT symbol, ts, hot FROM hot")
+@query("w8_hot_mask", f"WITH {EVENT_SQL}, {pct_sql()}, {hot_sql()} SELECT symbol, ts, hot FROM hot")
 def w8(spark, sf):
     return show(ind.hot_mask(fx.event_bars(spark, sf)), "symbol", "ts", "hot")
 

@@ -13,7 +13,7 @@ from tickloom.operators import resample as rs
 from tickloom.operators import strategies as st
 from workload import fixtures as fx
 from workload.bars import (
-    AS_OF, ET_TS, HOT_SQL, RSI, SECONDS, W, atr_sql, candles_sql, pct_sql, rsi_sql, sma_sql,
+    ET_TS, RSI, SECONDS, W, atr_sql, candles_sql, hot_sql, pct_sql, rsi_sql, sma_sql,
     strategy_candles_sql,
 )
 from workload.fixtures import EVENT_SQL, SHIP_SQL, STRATEGIES_SQL, WALK_SQL, show
@@ -54,11 +54,13 @@ def g1_daily(spark, sf):
     return show(signals, "symbol", "ts", "close", "signal", "quantity", fine=("close", "quantity"))
 
 
-REVERSAL = f"""{WALK_SQL}, {atr_sql('bars')}, {rsi_sql('tr')},
-  m AS (SELECT *, CASE WHEN t >= 14 THEN 100 * gain / nullif(gain + loss, 0) END AS rsi,
-    {sma_sql(200, 's200')}, {sma_sql(400, 's400')} FROM rsi_g),
-  masks AS MATERIALIZED (SELECT symbol, ts, close, t, coalesce(rsi < 40 AND low > s200, false) AS e,
-    coalesce(rsi > 55, false) OR coalesce(low <= s400, false) AS x FROM m),
+def reversal_sql(short: int = 200, long: int = 400, n: int = 14, low: float = 40, high: float = 55) -> str:
+    """Tables over ``bars`` up to ``acted`` (symbol, ts, close, signal, quantity)."""
+    return f"""{atr_sql('bars')}, {rsi_sql('tr', period=n)},
+  m AS (SELECT *, CASE WHEN t >= {n} THEN 100 * gain / nullif(gain + loss, 0) END AS rsi,
+    {sma_sql(short, 's1')}, {sma_sql(long, 's2')} FROM rsi_g),
+  masks AS MATERIALIZED (SELECT symbol, ts, close, t, coalesce(rsi < {low} AND low > s1, false) AS e,
+    coalesce(rsi > {high}, false) OR coalesce(low <= s2, false) AS x FROM m),
   walk(symbol, t, pos, signal) AS (
     SELECT symbol, t, e::INT, CASE WHEN e THEN 'BUY' END FROM masks WHERE t = 0
     UNION ALL SELECT m.symbol, m.t,
@@ -69,6 +71,9 @@ REVERSAL = f"""{WALK_SQL}, {atr_sql('bars')}, {rsi_sql('tr')},
     CASE WHEN signal IS NULL THEN 0.0 ELSE 1.0 END AS quantity FROM walk JOIN masks USING (symbol, t))"""
 
 
+REVERSAL = f"{WALK_SQL}, {reversal_sql()}"
+
+
 @query("g2_sma_rsi_reversal", f"""WITH RECURSIVE {REVERSAL} SELECT symbol, ts, round(close, 4) AS close,
     signal, round(quantity, 4)::DOUBLE AS quantity FROM acted WHERE signal IS NOT NULL""")
 def g2(spark, sf):
@@ -89,7 +94,8 @@ def holding_sql(rows: str, stop: str, extra: str = "") -> str:
 
 
 # Daily candles of the driver's tables are stamped 16:00 UTC, inside the same market-local day.
-SWING = f"""{SHIP_SQL}, {pct_sql()}, {HOT_SQL}, {atr_sql('hot', extra='')},
+def swing_sql(threshold: float = 5, period: int = 14) -> str:
+    return f"""{pct_sql()}, {hot_sql(threshold)}, {atr_sql('hot', period)},
   lagged AS (SELECT *, pc - 2.5 * lag(ATR) {W} AS s, lag(ATR) {W} AS pa FROM atr),
   rules AS MATERIALIZED (SELECT symbol, ts, t, close, hot AND coalesce(low > s, false) AS e,
     coalesce(low < s, false) OR coalesce(daily_pct < -10, false) AS out, pa FROM lagged),
@@ -98,6 +104,9 @@ SWING = f"""{SHIP_SQL}, {pct_sql()}, {HOT_SQL}, {atr_sql('hot', extra='')},
     CASE WHEN signal IS NULL THEN 0.0 ELSE 1.0 END AS quantity FROM walk JOIN rules USING (symbol, t))"""
 
 
+SWING = f"{SHIP_SQL}, {swing_sql()}"
+
+
 @query("g3_runners_swing", f"""WITH RECURSIVE {SWING} SELECT symbol, ts, round(close, 8) AS close, signal,
     round(quantity, 4)::DOUBLE AS quantity FROM acted WHERE signal IS NOT NULL""")
 def g3(spark, sf):
@@ -105,22 +114,30 @@ def g3(spark, sf):
     return show(signals, "symbol", "ts", "close", "signal", "quantity", fine=("close",))
 
 
-BRACKET = f"""{WALK_SQL}, {atr_sql('bars')}, {rsi_sql('atr')},
+def bracket_sql(opens: int = 34200, closes: int = 43200, jump: float = 5, target: float = 5) -> str:
+    return f"""{atr_sql('bars')}, {rsi_sql('atr')},
   r AS (SELECT *, CASE WHEN total >= 41 THEN {RSI} END AS rsi FROM rsi_g),
   rp AS (SELECT *, lag(rsi) {W} AS rsi_prev FROM r),
-  rules AS MATERIALIZED (SELECT symbol, ts, t, open, high, low, close, ATR,
-    coalesce({SECONDS} >= 34200 AND {SECONDS} < 43200 AND close > pc AND volume > 3000 / close * 100
-      AND rsi - rsi_prev > 5, false) AS e, {SECONDS} >= 57600 AS four FROM rp),
-  {holding_sql('rules', 'm.four OR m.low < w.entry - 0.9 * m.ATR OR m.high >= w.entry + 5 * m.ATR')}"""
+  rules AS MATERIALIZED (SELECT *, in_buy_window AND is_bullish AND meets_volume_req AND meets_rsi_req AS e FROM (
+    SELECT symbol, ts, t, open, high, low, close, ATR, {SECONDS} >= {opens} AND {SECONDS} < {closes} AS in_buy_window,
+      coalesce(close > pc, false) AS is_bullish, coalesce(volume > 3000 / close * 100, false) AS meets_volume_req,
+      coalesce(rsi - rsi_prev > {jump}, false) AS meets_rsi_req, {SECONDS} >= 57600 AS four FROM rp)),
+  {holding_sql('rules', f'm.four OR m.low < w.entry - 0.9 * m.ATR OR m.high >= w.entry + {target} * m.ATR')},
+  acted AS MATERIALIZED (SELECT symbol, ts, close, signal,
+    CASE WHEN signal IS NULL THEN 0.0 ELSE 1.0 END AS quantity FROM walk JOIN rules USING (symbol, t))"""
+
+
+BRACKET = f"{WALK_SQL}, {bracket_sql()}"
+FLAGS = ["in_buy_window", "is_bullish", "meets_volume_req", "meets_rsi_req"]
 
 
 @query("g4_opening_bracket", f"""WITH RECURSIVE {BRACKET} SELECT symbol, ts, round(close, 4) AS close, signal,
     round(held, 4) AS "EntryPrice", round(held + 5 * ATR, 4) AS "HighATR", round(held - 0.9 * ATR, 4) AS "LowATR",
-    four AS is_4pm_or_later FROM walk JOIN rules USING (symbol, t) WHERE held IS NOT NULL""")
+    four AS is_4pm_or_later, {', '.join(FLAGS)}, CASE WHEN signal IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS quantity
+    FROM walk JOIN rules USING (symbol, t)""")
 def g4(spark, sf):
     out = st.opening_bracket(fx.stored(fx.walk_bars(spark, sf)), window=("09:30", "12:00"), rsi_jump=5)
-    return show(out.filter(F.col("EntryPrice").isNotNull()), "symbol", "ts", "close", "signal",
-                "EntryPrice", "HighATR", "LowATR", "is_4pm_or_later")
+    return show(out, "symbol", "ts", "close", "signal", "EntryPrice", "HighATR", "LowATR", "is_4pm_or_later", *FLAGS, "quantity")
 
 
 def pandas_cross(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -143,9 +160,14 @@ def g5(spark, sf):
     return show(st.custom_strategy(candles, pandas_cross, schema))
 
 
-# Two names stay unregistered, so their candles give no rows.
+# The live loop's registry; two names stay unregistered there, so their candles give no rows.
+CROSSES = {"sma_cross": partial(st.sma_cross, length=20),
+           "runners_swing": partial(st.sma_cross, length=5, position_size=1000)}
+# The four strategies, with periods that suit candles of the driver's tables.
 RULES = {"sma_cross": partial(st.sma_cross, length=20),
-         "runners_swing": partial(st.sma_cross, length=5, position_size=1000)}
+         "sma_rsi_reversal": partial(st.sma_rsi_reversal, short=30, long=60, rsi_len=5, entry_rsi=50, exit_rsi=60),
+         "runners_swing": partial(st.runners_swing, threshold=1, atr_len=5),
+         "opening_bracket": partial(st.opening_bracket, pt=1.5, window=("09:30", "15:00"), rsi_jump=2, notional=3000)}
 
 
 def named_cross(name, length, size, out, by="strategy_id"):
@@ -153,14 +175,23 @@ def named_cross(name, length, size, out, by="strategy_id"):
             + cross_sql(f"{out}_in", length, size, by, out))
 
 
-FAN_OUT = f"""{EVENT_SQL}, {STRATEGIES_SQL}, {strategy_candles_sql(AS_OF)},
-  {named_cross('sma_cross', 20, 150, 'first_rule')}, {named_cross('runners_swing', 5, 1000, 'second_rule')},
-  signals AS MATERIALIZED (SELECT strategy_id, symbol, ts, close, signal, quantity FROM first_rule
-    UNION ALL SELECT strategy_id, symbol, ts, close, signal, quantity FROM second_rule)"""
+def ruled(name: str, tables: str) -> str:
+    """Rows of the strategies called ``name``, each strategy being a symbol of ``tables``."""
+    return f"""{name} AS MATERIALIZED (WITH RECURSIVE bars AS MATERIALIZED (
+        SELECT CAST(strategy_id AS VARCHAR) AS symbol, ts, open, high, low, close, volume FROM candles WHERE name = '{name}'),
+      {tables} SELECT CAST(symbol AS BIGINT) AS strategy_id, ts, close, signal, quantity FROM acted)"""
+
+
+FAN_OUT = f"""{EVENT_SQL}, {STRATEGIES_SQL}, {strategy_candles_sql()},
+  {named_cross('sma_cross', 20, 150, 'first_rule')}, {ruled('sma_rsi_reversal', reversal_sql(30, 60, 5, 50, 60))},
+  {ruled('runners_swing', swing_sql(1, 5))}, {ruled('opening_bracket', bracket_sql(34200, 54000, 2, 1.5))},
+  signals AS MATERIALIZED (SELECT r.strategy_id, a.symbol, ts, close, signal, quantity FROM (
+    SELECT strategy_id, ts, close, signal, quantity FROM first_rule UNION ALL SELECT * FROM sma_rsi_reversal
+    UNION ALL SELECT * FROM runners_swing UNION ALL SELECT * FROM opening_bracket) r JOIN active_s a ON a.id = r.strategy_id)"""
 
 
 def strategy_signals(spark, sf):
-    candles = rs.resample_for_strategies(fx.event_bars(spark, sf), fx.strategies(spark, sf), as_of=AS_OF)
+    candles = rs.resample_for_strategies(fx.event_bars(spark, sf), fx.strategies(spark, sf))
     return st.run_strategies(candles, RULES)
 
 
@@ -173,7 +204,7 @@ def g6(spark, sf):
 @query("g6_unknown_strategies", f"""WITH {STRATEGIES_SQL} SELECT id, name FROM strategies
     WHERE active = 1 AND name NOT IN ('sma_cross', 'runners_swing')""")
 def g6_unknown(spark, sf):
-    return st.unknown_strategies(fx.strategies(spark, sf), RULES).select("id", "name")
+    return st.unknown_strategies(fx.strategies(spark, sf), CROSSES).select("id", "name")
 
 
 @query("f8_validate_signals", f"""WITH {HOURLY} SELECT symbol, count(*) AS rows,

@@ -12,7 +12,7 @@ from workload.bars import OHLCV, RTH, grid_sql
 from workload.fixtures import EVENT_SQL, STRATEGIES_SQL, et, show
 from workload.orders import round_price_sql
 from workload.registry import query
-from workload.signals import RULES, named_cross
+from workload.signals import CROSSES, named_cross
 
 
 def run_to_table(stream, name: str):
@@ -122,7 +122,7 @@ def t3(spark, sf):
     """All bars in one micro-batch."""
     store, out, checkpoint = (scratch_path(spark, n) for n in ("live-store", "live-out", "live-checkpoint"))
     bars = bar_stream(spark, fx.event_bars(spark, sf), "live-in")
-    live.stream_signals(bars, fx.strategies(spark, sf), store, out, checkpoint, registry=RULES,
+    live.stream_signals(bars, fx.strategies(spark, sf), store, out, checkpoint, registry=CROSSES,
                         trigger={"availableNow": True}).awaitTermination()
     return show(live.fired_orders(spark, out), *ORDERS)
 
@@ -135,7 +135,7 @@ def t3_backlog(spark, sf):
     borders = ["1970-01-01", "2024-01-11", "2024-01-21", "2999-01-01"]
     for number, (since, until) in enumerate(zip(borders, borders[1:])):
         part = bars.filter((F.col("ts") >= F.lit(since).cast("timestamp")) & (F.col("ts") < F.lit(until).cast("timestamp")))
-        live.process_batch(part, number, chosen, store, out, RULES)
+        live.process_batch(part, number, chosen, store, out, CROSSES)
     return show(live.fired_orders(spark, out), *ORDERS)
 
 
