@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from conftest import SMALL, by_series, random_bars, to_spark
+from pyspark.sql import functions as F
 
 from tickloom.operators import backtest as bt
 from tickloom.operators import indicators as ind
@@ -277,6 +278,26 @@ def test_custom_strategy_in_blocks(bars):
         st.custom_strategy(bars, rolling_cross, schema, size=SMALL)
 
 
+def test_folded_strategy_is_the_same_at_any_block_size(spark, bars):
+    def count_up(block, state):
+        """Running maximum and row number, which depend on the whole past."""
+        state["seen"] += len(block)
+        top = block["close"].cummax().clip(lower=state["top"])
+        state["top"] = top.iloc[-1]
+        return block[["symbol", "ts"]].assign(top=top, n=range(state["seen"] - len(block), state["seen"])), state
+
+    schema = "symbol string, ts timestamp, top double, n long"
+    nameless = bars.withColumn("symbol", F.when(F.col("symbol") != "MID", F.col("symbol")))  # a null key is a series
+    for rows in (10**6, 100, 7, 1):
+        got = st.custom_strategy(nameless, count_up, schema, state={"seen": 0, "top": -np.inf}, size=BlockSize(rows=rows)).toPandas()
+        got = got.sort_values("ts")
+        for symbol, g in bars.toPandas().groupby("symbol"):
+            ours = got[got["symbol"].isna() if symbol == "MID" else got["symbol"] == symbol]
+            g = g.sort_values("ts")
+            assert ours["n"].tolist() == list(range(len(g)))
+            np.testing.assert_array_equal(ours["top"], g["close"].cummax())
+
+
 def with_gap():
     """Close, high and low missing for a stretch far longer than any look-back here."""
     pdf = random_bars({"HOT": 2600, "B": 50}, seed=6)

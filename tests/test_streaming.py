@@ -126,17 +126,29 @@ def test_late_bars_change_candles_but_not_fired_signals(spark, tmp_path):
 def test_latch_over_batches(spark, tmp_path):
     frames, whole = parts(spark, 4)
     reg = registry(spark)
-    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    state, out, checkpoint = (str(tmp_path / n) for n in ("state", "out", "checkpoint"))
 
     def run(stream):
-        kept = live.stream_alignment_latch(stream, reg)
-        (kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start().awaitTermination())
+        live.stream_alignment_latch(stream, reg, state, out, checkpoint, {"availableNow": True}).awaitTermination()
 
     feed(spark, tmp_path, frames, run)
     batch = live.alignment_latch(whole, reg, "2000-01-01 00:00:00")
     columns = ("strategy_id", "symbol", "ts", "close")
-    assert rows(spark.read.parquet(out), *columns) == rows(batch, *columns)
+    assert rows(live.latched_bars(spark, out), *columns) == rows(batch, *columns)
+    live.latch_batch(frames[3], 3, reg, state, out)  # a repeated batch replaces its own rows
+    assert rows(live.latched_bars(spark, out), *columns) == rows(batch, *columns)
+
+
+def test_latch_state_is_one_row_per_setting(spark, tmp_path):
+    frames, _ = parts(spark, 4)
+    reg = registry(spark)
+    state, out = str(tmp_path / "state"), str(tmp_path / "out")
+    for number, frame in enumerate(frames):
+        live.latch_batch(frame.repartition(3), number, reg, state, out)
+    assert spark.read.parquet(state).groupBy("symbol", "time_frame").count().filter("count > 1").count() == 0
+    empty = frames[0].limit(0)
+    live.latch_batch(empty, 9, reg, state, out)
+    assert spark.read.parquet(f"{out}/batch=9").count() == 0
 
 
 def test_latch_keeps_history_and_drops_unaligned_live_bars(spark):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,17 +109,24 @@ def opening_bracket(df: DataFrame, pt: float = 5, stop: float = 0.9, window=("09
     return with_quantity(out, f"{float(shares)!r}D")
 
 
-def custom_strategy(df: DataFrame, fn: Callable, schema, look_back: int | None = None,
-                    size: BlockSize = DEFAULT) -> DataFrame:
-    """Run a user's pandas function per series, rows in time order; its output keeps ``ts``.
+WHOLE = object()
+
 
-    A function whose value at a row depends on at most ``look_back`` earlier rows runs per block,
-    so any series length works. Without ``look_back`` it sees whole series, and series longer than
-    ``size.rows`` are refused.
+def custom_strategy(df: DataFrame, fn: Callable, schema, look_back: int | None = None,
+                    size: BlockSize = DEFAULT, state=WHOLE) -> DataFrame:
+    """Run a user's pandas function on each series, rows in time order; its output keeps ``ts``.
+
+    With ``state``, ``fn(block, state) -> (rows, state)`` is folded over the blocks of a series, ``size.rows`` rows
+    at most, the first with a copy of ``state``. The same function serves series of any length, since no more
+    than a block is held; blocks of one series follow each other in one task, as what they carry demands. With
+    ``look_back``, ``fn(rows)`` whose value at a row depends on at most so many earlier rows runs on all blocks
+    at once. With neither it sees whole series, and series longer than ``size.rows`` are refused.
     """
+    if state is not WHOLE:
+        return _folded(df, fn, schema, size, state)
     blocks = split_blocks(df, look_back or 0, size)
     if blocks.split and look_back is None:
-        raise ValueError(f"a series has more than {size.rows} rows: give look_back or a larger size")
+        raise ValueError(f"a series has more than {size.rows} rows: give state, look_back or a larger size")
 
     def call(pdf):
         pdf = pdf.sort_values("ts", ignore_index=True)
@@ -130,6 +139,38 @@ def custom_strategy(df: DataFrame, fn: Callable, schema, look_back: int | None =
     return blocks.frame.groupBy(*blocks.part).applyInPandas(call, schema)
 
 
+def _folded(df: DataFrame, fn: Callable, schema, size: BlockSize, start) -> DataFrame:
+    keys, rows = series_keys(df), size.rows
+
+    def run(batches):
+        held, count, now, state = [], 0, None, None
+
+        def out():
+            nonlocal held, count, state
+            result, state = fn(pd.concat(held, ignore_index=True), state)
+            held, count = [], 0
+            return result
+
+        for pdf in batches:
+            marks = [tuple(None if pd.isna(v) else v for v in row) for row in pdf[keys].itertuples(index=False)]
+            edges = [n for n in range(len(marks)) if n == 0 or marks[n] != marks[n - 1]] + [len(marks)]
+            for begin, end in zip(edges, edges[1:]):
+                if marks[begin] != now:
+                    if held:
+                        yield out()
+                    now, state = marks[begin], copy.deepcopy(start)
+                while begin < end:
+                    part = pdf.iloc[begin:min(end, begin + rows - count)]
+                    held.append(part)
+                    count, begin = count + len(part), begin + len(part)
+                    if count == rows:
+                        yield out()
+        if held:
+            yield out()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, "ts").mapInPandas(run, schema)
+
+
 STRATEGIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "sma_cross": sma_cross,
     "sma_rsi_reversal": sma_rsi_reversal,

@@ -5,11 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tickloom.functions.clock import instant, local_date, local_minute
 from tickloom.operators.orders import MINUTE, order_intents
@@ -43,32 +41,54 @@ def alignment_latch(bars: DataFrame, strategies: DataFrame, start_ts) -> DataFra
     )
 
 
-_LATCH_STATE = T.StructType([T.StructField("open", T.BooleanType())])
+LATCHED = T.StructType([
+    T.StructField("strategy_id", T.LongType()), T.StructField("symbol", T.StringType()), T.StructField("time_frame", T.IntegerType()),
+    T.StructField("ts", T.TimestampType()), *(T.StructField(c, T.DoubleType()) for c in (*PRICE_COLUMNS, "volume"))])
+_LATCHES = "symbol string, time_frame int, latch timestamp"
 
 
-def stream_alignment_latch(bars: DataFrame, strategies: DataFrame) -> DataFrame:
-    """``alignment_latch`` on a stream of live bars, with one flag of state per strategy.
+def latched_bars(spark, out: str) -> DataFrame:
+    """The bars that ``latch_batch`` has let through so far."""
+    return spark.read.schema(LATCHED).parquet(out)
 
-    Bars of a strategy whose latch is already open need no order, so only the flag is kept.
+
+def latch_batch(batch: DataFrame, batch_id: int, strategies: DataFrame, state: str, out: str) -> None:
+    """One micro-batch of ``alignment_latch`` on live bars: those from their setting's latch on go to ``out``.
+
+    The latch of a setting, a symbol and time frame, is the least aligned time of the first batch that holds one. ``state`` keeps it
+    as one row, written by that batch, so the bars themselves are neither grouped nor ordered: the minimum is combined
+    before its shuffle, and bars meet latches and then names in joins on a few rows. Batches without a new latch
+    write no state. A repeated batch replaces what it wrote.
     """
-    rows = _with_strategies(bars, strategies).withColumn("_aligned", _aligned())
-    columns = ["strategy_id", "symbol", "time_frame", *BAR_COLUMNS[1:]]
-    schema = T.StructType([rows.schema[c] for c in columns])
-
-    def keep(key, batches, state):
-        is_open = state.exists and state.get[0]
-        if is_open:
-            for pdf in batches:
-                yield pdf[columns]
-            return
-        waiting = pd.concat(list(batches))
-        hits = waiting.loc[waiting["_aligned"].astype(bool), "ts"]
-        if len(hits):
-            state.update((True,))
-            yield waiting.loc[waiting["ts"] >= hits.min(), columns]
-
-    return rows.groupBy("strategy_id").applyInPandasWithState(
-        keep, schema, _LATCH_STATE, "append", GroupStateTimeout.NoTimeout)
+    spark = batch.sparkSession
+    terms = active_strategies(strategies).select(F.col("id").alias("strategy_id"), "symbol", F.col("time_frame").cast("int").alias("time_frame"))
+    bars, settings = batch.select(*BAR_COLUMNS), terms.select("symbol", "time_frame").distinct()
+    known = _latches(spark, state, batch_id)
+    waiting = settings.join(known, ["symbol", "time_frame"], "left_anti")
+    fresh = materialize(bars.join(waiting, "symbol").filter(_aligned()).groupBy("symbol", "time_frame").agg(F.min("ts").alias("latch")), "latches")
+    if not fresh.isEmpty():
+        fresh.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+    latches = known.unionByName(fresh)
+    kept = bars.join(latches, "symbol").filter(F.col("ts") >= F.col("latch")).join(terms, ["symbol", "time_frame"])
+    kept.select(*[F.col(f.name).cast(f.dataType) for f in LATCHED]).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+
+def _latches(spark, state: str, batch_id: int) -> DataFrame:
+    """The latches that batches before ``batch_id`` have opened."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/batch=*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    names = [f.getPath().getName() for f in found]
+    paths = [f"{state}/{n}" for n in names if int(n.removeprefix("batch=")) < batch_id]
+    return spark.read.schema(_LATCHES).parquet(*paths) if paths else spark.createDataFrame([], _LATCHES)
+
+
+def stream_alignment_latch(bars: DataFrame, strategies: DataFrame, state: str, out: str, checkpoint: str, trigger=None):
+    """Start ``latch_batch`` on a stream of live bars; returns the running query."""
+    def each(batch, batch_id):
+        latch_batch(batch, batch_id, strategies, state, out)
+
+    return (bars.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"processingTime": "1 minute"})).start())
 
 
 def stream_resample(bars: DataFrame, minutes: int, watermark: str = "10 minutes") -> DataFrame:

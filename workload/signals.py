@@ -11,6 +11,7 @@ from tickloom.operators import backtest as bt
 from tickloom.operators import quality as q
 from tickloom.operators import resample as rs
 from tickloom.operators import strategies as st
+from tickloom.plans.blocks import BlockSize
 from workload import fixtures as fx
 from workload.bars import (
     ET_TS, RSI, SECONDS, W, atr_sql, candles_sql, hot_sql, pct_sql, rsi_sql, sma_sql,
@@ -160,6 +161,20 @@ def g5(spark, sf):
     return show(st.custom_strategy(candles, pandas_cross, schema))
 
 
+def folded_cross(block: pd.DataFrame, last: pd.DataFrame | None):
+    """``pandas_cross`` on one block after the other; the last 20 rows are carried."""
+    rows = pd.concat([last, block], ignore_index=True) if last is not None else block
+    return pandas_cross(rows).iloc[len(rows) - len(block):], rows.tail(20)
+
+
+@query("g5_custom_strategy_fold", f"""WITH {HOURLY} SELECT symbol, ts, round(close, 4) AS close, signal,
+    round(quantity, 4) AS quantity FROM crossed""")
+def g5_fold(spark, sf):
+    candles = rs.resample_ohlcv(fx.event_bars(spark, sf), 60)
+    schema = "symbol string, ts timestamp, close double, signal string, quantity double"
+    return show(st.custom_strategy(candles, folded_cross, schema, state=None, size=BlockSize(rows=50)))
+
+
 # The live loop's registry; two names stay unregistered there, so their candles give no rows.
 CROSSES = {"sma_cross": partial(st.sma_cross, length=20),
            "runners_swing": partial(st.sma_cross, length=5, position_size=1000)}

@@ -81,8 +81,24 @@ def t1(spark, sf):
     WHERE ts >= latch""")
 def t1_stream(spark, sf):
     later = fx.event_bars(spark, sf).filter(F.col("ts") >= F.lit(START).cast("timestamp"))
-    kept = live.stream_alignment_latch(bar_stream(spark, later, "latch-in"), fx.strategies(spark, sf))
-    return show(run_to_table(kept, "latch"), "strategy_id", "symbol", "time_frame", "ts", "close")
+    state, out, checkpoint = (scratch_path(spark, n) for n in ("latch-state", "latch-out", "latch-checkpoint"))
+    live.stream_alignment_latch(bar_stream(spark, later, "latch-in"), fx.strategies(spark, sf), state, out, checkpoint,
+                                {"availableNow": True}).awaitTermination()
+    return show(live.latched_bars(spark, out), "strategy_id", "symbol", "time_frame", "ts", "close")
+
+
+@query("t1_stream_latch_batches", f"""WITH {EVENT_SQL}, {STRATEGIES_SQL}, {LATCH_SQL}
+    SELECT strategy_id, symbol, time_frame, ts, round(close, 4) AS close FROM joined JOIN latch USING (strategy_id)
+    WHERE ts >= latch""")
+def t1_batches(spark, sf):
+    """The same bars in ten micro-batches, the first an hour long."""
+    bars, chosen = materialize(fx.event_bars(spark, sf), "latch-batches-in"), fx.strategies(spark, sf)
+    state, out = (scratch_path(spark, n) for n in ("latch-batches-state", "latch-batches-out"))
+    borders = [START, "2024-01-15 11:07:00", *(f"2024-01-{d} 10:07:00" for d in range(16, 24)), "2999-01-01"]
+    for number, (since, until) in enumerate(zip(borders, borders[1:])):
+        part = bars.filter((F.col("ts") >= F.lit(since).cast("timestamp")) & (F.col("ts") < F.lit(until).cast("timestamp")))
+        live.latch_batch(part, number, chosen, state, out)
+    return show(live.latched_bars(spark, out), "strategy_id", "symbol", "time_frame", "ts", "close")
 
 
 TEN = "make_timestamp(epoch_us(ts) // 600000000 * 600000000)"
