@@ -255,3 +255,11 @@ def test_secret_scan(session):
     row = secrets.scan_secrets(docs).select("doc_id", secrets.joined("spans").alias("s")).filter("doc_id = 10").collect()[0]
     assert row.s == f"jwt:5:{5 + len(JWT)}"
     assert secrets.scan_secrets(docs.limit(0)).count() == 0
+
+
+def test_phrases_that_share_a_fingerprint_over_chunks_are_told_apart(session, monkeypatch, tmp_path):
+    """``_frequent`` keeps every pointer where second hashes differ, and one with the total where they agree."""
+    rows = [(8 * 5 + 1, 7, 20, 0, 3), (8 * 5 + 1, 7, 15, 1, 4), (8 * 6 + 1, 7, 20, 0, 9), (8 * 6 + 1, 8, 15, 1, 2), (8 * 7 + 1, 7, 29, 0, 1), (8 * 8 + 2, 1, 30, 0, 5), (8 * 8 + 2, 1, 1, 2, 6)]
+    out = phrases._frequent(session.createDataFrame(rows, phrases.COUNTS), 30, "frequent")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(
+        [(41, 0, 3, 35), (49, 0, 9, 20), (49, 1, 2, 15), (66, 0, 5, 31), (66, 2, 6, None)], key=str)

@@ -3,13 +3,15 @@
 Texts are cut into chunks of one language, stored as word numbers plus the chunk's own dictionary. In a chunk a
 prefix polynomial over the words' hashes, modulo 2^64, gives the fingerprint of every n-gram by one subtraction and one
 product. N-grams of a chunk with equal fingerprints are compared word by word, so a chunk's counts are those
-of real phrases; each count travels as (fingerprint, count, pointer to one occurrence). A window over the
-fingerprint adds them up, and only rows whose fingerprint reaches the least frequency stay.
+of real phrases; each count travels as (fingerprint, second hash, count, pointer to one occurrence). A window over the
+fingerprint adds them up, and only rows whose fingerprint reaches the least frequency stay. Where all second hashes of a
+fingerprint agree its first pointer stands for them; where they differ every pointer stays, with its own count.
 
 What stayed of a chunk's words and pairs is handed back to that chunk, so no list of frequent phrases is ever held
-whole: there the pointers are resolved, and longer phrases counted where all word pairs inside are frequent. Those
+whole: there the pointers are resolved to text, and longer phrases counted where all word pairs inside are frequent. Those
 that stay in their turn are resolved the same way. Counts are added by the phrase's text, which parts
-phrases that shared a fingerprint, and exact frequencies decide.
+phrases that shared a fingerprint, and exact frequencies decide. Two phrases are taken for one only if 61 bits of
+the fingerprint and 32 of an independent hash agree in different chunks.
 """
 
 from __future__ import annotations
@@ -97,6 +99,8 @@ class Chunk:
         seed = xxhash.xxh64_intdigest(lang.encode()) & 0xFFFFFFFF
         digest = xxhash.xxh64_intdigest
         hashes = np.fromiter((digest(w, seed) for w in words), np.uint64, len(words))
+        other = xxhash.xxh3_64_intdigest
+        self.second = np.fromiter((other(w, seed) for w in words), np.uint64, len(words))
         self.there = self.ids >= 0
         value = np.where(self.there, hashes[np.maximum(self.ids, 0)] if len(words) else np.uint64(0), np.uint64(0))
         powers = np.full(size + 1, BASE, np.uint64)
@@ -121,6 +125,14 @@ class Chunk:
         h ^= h >> np.uint64(29)
         return ((h & ~np.uint64(7)) | np.uint64(length)).view(np.int64)
 
+    def checks(self, at: np.ndarray, length: int) -> np.ndarray:
+        """A second hash of the same words, independent of the fingerprint."""
+        h = np.zeros(len(at), np.uint64)
+        for k in range(length):
+            h = (h ^ self.second[self.ids[at + k]]) * np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(32)
+        return h.astype(np.uint32).view(np.int32)
+
     def counted(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(fingerprint, count, first place) per phrase among the places ``at``.
 
@@ -152,58 +164,70 @@ def _opened(row) -> Chunk:
     return Chunk(row["lang"], zstandard.decompress(bytes(row["words"])).split(BREAK), np.frombuffer(zstandard.decompress(bytes(row["ids"])), np.int32))
 
 
+def _counts(chunk: Chunk, number: int, at: np.ndarray, length: int) -> pd.DataFrame:
+    fp, n, place = chunk.counted(at, length)
+    return pd.DataFrame({"fp": fp, "second": chunk.checks(place, length), "n": n.astype(np.int32), "chunk": np.int64(number), "place": place.astype(np.int32)})
+
+
+COUNTS = "fp long, second int, n int, chunk long, place int"
+
+
 def _short(chunks: DataFrame) -> DataFrame:
-    """(fp, n, chunk, place) of the single words and word pairs of each chunk."""
+    """The single words and word pairs of each chunk."""
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = _opened(row)
                 for length in (1, PAIR):
-                    fp, n, place = chunk.counted(chunk.starts(length), length)
-                    yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(n.astype(np.int32)), pa.array(np.full(len(fp), row["chunk"])), pa.array(place.astype(np.int32))],
-                                                     ["fp", "n", "chunk", "place"])
-    return chunks.select("chunk", "lang", "words", "ids").mapInArrow(run, "fp long, n int, chunk long, place int")
+                    yield pa.RecordBatch.from_pandas(_counts(chunk, row["chunk"], chunk.starts(length), length), preserve_index=False)
+    return chunks.select("chunk", "lang", "words", "ids").mapInArrow(run, COUNTS)
 
 
 def _frequent(counts: DataFrame, least: int, name: str) -> DataFrame:
-    """Stored rows of ``counts`` whose fingerprint occurs ``least`` times over all chunks; a fingerprint has a few rows per chunk at most."""
-    total = F.sum(F.col("n").cast("long")).over(Window.partitionBy("fp"))
-    return store(counts.withColumn("total", total).filter(F.col("total") >= least).drop("total"), name)
+    """Stored (fp, chunk, place, n): pointers to resolve, and the word pairs of each chunk (n is null), of fingerprints that occur ``least`` times.
+
+    A fingerprint has one row per chunk and phrase at most.
+    """
+    same = Window.partitionBy("fp").orderBy("chunk", "place")
+    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    summed = counts.select("fp", "chunk", "place", "n", F.sum(F.col("n").cast("long")).over(whole).alias("total"), F.row_number().over(same).alias("at"),
+                           (F.min("second").over(whole) == F.max("second").over(whole)).alias("one")).filter(F.col("total") >= least)
+    n = F.when(~F.col("one"), F.col("n").cast("long")).when(F.col("at") == 1, F.col("total"))
+    pair = F.col("fp").bitwiseAND(F.lit(7)) == PAIR
+    return store(summed.select("fp", "chunk", "place", n.alias("n")).filter(F.col("n").isNotNull() | pair), name)
 
 
 def _texts(chunk: Chunk, lang: str, rows: pd.DataFrame) -> pd.DataFrame:
     """(lang, phrase, length, n): the words behind the pointers of ``rows``."""
     lengths = (rows["fp"].to_numpy() & 7).astype(np.int32)
     return pd.DataFrame({"lang": lang, "phrase": [chunk.phrase(p, k) for p, k in zip(rows["place"].tolist(), lengths.tolist())],
-                         "length": lengths, "n": rows["n"].to_numpy(np.int32)})
+                         "length": lengths, "n": rows["n"].to_numpy(np.int64)})
 
 
 def _known(mine: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows[rows["n"].notna()]
     return _texts(_opened(mine.iloc[0]), mine["lang"].iat[0], rows) if len(mine) and len(rows) else pd.DataFrame(
-        {"lang": pd.Series([], dtype=str), "phrase": pd.Series([], dtype=object), "length": pd.Series([], dtype=np.int32), "n": pd.Series([], dtype=np.int32)})
-
-
-def _unplaced(texts: pd.DataFrame) -> pd.DataFrame:
-    return texts.assign(fp=np.zeros(len(texts), np.int64), chunk=np.zeros(len(texts), np.int64), place=np.zeros(len(texts), np.int32))
+        {"lang": pd.Series([], dtype=str), "phrase": pd.Series([], dtype=object), "length": pd.Series([], dtype=np.int32), "n": pd.Series([], dtype=np.int64)})
 
 
 def _longer(mine: pd.DataFrame, rows: pd.DataFrame, most: int) -> pd.DataFrame:
-    """The texts of the chunk's frequent words and pairs, and (fp, n, chunk, place) of its phrases of 3 to ``most`` words made of such pairs."""
+    """The texts behind the chunk's pointers, and the counts of its phrases of 3 to ``most`` words made of frequent pairs."""
+    texts = _known(mine, rows)
+    texts = texts.assign(**{c: np.zeros(len(texts), kind) for c, kind in (("fp", np.int64), ("second", np.int32), ("chunk", np.int64), ("place", np.int32))})
     if not len(mine) or not len(rows):
-        return _unplaced(_known(mine, rows))
+        return texts
     chunk = _opened(mine.iloc[0])
-    out = [_unplaced(_texts(chunk, mine["lang"].iat[0], rows))]
     at = chunk.starts(PAIR)
     good = np.zeros(len(chunk.ids) + 1, bool)
     prints = rows["fp"].to_numpy()
     good[at] = np.isin(chunk.prints(at, PAIR), prints[(prints & 7) == PAIR])
+    out = [texts]
     for length in range(3, most + 1):
         at = chunk.starts(length)
         for k in range(length - 1):
             at = at[good[at + k]]
-        fp, n, place = chunk.counted(at, length)
-        out.append(pd.DataFrame({"lang": None, "phrase": None, "length": np.int32(length), "n": n.astype(np.int32), "fp": fp, "chunk": mine["chunk"].iat[0], "place": place.astype(np.int32)}))
-    return pd.concat([part for part in out if len(part)], ignore_index=True)
+        out.append(_counts(chunk, mine["chunk"].iat[0], at, length).assign(lang=None, phrase=None, length=np.int32(length)).astype({"n": np.int64}))
+    return pd.concat([part for part in out if len(part)] or [texts], ignore_index=True)
 
 
 def _by_chunk(chunks: DataFrame, rows: DataFrame, run, fields: str) -> DataFrame:
@@ -216,10 +240,10 @@ def phrase_counts(docs: DataFrame, *, lang: str = "lang", text: str = "text", mo
     """((lang, n), (lang, phrase, length, f)): words per language, and the phrases of 1 to ``most`` words that occur ``least`` times, stored."""
     chunks = _chunks(docs, lang, text, chunk_words)
     short = _frequent(_short(chunks), least, "short")
-    fields = "lang string, phrase binary, length int, n int"
+    fields = "lang string, phrase binary, length int, n long"
     if most > PAIR:
-        both = store(_by_chunk(chunks, short, lambda mine, rows: _longer(mine, rows, most), f"{fields}, fp long, chunk long, place int"), "longer")
-        long = _frequent(both.filter("phrase is null").select("fp", "n", "chunk", "place"), least, "long")
+        both = store(_by_chunk(chunks, short, lambda mine, rows: _longer(mine, rows, most), f"{fields}, fp long, second int, chunk long, place int"), "longer")
+        long = _frequent(both.filter("phrase is null").select("fp", "second", "n", "chunk", "place"), least, "long")
         known = both.filter("phrase is not null").select("lang", "phrase", "length", "n").unionByName(_by_chunk(chunks, long, _known, fields))
     else:
         known = _by_chunk(chunks, short, _known, fields)
