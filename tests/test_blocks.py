@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import backtest as bt
 from tickloom.operators import indicators as ind
 from tickloom.operators import strategies as st
+from tickloom.operators.resample import resample_ohlcv
 from tickloom.plans.blocks import BlockSize, running_sum, split_blocks
 
 ROWS = {"HOT": 900, "MID": 130, "TINY": 7}
@@ -394,3 +395,55 @@ def test_blocks_hold_no_copies_for_smoothing(spark):
     blocks = split_blocks(to_spark(spark, with_gap()), 2, SMALL, check=["close"])
     copies = blocks.frame.filter("_split and not _own").groupBy("_block").count().toPandas()["count"]
     assert copies.max() <= 60  # a calendar unit's rows at most, whatever the smoothing
+
+
+def tied_bars(rows: int = 900, seed: int = 21) -> pd.DataFrame:
+    """Bars of which many share a time, told apart by their arrival number."""
+    pdf = random_bars({"HOT": rows, "B": 80}, seed=seed, nulls=0.02, drift=1.0)
+    pdf["ts"] = pdf["ts"].dt.floor("30min")
+    pdf["seq"] = np.arange(len(pdf))
+    return pdf
+
+
+@pytest.mark.parametrize("size", [BlockSize(), SMALL], ids=["whole", "split"])
+@pytest.mark.parametrize("run", [
+    lambda df, size: ind.atr_wilder(df, 5, size=size), lambda df, size: ind.rsi_ratio(df, 5, size=size),
+    lambda df, size: st.sma_cross(df, length=10, size=size),
+    lambda df, size: st.sma_rsi_reversal(df, 10, 20, 5, 60, 55, size=size),
+    lambda df, size: st.runners_swing(df, threshold=-50.0, size=size),
+], ids=["atr", "rsi", "cross", "reversal", "swing"])
+def test_arrival_orders_equal_times(spark, run, size):
+    """Rows of equal time are worked off by ``seq``: the result is that of distinct times in the same order."""
+    pdf = tied_bars()
+    # One microsecond apart by arrival: the same order without ties, on the same days.
+    spread = pdf.assign(ts=pdf["ts"] + pd.to_timedelta(pdf["seq"], unit="us")).drop(columns="seq")
+    want = by_series(run(to_spark(spark, spread), BlockSize()))
+    shuffled = to_spark(spark, pdf.sample(frac=1, random_state=3))
+    got = run(shuffled, size).toPandas().sort_values(["symbol", "ts", "seq"], ignore_index=True)
+    for symbol, w in want.items():
+        g = got[got["symbol"] == symbol].reset_index(drop=True)
+        assert len(g) == len(w)
+        for c in (c for c in w.columns if c not in ("symbol", "ts")):
+            if w[c].dtype.kind == "f":
+                np.testing.assert_allclose(g[c].to_numpy(float), w[c].to_numpy(float), rtol=1e-9, atol=1e-9, err_msg=c)
+            else:
+                assert g[c].fillna("").tolist() == w[c].fillna("").tolist(), c
+
+
+@pytest.mark.parametrize("size", [BlockSize(), SMALL], ids=["whole", "split"])
+def test_trades_at_equal_times(spark, size):
+    pdf = tied_bars(600)
+    pdf["signal"] = np.random.default_rng(2).choice(["BUY", "SELL"], len(pdf))
+    pdf["quantity"] = 1.0
+    spread = pdf.assign(ts=pdf["ts"] + pd.to_timedelta(pdf["seq"], unit="us")).drop(columns="seq")
+    columns = ["symbol", "avg_entry_price", "exit_price", "total_shares", "profit", "number_of_buys"]
+    rows = lambda df, size: sorted(tuple(r) for r in bt.pair_trades(df, None, size).select(*columns).collect())
+    assert rows(to_spark(spark, pdf.sample(frac=1, random_state=4)), size) == rows(to_spark(spark, spread), BlockSize())
+
+
+def test_candles_of_equal_times_open_and_close_by_arrival(spark):
+    pdf = tied_bars(400).dropna()
+    got = by_series(resample_ohlcv(to_spark(spark, pdf.sample(frac=1, random_state=5)), 30))["HOT"].set_index("ts")
+    hot = pdf[pdf["symbol"] == "HOT"].sort_values(["ts", "seq"]).groupby("ts")
+    pd.testing.assert_series_equal(got["open"], hot["open"].first(), check_freq=False)
+    pd.testing.assert_series_equal(got["close"], hot["close"].last(), check_freq=False)

@@ -10,7 +10,7 @@ from tickloom.operators.quality import normalize_signals
 from tickloom.plans.blocks import (
     BEFORE, BLOCK, DEFAULT, SO_FAR, SPLIT, Blocks, BlockSize, over, split_blocks,
 )
-from tickloom.schema import require_columns, series_keys
+from tickloom.schema import require_columns, series_keys, time_columns
 from tickloom.sources.scratch import materialize
 
 
@@ -27,7 +27,7 @@ def recent_signals(df: DataFrame, n: int = 10) -> DataFrame:
     ``row_number <= n`` runs once per source partition before the shuffle (Spark's window group
     limit), so a hot series sends at most ``n`` rows per task.
     """
-    latest = Window.partitionBy(*series_keys(df)).orderBy(F.desc("ts"))
+    latest = Window.partitionBy(*series_keys(df)).orderBy(*map(F.desc, time_columns(df)))
     return (
         normalize_signals(df).filter(F.col("signal").isNotNull())
         .withColumn("_rank", F.row_number().over(latest)).filter(F.col("_rank") <= n).drop("_rank")
@@ -51,7 +51,7 @@ def _numbered(df: DataFrame, size: BlockSize) -> tuple[DataFrame, list[str]]:
     keys = series_keys(df)
     rows = normalize_signals(df).filter(
         F.col("signal").isin("BUY", "SELL") & F.col("close").isNotNull() & (F.col("quantity") > 0)
-    ).select(*keys, "ts", "close", "quantity", "signal")
+    ).select(*keys, *time_columns(df), "close", "quantity", "signal")
     # Signals are few next to bars: store them once rather than run the strategy for every pass.
     rows = materialize(rows, "signals")
     blocks = split_blocks(rows, 0, size, keys)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.clock import local_date
 from tickloom.operators.resample import daily_close
-from tickloom.plans.blocks import DEFAULT, Blocks, BlockSize, in_blocks, over
+from tickloom.plans.blocks import DEFAULT, TIME, Blocks, BlockSize, in_blocks, over
 from tickloom.plans.scans import Smooth, add_means, add_smooth
 from tickloom.schema import require_columns, series_keys
 
@@ -58,12 +58,12 @@ def add_true_range(df: DataFrame, blocks: Blocks, out: str = "true_range"):
     return df.selectExpr("*", f"{TRUE_RANGE} AS {out}").drop("_pc")
 
 
-def add_prev(df: DataFrame, blocks: Blocks, columns: dict[str, str], n: int = 1, order: str = "ts"):
+def add_prev(df: DataFrame, blocks: Blocks, columns: dict[str, str], n: int = 1, order: str = TIME):
     """Previous-row values: output name -> column."""
     return df.selectExpr("*", *[f"lag({c}, {n}) {over(blocks.part, order)} AS {o}" for o, c in columns.items()])
 
 
-def hot_sql(threshold: float, part, order: str = "ts", pct: str = "daily_pct") -> str:
+def hot_sql(threshold: float, part, order: str = TIME, pct: str = "daily_pct") -> str:
     w, level = over(part, order), f"{float(threshold)!r}D"
     return f"coalesce({pct} > {level} AND lag({pct}, 1) {w} > {level} AND lag({pct}, 2) {w} > {level}, false)"
 

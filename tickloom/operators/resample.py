@@ -10,7 +10,7 @@ from tickloom.functions.clock import (
     second_of_day,
 )
 from tickloom.operators.quality import active_strategies
-from tickloom.schema import BAR_COLUMNS, PRICE_COLUMNS, require_columns, series_keys
+from tickloom.schema import BAR_COLUMNS, PRICE_COLUMNS, require_columns, series_keys, time_columns, time_key
 
 
 def _ohlcv(order) -> list[Column]:
@@ -60,7 +60,7 @@ def resample_ohlcv(bars: DataFrame, minutes: int, complete_only: bool = False) -
 
 def _candles(placed: DataFrame, keys) -> DataFrame:
     return (
-        placed.groupBy(*keys, "_bucket").agg(*_ohlcv(F.col("ts")), F.count(F.lit(1)).alias("_n"))
+        placed.groupBy(*keys, "_bucket").agg(*_ohlcv(time_key(placed)), F.count(F.lit(1)).alias("_n"))
         .dropna(subset=PRICE_COLUMNS)
         .withColumnRenamed("_bucket", "ts")
     )
@@ -70,7 +70,7 @@ def daily_close(bars: DataFrame, day: str = "day") -> DataFrame:
     """Last non-null close of each market-local calendar day."""
     return (
         bars.groupBy(*series_keys(bars), local_date("ts").alias(day))
-        .agg(F.max_by("close", F.when(F.col("close").isNotNull(), F.col("ts"))).alias("daily_close"))
+        .agg(F.max_by("close", F.when(F.col("close").isNotNull(), time_key(bars))).alias("daily_close"))
     )
 
 
@@ -109,7 +109,7 @@ def strategy_bars(bars: DataFrame, strategies: DataFrame, as_of=None, live_from=
     """
     spec = _spec(strategies)
     specs = active_strategies(strategies).select(*spec).distinct()
-    rows, began = bars.select(*BAR_COLUMNS).join(specs, "symbol"), None
+    rows, began = bars.select(*BAR_COLUMNS, *time_columns(bars)[1:]).join(specs, "symbol"), None
     if as_of is not None or "as_of" in spec:
         until = F.col("as_of") if "as_of" in spec else instant(as_of)
         began = F.unix_micros(until) - F.col("lookback_days").cast("bigint") * F.lit(86_400_000_000)
@@ -142,9 +142,11 @@ def resample_for_strategies(bars: DataFrame, strategies: DataFrame, as_of=None,
         coarse.join(series, spec).withColumn(
             "_bucket", grid_bucket(F.col("ts"), F.col("time_frame"), F.col("_first"))),
         spec)
-    columns = [*spec, "ts", *PRICE_COLUMNS, "volume"]
+    columns = [*spec, *time_columns(rows), *PRICE_COLUMNS, "volume"]
+    if "seq" in columns:  # one candle per time, so none to tell apart
+        candles = candles.withColumn("seq", F.lit(None).cast(rows.schema["seq"].dataType))
     every = candles.select(*columns).unionByName(
         rows.filter(F.col("time_frame") == 1).select(*columns))
     names = active_strategies(strategies).select(F.col("id").alias("strategy_id"), "name", *spec)
     return every.join(names, spec).select(
-        "strategy_id", "name", "symbol", "time_frame", "ts", *PRICE_COLUMNS, "volume")
+        "strategy_id", "name", "symbol", "time_frame", *time_columns(every), *PRICE_COLUMNS, "volume")

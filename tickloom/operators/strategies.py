@@ -16,7 +16,7 @@ from tickloom.operators.indicators import (
 from tickloom.plans.blocks import BLOCK, DEFAULT, OWN, SPLIT, BlockSize, over, split_blocks
 from tickloom.plans.positions import position_signals
 from tickloom.plans.scans import RUN_ORDER, toggle_signals
-from tickloom.schema import BAR_COLUMNS, require_columns, series_keys
+from tickloom.schema import BAR_COLUMNS, require_columns, series_keys, time_columns
 from tickloom.sources.scratch import materialize
 
 
@@ -129,13 +129,13 @@ def custom_strategy(df: DataFrame, fn: Callable, schema, look_back: int | None =
         raise ValueError(f"a series has more than {size.rows} rows: give state, look_back or a larger size")
 
     def call(pdf):
-        pdf = pdf.sort_values("ts", ignore_index=True)
+        pdf = pdf.sort_values(time, na_position="first", ignore_index=True)
         if not blocks_split:
             return fn(pdf)
         out = fn(pdf.drop(columns=[SPLIT, BLOCK, OWN]))
         return out[out["ts"].isin(pdf.loc[pdf[OWN], "ts"])]
 
-    blocks_split = blocks.split
+    blocks_split, time = blocks.split, time_columns(df)
     return blocks.frame.groupBy(*blocks.part).applyInPandas(call, schema)
 
 
@@ -168,7 +168,7 @@ def _folded(df: DataFrame, fn: Callable, schema, size: BlockSize, start) -> Data
         if held:
             yield out()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, "ts").mapInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *time_columns(df)).mapInPandas(run, schema)
 
 
 STRATEGIES: dict[str, Callable[[DataFrame], DataFrame]] = {

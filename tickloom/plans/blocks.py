@@ -23,7 +23,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.schema import series_keys
+from tickloom.schema import series_keys, time_columns
 from tickloom.sources.scratch import materialize
 
 SPLIT, BLOCK, OWN = "_split", "_block", "_own"
@@ -38,6 +38,17 @@ class BlockSize:
 DEFAULT = BlockSize()
 
 
+class Part(list):
+    """Columns by which windows partition, with the columns that order the rows in time."""
+
+    def __init__(self, columns: Sequence[str], time: Sequence[str] = ("ts",)):
+        super().__init__(columns)
+        self.time = list(time)
+
+    def plus(self, *columns: str) -> "Part":
+        return Part([*self, *columns], self.time)
+
+
 @dataclass(frozen=True)
 class Blocks:
     """A frame whose windows partition by ``part``.
@@ -50,9 +61,9 @@ class Blocks:
     most: int = 1
 
     @property
-    def part(self) -> list[str]:
+    def part(self) -> Part:
         # ``_split`` is among the keys so that a filter on it moves below the windows.
-        return [*self.keys, SPLIT, BLOCK] if self.split else self.keys
+        return Part([*self.keys, SPLIT, BLOCK] if self.split else self.keys, time_columns(self.frame))
 
     def finish(self, df: DataFrame) -> DataFrame:
         """Drop the halo copies and the block columns."""
@@ -62,8 +73,12 @@ class Blocks:
         return df.filter(OWN) if self.split else df
 
 
-def over(part: Sequence[str], order: str = "ts", frame: str = "") -> str:
-    """OVER clause text."""
+TIME = "{time}"
+
+
+def over(part: Sequence[str], order: str = TIME, frame: str = "") -> str:
+    """OVER clause text; ``TIME`` in ``order`` stands for the time columns of ``part``."""
+    order = order.format(time=", ".join(getattr(part, "time", ["ts"])))
     return f"OVER (PARTITION BY {', '.join(f'`{p}`' for p in part)} ORDER BY {order} {frame})"
 
 

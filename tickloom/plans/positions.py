@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.plans.blocks import BLOCK, SPLIT, Blocks
+from tickloom.schema import time_columns
 from tickloom.sources.scratch import materialize
 
 FLAT = None
@@ -199,7 +200,7 @@ def position_signals(blocks: Blocks, rule: Callable[[DataFrame], DataFrame]) ->
 
     ``rule`` adds the columns of ``RULE`` to a blocked frame; null numbers never end a position.
     """
-    part = blocks.part
+    part, time = blocks.part, time_columns(blocks.frame)
     rows = blocks.own(rule(blocks.frame))
     kept = [c for c in rows.columns if c not in RULE]
     schema = T.StructType([*(rows.schema[c] for c in kept),
@@ -209,7 +210,7 @@ def position_signals(blocks: Blocks, rule: Callable[[DataFrame], DataFrame]) ->
         rows = rows.join(_block_starts(blocks, rule), part, "left")
 
     def replay_block(pdf):
-        pdf = pdf.sort_values("ts", ignore_index=True)
+        pdf = pdf.sort_values(time, na_position="first", ignore_index=True)
         held = "_start_held" in pdf and pdf["_start_held"].iat[0] is not None and bool(pdf["_start_held"].iat[0])
         signal, price = replay(pdf, float(pdf["_start_price"].iat[0]) if held else FLAT)
         out = pdf[kept].copy()
@@ -222,13 +223,13 @@ def position_signals(blocks: Blocks, rule: Callable[[DataFrame], DataFrame]) ->
 
 def _block_starts(blocks: Blocks, rule) -> DataFrame:
     """Position held at the start of each block of a split series."""
-    part, series = blocks.part, [*blocks.keys, SPLIT]
+    part, series, time = blocks.part, [*blocks.keys, SPLIT], time_columns(blocks.frame)
     types = lambda columns: ", ".join(f"`{c}` {blocks.frame.schema[c].dataType.simpleString()}" for c in columns)
     spark = blocks.frame.sparkSession
-    walk = materialize(blocks.own(rule(blocks.frame.filter(SPLIT))).select(*part, "ts", "close", *RULE), "walk")
+    walk = materialize(blocks.own(rule(blocks.frame.filter(SPLIT))).select(*part, *time, "close", *RULE), "walk")
 
     def describe_block(key, pdf):
-        return pd.DataFrame([{**dict(zip(part, key)), **describe(pdf.sort_values("ts"))}])
+        return pd.DataFrame([{**dict(zip(part, key)), **describe(pdf.sort_values(time, na_position="first"))}])
 
     def conduct_series(key, stats, answers):
         starts, asked = conduct(stats.sort_values(BLOCK, ignore_index=True), answers[["_from", "_at", "_price", "_to", "_exits", "_end_at", "_end_price"]])
@@ -241,7 +242,7 @@ def _block_starts(blocks: Blocks, rule) -> DataFrame:
     def answer_block(pdf, asked):
         if not len(asked):
             return asked.assign(_exits=False, _end_at=-1, _end_price=np.nan)[[*series, *answer_columns]]
-        return answer(pdf.sort_values("ts", ignore_index=True), asked)[[*series, *answer_columns]]
+        return answer(pdf.sort_values(time, na_position="first", ignore_index=True), asked)[[*series, *answer_columns]]
 
     answer_columns = [f.split()[0] for f in _ANSWER.split(", ")]
     stats = materialize(walk.groupBy(*part).applyInPandas(describe_block, f"{types(part)}, {_STATS}"), "stats")

@@ -10,13 +10,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.plans.blocks import BEFORE, BLOCK, OWN, SO_FAR, SPLIT, Blocks, over
+from tickloom.plans.blocks import BEFORE, BLOCK, OWN, SO_FAR, SPLIT, TIME, Blocks, Part, over
+from tickloom.schema import time_key
 
 # Decay after which an old value has faded to nothing (e^-300); e^600 times any price stays far below overflow.
 STRETCH = 300.0
 # Smallest share of the fastest decay that a slower one must have to use the same stretches.
 ALIKE = 0.15
-RUN_ORDER = "_run, ts"
+RUN_ORDER = f"_run, {TIME}"
 
 
 def decay_rate(alpha: float) -> float:
@@ -105,11 +106,11 @@ def add_smooth(df: DataFrame, blocks: Blocks, smooth: dict[str, Smooth], seen: d
     for number, group in enumerate(groups):
         stretch = "_run" if number == len(groups) - 1 else f"_s{number}"
         df = df.drop(stretch).selectExpr("*", f"floor({level[group[0]]}_all / {STRETCH}D) AS {stretch}")
-        inside, names = over([*part, stretch], frame=SO_FAR), [n for n, r in sliding.items() if Smooth(r.pattern, r.alpha) in group]
+        inside, names = over(part.plus(stretch), frame=SO_FAR), [n for n, r in sliding.items() if Smooth(r.pattern, r.alpha) in group]
         df = df.selectExpr("*", *[f"sum({level[r]}) {inside} AS {level[r]}_in" for r in group])
         df = df.selectExpr("*", *[f"""coalesce(sum(CASE WHEN {later(sliding[n])} THEN {sliding[n].weight(gap(sliding[n]))} * {x[n]}
             * exp({of(sliding[n])}_in) END) {inside}, 0D) * exp(-{of(sliding[n])}_in) AS {z[n]}""" for n in names])
-        df = df.selectExpr("*", f"lag(struct({', '.join(z[n] for n in names)})) {over(part, f'{stretch}, ts')} AS _last")
+        df = df.selectExpr("*", f"lag(struct({', '.join(z[n] for n in names)})) {over(part, f'{stretch}, {TIME}')} AS _last")
         df = df.selectExpr("*", f"first(_last) {inside} AS _carry")
         df = df.selectExpr(*[c for c in df.columns if c not in {z[n] for n in names} | {"_last", "_carry"}],
                            *[f"{z[n]} + coalesce(_carry.{z[n]}, 0D) * exp(-{of(sliding[n])}_in) AS {z[n]}" for n in names])
@@ -136,7 +137,7 @@ def _smooth_starts(own: DataFrame, blocks: Blocks, smooth: dict[str, Smooth], ta
     line, names = over([*blocks.keys, SPLIT], BLOCK, BEFORE), list(enumerate(smooth))
     ends = own.groupBy(*blocks.part).agg(
         F.min("_i").alias("_at"), F.count("*").alias("_n"), F.max_by(F.struct(
-            *[f"_v{k}" for k in tag.values()], *[f"_f{i}" for i, _ in names], *z.values(), *[f"{d}_all" for d in dict.fromkeys(level.values())]), "ts").alias("_end"),
+            *[f"_v{k}" for k in tag.values()], *[f"_f{i}" for i, _ in names], *z.values(), *[f"{d}_all" for d in dict.fromkeys(level.values())]), time_key(own)).alias("_end"),
         *[F.expr(f"min(CASE WHEN _t{k} THEN _i END)").alias(f"_lead{k}") for k in tag.values()],
         *[F.expr(f"max(CASE WHEN _t{k} THEN _i END)").alias(f"_tail{k}") for k in tag.values()])
     df = ends.selectExpr("*", "_end.*").selectExpr("*", f"coalesce(sum(_n) {line}, 0L) AS _start")
@@ -163,7 +164,7 @@ def _smooth_starts(own: DataFrame, blocks: Blocks, smooth: dict[str, Smooth], ta
                          *[f"coalesce((1D - _w{i}) * _in{i}, 0D) + CASE WHEN _in{i} IS NULL THEN 1D ELSE _w{i} END * _f{i} AS _first{i}" for i, _ in names])
 
 
-def add_means(df: DataFrame, part: list[str], means: dict[str, tuple[str, int]]) -> DataFrame:
+def add_means(df: DataFrame, part: Part, means: dict[str, tuple[str, int]]) -> DataFrame:
     """Sliding means of the last n rows, null unless all have values, in constant work per row.
 
     Rows are grouped in runs of the largest n, with running sums and counts inside each. A mean is a difference of
@@ -177,7 +178,7 @@ def add_means(df: DataFrame, part: list[str], means: dict[str, tuple[str, int]])
     total, count = {c: f"_sum_{c}" for c in columns}, {c: f"_num_{c}" for c in columns}
     before = {c: f"_before_{c}" for c in columns}
     df = df.selectExpr("*", f"_i div {run} AS _run", f"_i % {run} AS _j", *[f"lag({c}) {over(part)} AS {b}" for c, b in before.items()])
-    inside, order = over([*part, "_run"], frame=SO_FAR), over(part, RUN_ORDER)
+    inside, order = over(part.plus("_run"), frame=SO_FAR), over(part, RUN_ORDER)
     df = df.selectExpr("*", *[f"coalesce(sum({c}) {inside}, 0D) AS {total[c]}" for c in columns], *[f"count({c}) {inside} AS {count[c]}" for c in columns])
 
     def ahead(value: str) -> str:
@@ -200,7 +201,7 @@ def add_means(df: DataFrame, part: list[str], means: dict[str, tuple[str, int]])
 
 
 def toggle_signals(blocks: Blocks, masks: Callable[[DataFrame], DataFrame],
-                   order: str = "ts") -> DataFrame:
+                   order: str = TIME) -> DataFrame:
     """BUY / SELL from ``_entry`` and ``_exit`` acting in turn, at most one action per row.
 
     Per row: entry only sets the state to in, exit only sets it to out, both flip it, none keeps
@@ -229,7 +230,7 @@ def toggle_signals(blocks: Blocks, masks: Callable[[DataFrame], DataFrame],
 def _block_states(blocks: Blocks, local: DataFrame) -> DataFrame:
     """State before each block."""
     line = [*blocks.keys, SPLIT]
-    ends = local.groupBy(*blocks.part).agg(F.max_by(F.struct("_flips", "_set"), "ts").alias("_end"))
+    ends = local.groupBy(*blocks.part).agg(F.max_by(F.struct("_flips", "_set"), time_key(local)).alias("_end"))
     ends = ends.selectExpr(
         "*", f"sum(_end._flips) {over(line, BLOCK, SO_FAR)} AS _all",
         f"coalesce(sum(_end._flips) {over(line, BLOCK, BEFORE)}, 0) AS _base")

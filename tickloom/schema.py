@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARKET_ZONE = "America/New_York"
@@ -70,6 +71,20 @@ def require_columns(df: DataFrame, columns, what: str = "input") -> None:
         raise ValueError(f"{what} lacks columns {missing}; it has {df.columns}")
 
 
+def time_columns(df: DataFrame) -> list[str]:
+    """The order of a series' rows: time, then the number ``seq`` of their arrival where the frame has one.
+
+    Rows of equal time and no ``seq`` have no defined order.
+    """
+    return ["ts", "seq"] if "seq" in df.columns else ["ts"]
+
+
+def time_key(df: DataFrame) -> Column:
+    """``time_columns`` as one value, for first and last rows in aggregations; a null ``seq`` comes first."""
+    columns = time_columns(df)
+    return F.col("ts") if columns == ["ts"] else F.struct(*columns)
+
+
 def series_keys(df: DataFrame) -> list[str]:
     """The columns that identify one series: strategy (when there is one) and symbol."""
     return [c for c in ("strategy_id", "symbol") if c in df.columns]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.clock import local_date
-from tickloom.schema import REGISTRY
+from tickloom.schema import REGISTRY, time_columns
 
 
 def write_bars(df: DataFrame, path: str, by_symbol: bool = False, mode: str = "append") -> None:
@@ -17,7 +17,7 @@ def write_bars(df: DataFrame, path: str, by_symbol: bool = False, mode: str = "a
     parts = ["day", "symbol"] if by_symbol else ["day"]
     (df.withColumn("day", local_date("ts"))
        .hint("rebalance", *parts)
-       .sortWithinPartitions("day", "symbol", "ts")
+       .sortWithinPartitions("day", "symbol", *time_columns(df))
        .write.mode(mode).partitionBy(*parts).parquet(path))
 
 

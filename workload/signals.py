@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import partial
 
 import pandas as pd
@@ -55,6 +56,30 @@ def g1_daily(spark, sf):
     return show(signals, "symbol", "ts", "close", "signal", "quantity", fine=("close", "quantity"))
 
 
+# Bars of one hour bear one time; the arrival number orders them.
+TIED_SQL = """tied AS (SELECT upper(event_type) AS symbol, date_trunc('hour', ts) AS ts, event_id AS seq, value AS close,
+    1.0 + user_id % 5 AS quantity, CASE event_id % 4 WHEN 0 THEN 'BUY' WHEN 1 THEN 'SELL' END AS signal FROM events)"""
+
+
+def in_arrival(sql: str) -> str:
+    return re.sub(r"ORDER BY ts\b", "ORDER BY ts, seq", sql)
+
+
+def tied(spark, sf):
+    return fx.table(spark, sf, "events").select(
+        F.upper("event_type").alias("symbol"), F.date_trunc("hour", "ts").alias("ts"), F.col("event_id").alias("seq"),
+        F.col("value").alias("close"), (F.col("user_id") % 5 + 1.0).alias("quantity"),
+        F.expr("CASE event_id % 4 WHEN 0 THEN 'BUY' WHEN 1 THEN 'SELL' END").alias("signal"))
+
+
+@query("g1_sma_cross_ties", f"""WITH bars AS (WITH {TIED_SQL} SELECT symbol, ts, seq, close FROM tied),
+    {in_arrival(cross_sql('bars', 20))} SELECT symbol, ts, seq, round(close, 4) AS close, round(m, 4) AS "SMA20", signal,
+    round(quantity, 4) AS quantity FROM crossed""")
+def g1_ties(spark, sf):
+    return show(st.sma_cross(tied(spark, sf).select("symbol", "ts", "seq", "close"), length=20),
+                "symbol", "ts", "seq", "close", "SMA20", "signal", "quantity")
+
+
 def reversal_sql(short: int = 200, long: int = 400, n: int = 14, low: float = 40, high: float = 55) -> str:
     """Tables over ``bars`` up to ``acted`` (symbol, ts, close, signal, quantity)."""
     return f"""{atr_sql('bars')}, {rsi_sql('tr', period=n)},
@@ -308,6 +333,12 @@ def b4(spark, sf):
     return show(bt.pair_trades(messy_signals(spark, sf), decimals=None), fine=FINE)
 
 
+@query("b4_pair_trades_ties", f"WITH RECURSIVE {TIED_SQL}, {in_arrival(PAIRING.format(source='tied'))} SELECT {TRADE_SQL} FROM trades")
+def b4_ties(spark, sf):
+    """Many signals of a series bear one time."""
+    return show(bt.pair_trades(tied(spark, sf), decimals=None), fine=FINE)
+
+
 @query("b4_pair_trades_swing", f"WITH RECURSIVE {SWING}, {PAIRING.format(source='acted')} SELECT {TRADE_FINE_SQL} FROM trades")
 def b4_swing(spark, sf):
     return show(bt.pair_trades(st.runners_swing(fx.stored(fx.ship_bars(spark, sf))), decimals=None),
