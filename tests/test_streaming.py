@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tickloom import schema
 from tickloom.operators import resample as rs
 from tickloom.operators import strategies as st
+from tickloom.sources import days
 from tickloom.streaming import live
 from tickloom.streaming.sources import agg_event_bars, chart_bars
 
@@ -110,6 +111,64 @@ def test_repeated_batch_replaces_its_output(spark, tmp_path):
     assert spark.read.parquet(store).count() == sum(f.count() for f in frames)
 
 
+def test_compacted_days_give_the_same_orders(spark, tmp_path):
+    """Days closed between batches, with late bars for them afterwards, against a loop that never compacts."""
+    frames, _ = parts(spark, 2)
+    reg = registry(spark)
+    plain, tidy = ([str(tmp_path / f"{n}-{k}") for n in ("store", "out")] for k in ("plain", "tidy"))
+    late = frames[0].limit(40).withColumn("close", F.col("close") * 1.01)
+    batches = [frames[0], late, frames[1]]
+    for number, frame in enumerate(batches):
+        live.process_batch(frame, number, reg, *plain, RULES)
+        live.process_batch(frame, number, reg, *tidy, RULES)
+        # All but the last batch; every stored day counts as closed.
+        days.compact_days(spark, tidy[0], "2999-01-01", number - 1)
+        days.compact_days(spark, tidy[1], "2999-01-01", number - 1, ("symbol", "candle_ts"))
+    assert rows(live.fired_orders(spark, plain[1]), *KEYS) == rows(live.fired_orders(spark, tidy[1]), *KEYS)
+    columns = ("symbol", "ts", "close", "batch")
+    assert rows(days.read_days(spark, plain[0]), *columns) == rows(days.read_days(spark, tidy[0]), *columns)
+    live.process_batch(batches[-1], 2, reg, *tidy, RULES)  # the last batch repeated
+    assert rows(days.read_days(spark, plain[0]), *columns) == rows(days.read_days(spark, tidy[0]), *columns)
+
+
+def test_compaction_bounds_the_folders_of_a_day(spark, tmp_path):
+    pdf = random_bars({"HOT": 60}, seed=4, gap_minutes=1)
+    path = str(tmp_path / "store")
+    for number in range(12):
+        days.write_days(to_spark(spark, pdf.iloc[number * 5:number * 5 + 5]), "ts", path, number)
+        if number in (5, 8):
+            assert days.compact_days(spark, path, "2025-03-06", number) == 1
+            assert days.compact_days(spark, path, "2025-03-06", number) == 0  # nothing new; removes what is superseded
+    found = days.layout(spark, path)
+    assert (len(found.open), len(found.closed), found.past) == (3, 1, [])
+    assert days.read_days(spark, path).count() == len(pdf)
+    assert days.read_days(spark, path, "2025-03-06") is None
+    assert days.compact_days(spark, path, "2025-03-05", 11) == 0  # the day is not closed
+
+
+def test_a_broken_compaction_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "store")
+    for number, frame in enumerate(parts(spark, 2)[0]):
+        days.write_days(frame, "ts", path, number)
+    before = rows(days.read_days(spark, path), "symbol", "ts", "close", "batch")
+    days.compact_days(spark, path, "2999-01-01", 1)
+    (tmp_path / "store" / "_closed" / "run=0" / "_SUCCESS").unlink()  # as if it had broken off before the end
+    assert rows(days.read_days(spark, path), "symbol", "ts", "close", "batch") == before
+    assert days.compact_days(spark, path, "2999-01-01", 1) > 0
+    assert rows(days.read_days(spark, path), "symbol", "ts", "close", "batch") == before
+    assert days.layout(spark, path).open == []
+
+
+def test_the_stream_compacts_as_it_goes(spark, tmp_path):
+    frames, whole = parts(spark, 2)
+    store, out, checkpoint = (str(tmp_path / n) for n in ("store", "out", "checkpoint"))
+    feed(spark, tmp_path, frames, lambda s: live.stream_signals(
+        s, registry(spark), store, out, checkpoint, RULES, trigger={"availableNow": True}, compact_every=1).awaitTermination())
+    assert live.stored_bars(spark, store).count() == whole.count()
+    got = sorted((r.strategy_id, r.candle_ts, r.instruction, round(r.quantity, 6)) for r in live.fired_orders(spark, out).collect())
+    assert got == loop_orders(whole.toPandas())
+
+
 def test_late_bars_change_candles_but_not_fired_signals(spark, tmp_path):
     frames, _ = parts(spark, 2)
     reg = registry(spark)

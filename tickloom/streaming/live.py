@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.functions.clock import instant, local_date, local_minute
+from tickloom.functions.clock import instant, local_minute
 from tickloom.operators.orders import MINUTE, order_intents
 from tickloom.operators.quality import active_strategies, dedupe_bars, news_on_half_hour, normalize_signals
 from tickloom.operators.resample import resample_for_strategies
 from tickloom.operators.strategies import STRATEGIES, run_strategies
-from tickloom.schema import BAR_COLUMNS, PRICE_COLUMNS, require_columns
+from tickloom.schema import BAR, BAR_COLUMNS, PRICE_COLUMNS, require_columns
+from tickloom.sources.days import compact_days, newest_day, read_days, write_days
 from tickloom.sources.payloads import news_items
 from tickloom.sources.scratch import materialize
 
@@ -109,7 +110,9 @@ def stream_resample(bars: DataFrame, minutes: int, watermark: str = "10 minutes"
 
 
 def stored_bars(spark, store: str) -> DataFrame:
-    return spark.read.parquet(store).drop("day", "batch")
+    """The bars the signal loop has stored so far."""
+    found = read_days(spark, store)
+    return spark.createDataFrame([], BAR) if found is None else found.drop("day", "batch")
 
 
 ORDERS = ("strategy_id long, symbol string, instruction string, quantity double, price double, order_type string, "
@@ -118,7 +121,9 @@ ORDERS = ("strategy_id long, symbol string, instruction string, quantity double,
 
 def fired_orders(spark, out: str) -> DataFrame:
     """The orders the signal loop has written so far."""
-    return spark.read.schema(ORDERS).parquet(out)
+    found = read_days(spark, out)
+    none = spark.createDataFrame([], ORDERS)
+    return none if found is None else found.select(*none.columns)
 
 
 def firings(fresh: DataFrame, strategies: DataFrame) -> DataFrame:
@@ -164,13 +169,13 @@ def process_batch(batch: DataFrame, batch_id: int, strategies: DataFrame, store:
     strategy that has fired before is not fired again.
     """
     spark = batch.sparkSession
-    _write_days(batch.select(*BAR_COLUMNS), "ts", store, batch_id)
+    write_days(batch.select(*BAR_COLUMNS), "ts", store, batch_id)
     first = batch.agg(F.min("ts")).first()[0]
     days = active_strategies(strategies).agg(F.max("lookback_days")).first()[0]
     if first is None or days is None:
         return
-    history = _read_days(spark, store, first - timedelta(days=int(days))).filter(F.col("batch") <= batch_id)
-    fresh = _read_days(spark, store, first).filter(F.col("batch") == batch_id)
+    history = read_days(spark, store, _since(first - timedelta(days=int(days)))).filter(F.col("batch") <= batch_id)
+    fresh = read_days(spark, store, _since(first)).filter(F.col("batch") == batch_id)
     bars = history.join(fresh.select("symbol").distinct(), "symbol", "left_semi").drop("day")
     if dedupe:
         bars = dedupe_bars(bars, arrival="batch")
@@ -178,33 +183,37 @@ def process_batch(batch: DataFrame, batch_id: int, strategies: DataFrame, store:
     orders = order_intents(fired, strategies).join(
         fired.select("strategy_id", "candle_ts", F.col("fired_at").alias("decided_at")),
         ["strategy_id", "decided_at"])
-    done = _read_days(spark, out, first)
+    done = read_days(spark, out, _since(first))
     if done is not None:
         done = done.filter(F.col("batch") < batch_id).select("strategy_id", "candle_ts")
         orders = orders.join(done, ["strategy_id", "candle_ts"], "left_anti")
-    _write_days(orders, "candle_ts", out, batch_id)
+    write_days(orders, "candle_ts", out, batch_id)
 
 
-def _write_days(df: DataFrame, ts: str, path: str, batch_id: int) -> None:
-    (df.withColumns({"day": local_date(ts), "batch": F.lit(batch_id)})
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path))
+def _since(first) -> str:
+    """The day two before ``first``, which covers any zone and a candle's length."""
+    return str((first - timedelta(days=2)).date())
 
 
-def _read_days(spark, path: str, first) -> DataFrame | None:
-    """Rows of the days from two before ``first`` on, which covers any zone and a candle's length."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day=*")
-    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
-    start = f"day={(first - timedelta(days=2)).date()}"
-    days = [f"{path}/{d.getPath().getName()}" for d in found if d.getPath().getName() >= start]
-    return spark.read.option("basePath", path).parquet(*days) if days else None
+def compact_store(spark, store: str, out: str, upto: int) -> int:
+    """Compact the days of bars and orders before the newest stored day; returns how many were rewritten."""
+    newest = newest_day(spark, store)
+    if newest is None:
+        return 0
+    return compact_days(spark, store, newest, upto) + compact_days(spark, out, newest, upto, ("symbol", "candle_ts"))
 
 
 def stream_signals(bars: DataFrame, strategies: DataFrame, store: str, out: str, checkpoint: str,
                    registry: dict[str, Callable] = STRATEGIES, dedupe: bool = True, live_from=None,
-                   trigger=None):
-    """Start the signal loop on a stream of bars; returns the running query."""
+                   trigger=None, compact_every: int | None = None):
+    """Start the signal loop on a stream of bars; returns the running query.
+
+    ``compact_every`` batches, the days before the newest stored one are compacted, but for the last batch, which may be repeated.
+    """
     def each(batch, batch_id):
         process_batch(batch, batch_id, strategies, store, out, registry, dedupe, live_from)
+        if compact_every and batch_id and batch_id % compact_every == 0:
+            compact_store(batch.sparkSession, store, out, batch_id - 1)
 
     return (bars.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "1 minute"})).start())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickloom.sources import days
 from tickloom.sources.scratch import materialize, scratch_path
 from tickloom.streaming import live
 from tickloom.streaming import sources as ss
@@ -155,6 +156,20 @@ def t3_backlog(spark, sf):
     return show(live.fired_orders(spark, out), *ORDERS)
 
 
+@query("t3_compacted_store", f"""WITH {EVENT_SQL} SELECT symbol, ts, round(open, 4) AS open, round(high, 4) AS high,
+    round(low, 4) AS low, round(close, 4) AS close, round(volume, 4) AS volume, CAST(minute(ts) % 10 AS INTEGER) AS batch FROM bars""")
+def t3_compacted(spark, sf):
+    """Ten batches that all reach into every day; days closed after the fifth and again after the ninth."""
+    path, bars = scratch_path(spark, "compacted-store"), materialize(fx.event_bars(spark, sf), "compacted-in")
+    for number in range(10):
+        days.write_days(bars.filter(F.minute("ts") % 10 == number), "ts", path, number)
+        if number == 4:
+            days.compact_days(spark, path, "2024-01-15", number)
+        if number == 8:
+            days.compact_days(spark, path, "2024-01-25", number)
+    return show(days.read_days(spark, path), "symbol", "ts", "open", "high", "low", "close", "volume", "batch")
+
+
 LATE = "minute(ts) % 7 = 0"
 
 
