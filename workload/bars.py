@@ -117,6 +117,14 @@ def s9(spark, sf):
                 "symbol", "ts", "open", "high", "low", "close", "volume")
 
 
+@query("s9_write_bars_by_symbol", f"WITH {EVENT_SQL} SELECT {OHLCV} FROM bars")
+def s9_by_symbol(spark, sf):
+    """Every day of the store, in folders by day and symbol."""
+    path = scratch_path(spark, "bars-by-symbol")
+    store.write_bars(fx.event_bars(spark, sf), path, by_symbol=True)
+    return show(store.read_bars(spark, path), "symbol", "ts", "open", "high", "low", "close", "volume")
+
+
 # ---- filters and quality ----
 
 @query("f2_coerce_numeric", """SELECT event_id, CASE WHEN event_id % 17 = 0 THEN NULL
@@ -202,6 +210,51 @@ def f9(spark, sf):
                 "order_id", "strategy_id", "quantity", "entry_price", "reasons")
 
 
+@query("f9_check_trade_history", f"""WITH {fx.HISTORY_SQL}, h AS (SELECT id, CASE WHEN id % 17 <> 0 THEN strategy_id * 2 END
+    AS strategy_id, quantity - 2 AS quantity, CASE WHEN id % 29 <> 0 THEN price - 1000 END AS price,
+    CASE WHEN id % 7 = 0 THEN 'HOLD' WHEN id % 11 <> 0 THEN side END AS side FROM history)
+    SELECT id, strategy_id, round(quantity, 4) AS quantity, round(price, 8) AS price, side,
+    concat_ws('; ', CASE WHEN strategy_id IS NULL THEN 'strategy_id is null' END,
+      CASE WHEN price IS NULL THEN 'price is null' END, CASE WHEN side IS NULL THEN 'side is null' END,
+      CASE WHEN quantity <= 0 THEN 'quantity not positive' END, CASE WHEN price < 0 THEN 'price negative' END,
+      CASE WHEN side NOT IN ('BUY', 'SELL') THEN 'side not allowed' END,
+      CASE WHEN strategy_id NOT IN (SELECT n_nationkey FROM nation) THEN 'strategy unknown' END) AS reasons FROM h""")
+def f9_history(spark, sf):
+    rows = fx.trade_history(spark, sf).select(
+        "id", F.expr("CASE WHEN id % 17 <> 0 THEN strategy_id * 2 END").alias("strategy_id"), (F.col("quantity") - 2).alias("quantity"),
+        F.expr("CASE WHEN id % 29 <> 0 THEN price - 1000 END").alias("price"),
+        F.expr("CASE WHEN id % 7 = 0 THEN 'HOLD' WHEN id % 11 <> 0 THEN side END").alias("side"))
+    checked = q.check_constraints(rows, "trade_history", fx.strategies(spark, sf))
+    return show(checked.withColumn("reasons", F.concat_ws("; ", "reasons")),
+                "id", "strategy_id", "quantity", "price", "side", "reasons", fine=("price",))
+
+
+# One strategy row per customer; what is null takes the table's default before it is checked.
+TERMS = """c_custkey AS id, CASE WHEN c_custkey % 17 <> 0 THEN 'sma_cross' END AS name,
+    CASE WHEN c_nationkey <> 3 THEN c_nationkey END AS time_frame, lower(c_mktsegment) AS symbol,
+    CASE c_custkey % 5 WHEN 0 THEN 'STOP' WHEN 1 THEN NULL ELSE 'LIMIT' END AS order_type,
+    CASE WHEN c_custkey % 19 <> 0 THEN c_custkey % 13 END AS lookback_days, c_custkey % 3 AS extended_hours,
+    CASE WHEN c_custkey % 23 <> 0 THEN c_custkey % 4 END AS active"""
+
+
+@query("f9_check_strategies", f"""WITH t AS (SELECT {TERMS} FROM customer), d AS (SELECT id, name, time_frame, symbol,
+    coalesce(order_type, 'MARKET') AS order_type, coalesce(lookback_days, 3) AS lookback_days, extended_hours,
+    coalesce(active, 1) AS active FROM t)
+    SELECT *, concat_ws('; ', CASE WHEN name IS NULL THEN 'name is null' END,
+      CASE WHEN time_frame IS NULL THEN 'time_frame is null' END,
+      CASE WHEN order_type NOT IN ('MARKET', 'LIMIT') THEN 'order_type not allowed' END,
+      CASE WHEN lookback_days NOT BETWEEN 1 AND 10 THEN 'lookback_days out of range' END,
+      CASE WHEN extended_hours NOT IN (0, 1) THEN 'extended_hours not 0/1' END,
+      CASE WHEN active NOT IN (0, 1) THEN 'active not 0/1' END) AS reasons FROM d""")
+def f9_strategies(spark, sf):
+    customers = fx.table(spark, sf, "customer")
+    customers.createOrReplaceTempView("strategy_customers")
+    rows = spark.sql(f"SELECT {TERMS} FROM strategy_customers")
+    checked = q.check_constraints(rows, "day_trading_strategies")
+    return show(checked.withColumn("reasons", F.concat_ws("; ", "reasons")), "id", "name", "time_frame", "symbol",
+                "order_type", "lookback_days", "extended_hours", "active", "reasons")
+
+
 @query("f10_symbols_to_track", f"WITH {STRATEGIES_SQL} SELECT DISTINCT symbol FROM active_s")
 def f10(spark, sf):
     return q.symbols_to_track(fx.strategies(spark, sf))

@@ -72,11 +72,11 @@ def tied(spark, sf):
         F.expr("CASE event_id % 4 WHEN 0 THEN 'BUY' WHEN 1 THEN 'SELL' END").alias("signal"))
 
 
-@query("g1_sma_cross_ties", f"""WITH bars AS (WITH {TIED_SQL} SELECT symbol, ts, seq, close FROM tied),
+@query("g1_sma_cross_ties", f"""WITH bars AS (WITH {TIED_SQL} SELECT symbol, ts, seq, close + 1.0::DOUBLE AS close FROM tied),
     {in_arrival(cross_sql('bars', 20))} SELECT symbol, ts, seq, round(close, 4) AS close, round(m, 4) AS "SMA20", signal,
     round(quantity, 4) AS quantity FROM crossed""")
 def g1_ties(spark, sf):
-    return show(st.sma_cross(tied(spark, sf).select("symbol", "ts", "seq", "close"), length=20),
+    return show(st.sma_cross(tied(spark, sf).select("symbol", "ts", "seq", (F.col("close") + 1.0).alias("close")), length=20),
                 "symbol", "ts", "seq", "close", "SMA20", "signal", "quantity")
 
 
