@@ -80,6 +80,43 @@ def test_grid_over_dst_matches_pandas(spark, width):
     assert got["close"].tolist() == want.tolist()
 
 
+@pytest.mark.parametrize("as_of", [None, "2025-03-07 18:07:23"])
+@pytest.mark.parametrize("live_from", [None, "2025-03-07 14:41:30"])
+@pytest.mark.parametrize("session_live", [True, False])
+def test_shared_cells_equal_each_settings_own_rows(spark, as_of, live_from, session_live):
+    """Candles from the cells of a symbol against candles of the rows that every setting sees, between odd borders."""
+    pdf = random_bars({"AAA": 1500, "BBB": 40}, seed=5, nulls=0.05, gap_minutes=4)
+    pdf["ts"] += pd.to_timedelta(np.random.default_rng(6).integers(0, 60, len(pdf)), unit="s")
+    pdf = pdf.drop_duplicates(["symbol", "ts"])
+    bars = to_spark(spark, pdf)
+    frames = [5, 7, 45, 90, 240, 1, 15, 60]
+    reg = spark.createDataFrame(
+        [(i, "sma_cross", frame, symbol, "market", 1 + i % 3, i % 2, 1, None, None)
+         for i, (symbol, frame) in enumerate([(s, f) for f in frames for s in ("aaa", "bbb")] + [("aaa", 7), ("aaa", 45)])], schema.STRATEGIES)
+    out = by_series(rs.resample_for_strategies(bars, reg, as_of, live_from, session_live), ("strategy_id", "symbol"))
+    seen = rs.strategy_bars(bars, reg, as_of, live_from, session_live).persist()
+    names = q.active_strategies(reg).select(F.col("id").alias("strategy_id"), *rs.SPEC)
+    rows, want = seen.join(names, rs.SPEC), {}
+    for frame in frames:
+        own = rows.filter(F.col("time_frame") == frame).select("strategy_id", *schema.BAR_COLUMNS)
+        want.update(by_series(own if frame == 1 else rs.resample_ohlcv(own, frame), ("strategy_id", "symbol")))
+    assert want.keys() == out.keys() and len(out) > 8
+    for key, expected in want.items():
+        pd.testing.assert_frame_equal(out[key][schema.BAR_COLUMNS], expected[schema.BAR_COLUMNS])
+    seen.unpersist()
+
+
+def test_candles_read_their_bars_once(spark, tmp_path):
+    to_spark(spark, random_bars({"AAA": 500, "BBB": 3})).write.parquet(str(tmp_path / "bars"))
+    bars = spark.read.parquet(str(tmp_path / "bars"))
+    reg = spark.createDataFrame([(i, "sma_cross", f, "aaa", "market", 3, 1, 1, None, None) for i, f in enumerate((5, 7, 45))], schema.STRATEGIES)
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+    for minutes in (5, 7, 45, 240):
+        assert scans(rs.resample_ohlcv(bars, minutes)) == 1
+        assert {r.symbol for r in rs.resample_ohlcv(bars, minutes).collect()} == {"AAA"}
+    assert rs.resample_for_strategies(bars, reg).select("strategy_id").distinct().count() == 3
+
+
 def test_strategy_candles(spark):
     bars = to_spark(spark, random_bars({"AAA": 900, "BBB": 300}, seed=3))
     row = lambda i, symbol, frame, days, extended, active=1: (

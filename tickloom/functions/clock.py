@@ -54,8 +54,8 @@ def grid_bucket(ts, minutes, first_ts) -> Column:
     return F.timestamp_micros(origin + (offset - F.pmod(offset, width)))
 
 
-def even_bucket(ts, minutes: int) -> Column:
+def even_bucket(ts, minutes) -> Column:
     """``grid_bucket`` for widths that divide the hour; needs no first timestamp."""
-    width = F.lit(minutes * 60_000_000).cast("bigint")
+    width = F.lit(minutes).cast("bigint") * F.lit(60_000_000).cast("bigint")
     micros = F.unix_micros(ts)
     return F.timestamp_micros(micros - F.pmod(micros, width))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.clock import (
@@ -41,29 +43,46 @@ def resample_ohlcv(bars: DataFrame, minutes: int, complete_only: bool = False) -
     _check_minutes(minutes)
     require_columns(bars, BAR_COLUMNS, "bars")
     keys = series_keys(bars)
-    per_series = bars.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min("ts").alias("_first"))
-    if 60 % minutes == 0:
-        candles = _candles(bars.withColumn("_bucket", even_bucket(F.col("ts"), minutes)), keys)
-        if minutes > 1:
-            short = per_series.filter(F.col("_rows") < minutes).select(*keys)
-            candles = candles.join(short, keys, "left_anti")
-    else:
-        long_enough = per_series.filter(F.col("_rows") >= minutes).drop("_rows")
-        placed = bars.join(long_enough, keys).withColumn(
-            "_bucket", grid_bucket(F.col("ts"), minutes, F.col("_first")))
-        candles = _candles(placed, keys)
+    cells = _cells(bars, keys, math.gcd(minutes, 60))
+    if minutes > 1:
+        cells = _regrouped(cells, keys, F.lit(minutes), joins=60 % minutes != 0)
+    candles = cells.dropna(subset=PRICE_COLUMNS)
     if complete_only:
         candles = candles.filter(F.col("_n") == minutes)
-    return candles.select(*keys, "ts", *PRICE_COLUMNS, "volume")
+    return candles.select(*keys, F.col("_cell").alias("ts"), *PRICE_COLUMNS, _volume())
 
 
-def _candles(placed: DataFrame, keys) -> DataFrame:
-    return (
-        placed.groupBy(*keys, "_bucket").agg(*_ohlcv(time_key(placed)), F.count(F.lit(1)).alias("_n"))
-        .dropna(subset=PRICE_COLUMNS)
-        .withColumnRenamed("_bucket", "ts")
-    )
+# Candles come in two levels. Every grid of ``minutes`` begins at a local midnight, a full hour in absolute time, so its
+# edges lie on the grid of gcd(minutes, 60) minutes. Cells of that grid need neither the series' first time nor its number
+# of rows; they are combined before the shuffle and carry both. Windows over the cells of a series are then bounded by
+# the calendar, however many rows a cell holds, and group by the series as the candles do.
+
+def _volume() -> Column:
+    return F.coalesce("volume", F.lit(0.0)).alias("volume")
+
+
+def _cells(bars: DataFrame, keys, grid, *parts: Column) -> DataFrame:
+    """Candles of ``grid`` minutes, apart by ``parts``, with their rows, first time and the times of open and close."""
+    at = lambda c: F.when(F.col(c).isNotNull(), time_key(bars))
+    return bars.groupBy(*keys, even_bucket(F.col("ts"), grid).alias("_cell"), *parts).agg(
+        F.min_by("open", at("open")).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max_by("close", at("close")).alias("close"), F.sum("volume").alias("volume"),
+        F.min(at("open")).alias("_opened"), F.max(at("close")).alias("_closed"),
+        F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_first"))
+
+
+def _regrouped(cells: DataFrame, keys, minutes: Column, joins: bool = True) -> DataFrame:
+    """Cells of series with at least ``minutes`` rows, joined to the candles of the series' own grid if ``joins``."""
+    series = Window.partitionBy(*keys)
+    cells = cells.withColumn("_rows", F.sum("_n").over(series))
+    if joins:
+        cells = cells.withColumn("_begin", F.min("_first").over(series))
+    cells = cells.filter(F.col("_rows") >= minutes)
+    if not joins:
+        return cells
+    return cells.groupBy(*keys, grid_bucket(F.col("_cell"), minutes, F.col("_begin")).alias("_cell")).agg(
+        F.min_by("open", "_opened").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max_by("close", "_closed").alias("close"), F.sum("volume").alias("volume"), F.sum("_n").alias("_n"))
 
 
 def daily_close(bars: DataFrame, day: str = "day") -> DataFrame:
@@ -91,6 +110,7 @@ def ticks_to_bars(ticks: DataFrame, minutes: int = 1, order=("ts",)) -> DataFram
 
 
 SPEC = ["symbol", "time_frame", "extended_hours", "lookback_days"]
+DAY = 86_400_000_000
 
 
 def _spec(strategies: DataFrame) -> list[str]:
@@ -98,6 +118,30 @@ def _spec(strategies: DataFrame) -> list[str]:
     return [*SPEC, *(c for c in ["as_of"] if c in strategies.columns)]
 
 
+def _sliced(rows: DataFrame, specs: DataFrame, until, live_from, session_live: bool, inside: Column) -> tuple[DataFrame, Column]:
+    """Rows joined with the settings that see them, and which of them wait for the latch."""
+    rows, began = rows.join(specs, "symbol"), None
+    if until is not None:
+        began = F.unix_micros(until) - F.col("lookback_days").cast("bigint") * F.lit(DAY)
+        rows = rows.filter((F.col("ts") <= until) & (F.unix_micros("ts") >= began))
+    live = F.lit(False) if live_from is None else F.col("ts") >= instant(live_from)
+    rows = rows.filter((F.col("extended_hours") == 1) | inside | (F.lit(False) if session_live else live))
+    waits = live if began is None or live_from is None else live & (F.unix_micros(instant(live_from)) >= began)
+    return rows, waits
+
+
+def _until(spec: list[str], as_of) -> Column | None:
+    return F.col("as_of") if "as_of" in spec else None if as_of is None else instant(as_of)
+
+
+def _inside(start: str, end: str) -> Column:
+    return second_of_day(F.col("ts")).between(clock_seconds(start), clock_seconds(end))
+
+
+def _aligned_live(live_from) -> Column:
+    return (F.col("ts") >= instant(live_from)) & (F.pmod(local_minute(F.col("ts")), F.col("time_frame")) == 0)
+
+
 def strategy_bars(bars: DataFrame, strategies: DataFrame, as_of=None, live_from=None,
                   session_live: bool = True, start: str = "09:30", end: str = "16:00") -> DataFrame:
     """Each active strategy setting's own slice of the bars: its look-back and its session.
@@ -109,44 +153,65 @@ def strategy_bars(bars: DataFrame, strategies: DataFrame, as_of=None, live_from=
     """
     spec = _spec(strategies)
     specs = active_strategies(strategies).select(*spec).distinct()
-    rows, began = bars.select(*BAR_COLUMNS, *time_columns(bars)[1:]).join(specs, "symbol"), None
-    if as_of is not None or "as_of" in spec:
-        until = F.col("as_of") if "as_of" in spec else instant(as_of)
-        began = F.unix_micros(until) - F.col("lookback_days").cast("bigint") * F.lit(86_400_000_000)
-        rows = rows.filter((F.col("ts") <= until) & (F.unix_micros("ts") >= began))
-    inside = second_of_day(F.col("ts")).between(clock_seconds(start), clock_seconds(end))
-    live = F.lit(False) if live_from is None else F.col("ts") >= instant(live_from)
-    unfiltered = F.lit(False) if session_live else live
-    rows = rows.filter((F.col("extended_hours") == 1) | inside | unfiltered)
+    rows, waits = _sliced(bars.select(*BAR_COLUMNS, *time_columns(bars)[1:]), specs, _until(spec, as_of),
+                          live_from, session_live, _inside(start, end))
     if live_from is not None:
-        aligned = F.pmod(local_minute(F.col("ts")), F.col("time_frame")) == 0
-        waits = live if began is None else live & (F.unix_micros(instant(live_from)) >= began)
-        latch = rows.filter(live & aligned).groupBy(*spec).agg(F.min("ts").alias("_latch"))
+        latch = rows.filter(_aligned_live(live_from)).groupBy(*spec).agg(F.min("ts").alias("_latch"))
         rows = rows.join(latch, spec, "left").filter(
             ~waits | (F.col("ts") >= F.col("_latch"))).drop("_latch")
     return rows
 
 
+DIVISORS = [60, 30, 20, 15, 12, 10, 6, 5, 4, 3, 2, 1]
+
+
+def _slice_cells(bars: DataFrame, specs: DataFrame, spec: list[str], as_of, live_from, start: str, end: str) -> DataFrame:
+    """Cells of the finest grid that the settings of a symbol share; ``ts`` is their first time, ``inside`` their session.
+
+    A cell lies on one side of every border of every slice: the session's, ``live_from``, and the time of day at which
+    all look-backs begin. Its first time so answers for all its rows. Where every setting has its own end,
+    the rows themselves are the cells.
+    """
+    if "as_of" in spec:
+        at = lambda c: F.when(F.col(c).isNotNull(), time_key(bars))
+        return bars.select(*BAR_COLUMNS, F.col("ts").alias("_cell"), at("open").alias("_opened"), at("close").alias("_closed"),
+                           F.lit(1).cast("bigint").alias("_n"), F.col("ts").alias("_first"), _inside(start, end).alias("inside"))
+    grids = specs.groupBy("symbol").agg(F.coalesce(
+        *[F.when(F.max(F.pmod("time_frame", F.lit(d))) == 0, d) for d in DIVISORS]).alias("_grid"))
+    parts = [_inside(start, end).alias("inside")]
+    if as_of is not None:
+        bars = bars.filter(F.col("ts") <= instant(as_of))
+        parts.append((F.pmod(F.unix_micros("ts"), F.lit(DAY)) >= F.pmod(F.unix_micros(instant(as_of)), F.lit(DAY))).alias("_late"))
+    if live_from is not None:
+        parts.append((F.col("ts") >= instant(live_from)).alias("_live"))
+    return _cells(bars.join(grids, "symbol"), ["symbol"], F.col("_grid"), *parts).withColumn("ts", F.col("_first"))
+
+
 def resample_for_strategies(bars: DataFrame, strategies: DataFrame, as_of=None,
                             live_from=None, session_live: bool = True) -> DataFrame:
-    """Candles for every active strategy in one pass; a time frame of 1 keeps the bars as they are."""
+    """Candles for every active strategy; a time frame of 1 keeps the bars as they are.
+
+    All coarser settings share one aggregation of the bars per symbol, whose cells, not the bars, are then dealt to the
+    settings. The bars of settings of 1 minute are neither grouped nor shuffled.
+    """
     require_columns(bars, BAR_COLUMNS, "bars")
-    spec = _spec(strategies)
-    rows = strategy_bars(bars, strategies, as_of, live_from, session_live)
-    coarse = rows.filter(F.col("time_frame") > 1)
-    series = (
-        coarse.groupBy(*spec).agg(F.count(F.lit(1)).alias("_rows"), F.min("ts").alias("_first"))
-        .filter(F.col("_rows") >= F.col("time_frame")).drop("_rows")
-    )
-    candles = _candles(
-        coarse.join(series, spec).withColumn(
-            "_bucket", grid_bucket(F.col("ts"), F.col("time_frame"), F.col("_first"))),
-        spec)
-    columns = [*spec, *time_columns(rows), *PRICE_COLUMNS, "volume"]
+    spec, hours = _spec(strategies), ("09:30", "16:00")
+    bars = bars.select(*BAR_COLUMNS, *time_columns(bars)[1:])
+    specs = active_strategies(strategies).select(*spec).distinct()
+    coarse = specs.filter(F.col("time_frame") > 1)
+    cells, waits = _sliced(_slice_cells(bars, coarse, spec, as_of, live_from, *hours), coarse, _until(spec, as_of),
+                           live_from, session_live, F.col("inside"))
+    if live_from is not None:
+        latch = F.min(F.when(_aligned_live(live_from), F.col("ts"))).over(Window.partitionBy(*spec))
+        cells = cells.withColumn("_latch", latch).filter(~waits | (F.col("ts") >= F.col("_latch")))
+    candles = _regrouped(cells, spec, F.col("time_frame")).dropna(subset=PRICE_COLUMNS).select(
+        *spec, F.col("_cell").alias("ts"), *PRICE_COLUMNS, _volume())
+    # Every minute is aligned with a time frame of 1, so no live bar waits.
+    rows, _ = _sliced(bars, specs.filter(F.col("time_frame") == 1), _until(spec, as_of), live_from, session_live, _inside(*hours))
+    columns = [*spec, *time_columns(bars), *PRICE_COLUMNS, "volume"]
     if "seq" in columns:  # one candle per time, so none to tell apart
-        candles = candles.withColumn("seq", F.lit(None).cast(rows.schema["seq"].dataType))
-    every = candles.select(*columns).unionByName(
-        rows.filter(F.col("time_frame") == 1).select(*columns))
+        candles = candles.withColumn("seq", F.lit(None).cast(bars.schema["seq"].dataType))
+    every = candles.select(*columns).unionByName(rows.select(*columns))
     names = active_strategies(strategies).select(F.col("id").alias("strategy_id"), "name", *spec)
     return every.join(names, spec).select(
         "strategy_id", "name", "symbol", "time_frame", *time_columns(every), *PRICE_COLUMNS, "volume")
