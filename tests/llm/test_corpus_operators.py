@@ -1,6 +1,7 @@
 """Corpus operators on small odd tables against plain Python."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -290,6 +291,57 @@ def test_licences_wrapped_and_together(spark, docs):
     assert got == [(0, 1, "mit"), (1, 0, "bsd"), (2, 0, "apache-2.0"), (2, 0, "mit"), (3, 0, "bsd"), (3, 0, "mit"), (4, 2, "gpl-2.0"), (6, 0, "cc-by-nc"), (7, 0, "mit"), (8, 0, "lgpl")]
 
 
+
+@pytest.fixture(scope="module")
+def licence_model():
+    return licences.train([f"entre las {n} mismas palabras otra vez del {n % 7} mundo".encode().split() for n in range(400)])
+
+
+@pytest.mark.parametrize("text, families", [
+    ("This work is licensed under the GNU Affero General Public License version 3", ["agpl-3.0"]),
+    ("Licensed under the Eclipse Public License version 2.0", ["epl-2.0"]),
+    ("Released under the zlib license", ["zlib"]),
+    ("Licensed under CC BY-ND 4.0", ["cc-by-nd"]),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", ["cc-by-nd"]),
+    ("not licensed under the MIT license", []),
+    ("This code is not released under the Apache License, Version 2.0", []),
+    ("Released under the Artistic License version 2.0", []),
+    ("Licensed under the GNU Artistic General Public License version 2", []),
+    ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+     "the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.", ["gpl-3.0"]),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+     "the Free Software Foundation; either version 2 of the License", ["gpl-2.0"]),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ["isc"]),
+    ("This is free and unencumbered software released into the public domain.", ["unlicense"]),
+    ("Distributed under the Boost Software License, Version 1.0.", ["bsl-1.0"]),
+    ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation "
+     "covered by this license", ["bsl-1.0"]),
+    ("Released under CC0 1.0 Universal", ["cc0-1.0"]),
+    ("you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    x\n", []),
+    ("You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", ["apache-2.0"])])
+def test_licences_tell_neighbours_apart(licence_model, text, families):
+    assert [f for _, _, f, _, _, sure in licences.scan_texts([text], *licence_model) if sure and f != licences.UNKNOWN] == families
+
+
+def test_licence_classes_on_fresh_paragraphs(licence_model):
+    """Held-out accuracy, and probabilities near the share that is right."""
+    weights, bias, temperature = licence_model
+    rows = licences.labelled([f"word{n}".encode() for n in range(500)], 20, random.Random(99))
+    z = np.stack([weights[licences._features(p)].sum(0) for p, _ in rows]) + bias
+    p, truth = licences._softmax(z / temperature), np.array([c for _, c in rows])
+    right = p.argmax(1) == truth
+    assert right.mean() > 0.8 and (p[:, 0] < licences.GATE).mean() > 0.9
+    assert abs(p.max(1).mean() - right.mean()) < 0.15
+
+
+def test_long_texts_score_as_in_parts(licence_model, monkeypatch):
+    text = LONG + "\nReleased under the MIT License.\n" + LONG + " licensed under the zlib license " + "w " * 3000
+    whole = licences.scan_texts([text, "a\nb", text], *licence_model)
+    monkeypatch.setattr(licences, "PART", 777)
+    assert [f[:3] for f in licences.scan_texts([text, "a\nb", text], *licence_model)] == [f[:3] for f in whole]
+    assert {(0, 1, "mit"), (2, 1, "mit"), (0, 2, "zlib")} <= {f[:3] for f in whole}
+
+
 def test_url_rules(spark):
     prepare(spark)
     rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("example.com", "/en/x/", "allow"),
