@@ -72,11 +72,7 @@ def s3(spark, sf):
 @query("s6_read_news", """SELECT date_trunc('millisecond', ts) AS published_utc, upper(event_type) AS ticker,
     props AS title FROM events""")
 def s6(spark, sf):
-    item = F.struct(F.date_format("published_utc", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("published_utc"),
-                    "tickers", "title")
-    days = fx.news(spark, sf).groupBy(F.date_trunc("hour", "published_utc").alias("h")).agg(
-        F.collect_list(item).alias("results"))
-    items = payloads.read_news(spark, _land(spark, days.select("results"), "news"))
+    items = payloads.read_news(spark, _land(spark, fx.news_payloads(spark, sf), "news"))
     return show(items.select("published_utc", F.element_at("tickers", 1).alias("ticker"), "title"))
 
 

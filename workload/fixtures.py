@@ -110,6 +110,14 @@ def news(spark, sf_dir) -> DataFrame:
         F.array(F.upper("event_type")).alias("tickers"), F.col("props").alias("title"))
 
 
+def news_payloads(spark, sf_dir, size: int = 100) -> DataFrame:
+    """News as payload rows of at most ``size`` items, by ranges of the unique event id."""
+    item = F.struct(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("published_utc"),
+                    F.array(F.upper("event_type")).alias("tickers"), F.col("props").alias("title"))
+    return (table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / size).alias("page"))
+            .agg(F.collect_list(item).alias("results")).select("results"))
+
+
 # ---- SQL counterparts: each is a list of common table expressions ending in the named one ----
 
 _BAR_SQL = """(SELECT symbol, date_trunc('minute', ts) AS ts,

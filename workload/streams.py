@@ -193,11 +193,8 @@ def t4(spark, sf):
 @query("t5_stream_news", f"""SELECT {et("date_trunc('millisecond', ts)")} AS published_local,
     upper(event_type) AS ticker, props AS title FROM events WHERE minute({et('ts')}) IN (0, 30)""")
 def t5(spark, sf):
-    item = F.struct(F.date_format("published_utc", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("published_utc"),
-                    "tickers", "title")
     path = scratch_path(spark, "news")
-    (fx.news(spark, sf).groupBy(F.date_trunc("hour", "published_utc").alias("h"))
-     .agg(F.collect_list(item).alias("results")).select("results").write.json(path))
+    fx.news_payloads(spark, sf).write.json(path)
     messages = spark.readStream.schema(
         "results array<struct<published_utc:string, tickers:array<string>, title:string>>").json(path)
     hits = run_to_table(live.stream_news(messages), "half-hour")
