@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tickloom.llm import attention, licences, packing, parsing, personal_data, simhash, top_k
+from tickloom.llm import attention, language_model, licences, packing, parsing, personal_data, simhash, top_k
 from tickloom.llm.common import prepare
 from tickloom.llm.language_model import score, words
 from tickloom.llm.mixing import mix
@@ -213,6 +213,60 @@ def test_every_training_document_moves_the_weights(spark):
         assert score(one).first().score != pytest.approx(score(one, rounds=0).first().score)
 
 
+def test_texts_are_spelled_once_for_all_passes(spark):
+    prepare(spark)
+    texts = ["the cat sat on the mat", "", "the \u00c9t\u00e9 of the cat\x0bon mars " * 9, "dog", "The DOG \ud55c\uad6d"] * 3
+    df = spark.createDataFrame([(i, t, i % 4 == 1, i % 4 != 1) for i, t in enumerate(texts)], "id long, text string, held boolean, learn boolean").coalesce(1)
+    rows, reader = language_model._numbered(df, None, 4).collect(), language_model.subwords()
+    spell = lambda t: [i for w in words(t) for i in reader.of([w])[0].tolist()]
+    for block in {r._block for r in rows}:
+        mine = [r for r in rows if r._block == block]
+        known = {r.at: bytes(r.word) for r in mine if r.at is not None}
+        docs = [r for r in mine if r.at is None]
+        assert len(docs) <= 4 and known[0] == b""
+        learned = Counter(w for r in docs if not r.held for w in [*words(texts[r.id]), b""])
+        assert all(learned[known[r.at]] == r.n for r in mine if r.at is not None)
+        for r in docs:
+            assert [known[n] for n in language_model._unpacked(r.words, language_model.NUMBER)] == words(texts[r.id])
+            assert r.ids is None if r.held else language_model._unpacked(r.ids, reader.kept).tolist() == spell(texts[r.id])
+
+
+def test_language_model_keeps_large_ids_beside_null(spark):
+    prepare(spark)
+    df = spark.createDataFrame([(2 ** 60 + 1, "a cat"), (None, "a dog"), (7, "a cat and a dog")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in score(df).collect()} == {2 ** 60 + 1, None, 7}
+
+
+def test_gradient_is_the_slope_of_the_loss_also_beyond_float_range():
+    rng = np.random.default_rng(8)
+    vocab = attention.Vocabulary(rng.integers(0, 50, 3000).astype(float))
+    inputs, targets = attention.layout([rng.integers(0, 2999, n) for n in (0, 5, 40, 16)], vocab)
+    for scale in (1, 400):
+        p = attention.start(vocab)
+        p["q"] *= scale
+        p["w"] *= scale
+        z = attention._forward(p, inputs)[5]
+        t = targets[1:].ravel()
+        logs = z - np.log(np.exp(z).sum(1, keepdims=True))
+        g, loss, n = attention.gradient(p, vocab, inputs, targets)
+        kind = vocab.kind[np.maximum(t, 0)]
+        assert n == (t >= 0).sum()
+        assert loss == pytest.approx(np.minimum(-logs[np.arange(len(t)), kind], -np.log(1e-30))[t >= 0].sum(), rel=1e-4)
+        slope = np.exp(logs)
+        slope[np.arange(len(t)), kind] -= 1
+        assert g["b"] == pytest.approx(slope[t >= 0].sum(0) / n, abs=1e-4)
+        assert attention.log_probs(p, vocab, inputs, targets)[1:].ravel()[t >= 0] == pytest.approx(
+            (logs[np.arange(len(t)), kind] + vocab.share[np.maximum(t, 0)])[t >= 0], rel=1e-3, abs=1e-3)
+        if scale == 1:
+            def at(name, i, d):
+                q = {k: v.copy() for k, v in p.items()}
+                q[name].ravel()[i] += d
+                return attention.gradient(q, vocab, inputs, targets)[1] / n
+            for name, _ in attention.SHAPES:
+                i = int(np.abs(g[name]).argmax())
+                assert g[name].ravel()[i] == pytest.approx((at(name, i, 0.02) - at(name, i, -0.02)) / 0.04, rel=0.05, abs=2e-4)
+
+
 def test_attention_is_a_distribution_and_learns():
     rng = np.random.default_rng(5)
     counts = rng.integers(0, 50, 400).astype(float)
