@@ -267,6 +267,40 @@ def test_gradient_is_the_slope_of_the_loss_also_beyond_float_range():
                 assert g[name].ravel()[i] == pytest.approx((at(name, i, 0.02) - at(name, i, -0.02)) / 0.04, rel=0.05, abs=2e-4)
 
 
+def test_attention_graphs_agree_with_numpy(monkeypatch):
+    rng = np.random.default_rng(9)
+    vocab = attention.Vocabulary(rng.integers(0, 50, 3000).astype(float))
+    runner = attention._runner
+    assert runner(True) is not None and runner(False) is not None
+    whole = [rng.integers(0, 2999, n) for n in (15, 31, 47)]
+    for texts in ([rng.integers(0, 2999, n) for n in (0, 5, 40, 16, 0, 300)], whole, whole[:1]):
+        inputs, targets = attention.layout(texts, vocab)
+        for scale in (1, 400):
+            p = attention.start(vocab)
+            p["off"][:] = rng.normal(0, 0.3, len(p["off"]))
+            p["q"] *= scale
+            p["w"] *= scale
+            given, loss, n = attention.gradient(p, vocab, inputs, targets)
+            rows = attention._Rows(vocab, inputs, targets)
+            found, lost, m = attention._sums(attention.flat(p), rows, slice(0, len(rows.at)))
+            assert m == n == (targets >= 0).sum() and lost == pytest.approx(loss, rel=1e-4)
+            assert found / m == pytest.approx(attention.flat(given), rel=1e-3, abs=1e-5 * scale)
+            logs, trained, losses = [], [], []
+            for by in (runner, lambda slopes: None):
+                monkeypatch.setattr(attention, "_runner", by)
+                logs.append(attention.log_probs(p, vocab, inputs, targets))
+                if scale == 1:
+                    q, memory = {k: v.copy() for k, v in p.items()}, {}
+                    losses.append([attention.fit(q, vocab, inputs, targets, memory, 0.03, rows=7) for _ in range(2)])
+                    trained.append(attention.flat(q))
+            assert logs[0] == pytest.approx(logs[1], rel=1e-4, abs=1e-4)
+            assert not logs[0][targets < 0].any()
+            if scale == 1:
+                assert losses[0] == pytest.approx(losses[1], rel=1e-5)
+                assert trained[0] == pytest.approx(trained[1], abs=2e-3)
+            monkeypatch.setattr(attention, "_runner", runner)
+
+
 def test_attention_is_a_distribution_and_learns():
     rng = np.random.default_rng(5)
     counts = rng.integers(0, 50, 400).astype(float)
